@@ -332,8 +332,8 @@ SELECT count(*) AS n_clips, round(quantile_cont(spf, 0.5), 6) AS cycles_per_fram
 FROM rates""")
 def _(t):
     rates = ops.zero_crossing_rate(clip_frames(t), CLIP).filter("crossings >= 2")
-    mid = quantiles(rates, [], "cycles_per_frame", {"m": 0.5})
-    return rates.agg(F.count(F.lit(1)).alias("n_clips")).join(mid).select(
+    mid = quantiles(rates, [], "cycles_per_frame", {"m": 0.5}).scalar()
+    return rates.agg(F.count(F.lit(1)).alias("n_clips")).withColumn("m", mid).select(
         "n_clips", r6(F.col("m")).alias("cycles_per_frame"), r6(2.5 / F.col("m")).alias("hz_low"),
         r6(3.0 / F.col("m")).alias("hz_high"))
 
