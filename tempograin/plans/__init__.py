@@ -1,6 +1,6 @@
 """Registered queries, by family, each beside the SQL it is checked against."""
 
-from tempograin.plans import cohort, curves, evaluation, series  # noqa: F401
+from tempograin.plans import cohort, curves, evaluation, geometry, series  # noqa: F401
 from tempograin.plans.registry import all_oracles, all_queries
 
 __all__ = ["all_queries", "all_oracles"]
