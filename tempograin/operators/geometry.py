@@ -289,14 +289,15 @@ def best_rotation(cov: pd.Series) -> pd.Series:
 
     The sign of the last axis is set so the result is never a reflection.
     """
-    whole = cov.map(lambda c: c is not None and all(v is not None for v in c))
-    out = pd.Series([None] * len(cov), index=cov.index, dtype=object)
-    if whole.any():
-        m = np.stack(cov[whole].to_numpy()).astype(float).reshape(-1, 3, 3)
-        u, _, vt = np.linalg.svd(m)
+    cells = [None if c is None else np.asarray(c, dtype=float) for c in cov]
+    known = [i for i, c in enumerate(cells) if c is not None and np.isfinite(c).all()]
+    out = [None] * len(cells)
+    if known:
+        u, _, vt = np.linalg.svd(np.stack([cells[i] for i in known]).reshape(-1, 3, 3))
         u[:, :, 2] *= np.sign(np.linalg.det(u @ vt))[:, None]
-        out[whole] = list((u @ vt).reshape(-1, 9))
-    return out
+        for i, rotation in zip(known, (u @ vt).reshape(-1, 9)):
+            out[i] = rotation
+    return pd.Series(out, index=cov.index, dtype=object)
 
 
 def align(df: DataFrame, fitted: list[str], prefix: str, target: str) -> DataFrame:
