@@ -1,6 +1,7 @@
 """Registered queries, by family, each beside the SQL it is checked against."""
 
-from tempograin.plans import audit, cohort, curves, errors, evaluation, geometry, series, sources  # noqa: F401
+from tempograin.plans import (  # noqa: F401
+    audit, cohort, curves, errors, evaluation, geometry, models, series, sources)
 from tempograin.plans.registry import all_oracles, all_queries
 
 __all__ = ["all_queries", "all_oracles"]
