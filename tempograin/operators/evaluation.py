@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tempograin.functions.numeric import portable_hash, ratio
 from tempograin.operators.ordered import Index, RunningSum, cut, quantiles
+from tempograin.session import durable
 
 SEEDS = [11, 23, 37, 53, 71]
 N_FOLDS = 5
@@ -214,8 +215,9 @@ def bootstrap_mean(per_subject: DataFrame, keys: list[str], subject: str, value:
     """
     known = per_subject.filter(F.col(value).isNotNull())
     draws = bootstrap_draws(known, keys, subject, reps, seed)
-    means = (draws.join(known.select(*keys, subject, value), [*keys, subject])
-             .groupBy(*keys, "rep").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("_m")))
+    # One row per replicate: written once, since several summaries read it.
+    means = durable(draws.join(known.select(*keys, subject, value), [*keys, subject])
+                    .groupBy(*keys, "rep").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("_m")))
     q = quantiles(means, keys, "_m", {"lo": 0.025, "hi": 0.975})
     head = [F.count(F.lit(1)).alias("n_subjects"), F.avg(value).alias("mean")]
     if keys:
@@ -229,7 +231,7 @@ def bootstrap_auc(df: DataFrame, subject: str, label: str, score: str, reps: int
     grouped = df.groupBy(subject, label, score).agg(F.count(F.lit(1)).alias("_k"))
     draws = bootstrap_draws(df, [], subject, reps, seed)
     counts = score_counts(draws.join(grouped, subject), ["rep"], label, score, F.col("w") * F.col("_k"))
-    kept = auc_from_counts(counts, ["rep"]).filter(F.col("auc").isNotNull())
+    kept = durable(auc_from_counts(counts, ["rep"]).filter(F.col("auc").isNotNull()))
     q = quantiles(kept, [], "auc", {"lo": 0.025, "hi": 0.975})
     out = kept.agg(F.count(F.lit(1)).alias("n_kept"))
     return out.withColumns({c: F.when(F.col("n_kept") >= min_kept, q.select(c).scalar()) for c in ("lo", "hi")})
@@ -242,8 +244,8 @@ def unpaired_difference(per_subject: DataFrame, arm: str, first: str, second: st
     means = (bootstrap_draws(known, [arm], subject, reps, seed)
              .join(known.select(arm, subject, value), [arm, subject])
              .groupBy("rep", arm).agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("_m")))
-    per_rep = means.groupBy("rep").agg(
-        (F.max(F.when(F.col(arm) == second, F.col("_m"))) - F.max(F.when(F.col(arm) == first, F.col("_m")))).alias("_d"))
+    per_rep = durable(means.groupBy("rep").agg(
+        (F.max(F.when(F.col(arm) == second, F.col("_m"))) - F.max(F.when(F.col(arm) == first, F.col("_m")))).alias("_d")))
     q = quantiles(per_rep, [], "_d", {"lo": 0.025, "hi": 0.975})
     point = F.avg(F.when(F.col(arm) == second, F.col(value))) - F.avg(F.when(F.col(arm) == first, F.col(value)))
     return known.agg(point.alias("difference")).withColumns({c: q.select(c).scalar() for c in ("lo", "hi")})
@@ -255,8 +257,8 @@ def paired_penalty(scores: DataFrame, clip: list[str], subject: str, arm: str, b
     wide = scores.groupBy(*clip, subject).agg(
         F.max(F.when(F.col(arm) == base, F.col(value))).alias("_a"),
         F.max(F.when(F.col(arm) == other, F.col(value))).alias("_b"))
-    per = (wide.filter("_a is not null and _b is not null").groupBy(subject)
-           .agg((F.avg("_b") - F.avg("_a")).alias("penalty")))
+    per = durable(wide.filter("_a is not null and _b is not null").groupBy(subject)
+                  .agg((F.avg("_b") - F.avg("_a")).alias("penalty")))
     out = bootstrap_mean(per, [], subject, "penalty", reps, seed)
     return out.withColumnRenamed("mean", "penalty").withColumn("resolved", (F.col("lo") > 0) | (F.col("hi") < 0))
 

@@ -173,11 +173,13 @@ def _combine(spec, local: Column, carry: Column) -> Column:
 
 def cut(df: DataFrame, keys: list[str], order: list[str]) -> Ordered:
     """Prepare ordered computations per ``keys``; ``order[0]`` is numeric or a time."""
-    small, n = session.fits_one_chunk(df)
-    if small:
+    if session.surely_small(df):
         return Ordered(df, keys, order)
     size = session.rows_per_chunk(df.sparkSession) or session.DEFAULT_ROWS_PER_CHUNK
     base = session.durable(df)
+    n = base.count()
+    if n <= size:
+        return Ordered(base, keys, order)
     axis = base.withColumn("_axis", _as_number(base, order[0]))
     pieces = min(MAX_CHUNKS, -(-n // size))
     probs = [i / pieces for i in range(1, pieces)]
@@ -235,13 +237,11 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     Large inputs are counted per distinct value and the cumulative counts are searched
     for the two ranks around each quantile, so no group is ever held in one place.
     """
-    small, _ = session.fits_one_chunk(df)
-    if small:
+    if session.surely_small(df):
         picked = [F.percentile(value, F.lit(p)).alias(name) for name, p in probs.items()]
         return df.groupBy(*keys).agg(*picked) if keys else df.agg(*picked)
-    counts = (df.filter(F.col(value).isNotNull())
-              .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
-    ranked = cut(counts, keys, [value]).add(_cum=RunningSum(F.col("_n"))).rows()
+    counts = session.durable(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
+    ranked = cut(counts.filter(F.col(value).isNotNull()), keys, [value]).add(_cum=RunningSum(F.col("_n"))).rows()
     total = F.max("_cum").alias("_total")
     totals = ranked.groupBy(*keys).agg(total) if keys else ranked.agg(total)
     placed = ranked.join(totals, keys) if keys else _attach_row(ranked, totals)
@@ -257,7 +257,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     result = found.select(*keys, *picked)
     if not keys:
         return result
-    return df.select(*keys).distinct().join(result, keys, "left")
+    return counts.select(*keys).distinct().join(result, keys, "left")
 
 
 def _attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tempograin.functions.numeric import correlation, normal_tail, portable_hash, ratio
 from tempograin.operators.evaluation import bootstrap_draws
 from tempograin.operators.ordered import (
-    Index, Known, Neighbour, RunningMax, RunningMin, RunningSum, average_ranks, cut, quantiles)
+    Index, Neighbour, RunningMax, RunningMin, RunningSum, average_ranks, cut, quantiles)
+from tempograin.session import durable
 
 
 def _ranked_tests(tests: DataFrame, p: str, name: str):
@@ -109,7 +110,7 @@ def bootstrap_spearman(per_subject: DataFrame, subject: str, x: str, y: str, rep
     ma, mb = F.sum(w * a) / n, F.sum(w * b) / n
     cov = F.sum(w * a * b) / n - ma * mb
     va, vb = F.sum(w * a * a) / n - ma * ma, F.sum(w * b * b) / n - mb * mb
-    rhos = ranked.groupBy("rep").agg(ratio(cov, F.sqrt(F.greatest(va * vb, F.lit(0.0)))).alias("rho"))
+    rhos = durable(ranked.groupBy("rep").agg(ratio(cov, F.sqrt(F.greatest(va * vb, F.lit(0.0)))).alias("rho")))
     q = quantiles(rhos, [], "rho", {"lo": 0.025, "hi": 0.975})
     return spearman(per_subject, [], x, y).withColumns({c: q.select(c).scalar() for c in ("lo", "hi")})
 
@@ -120,8 +121,8 @@ def bootstrap_slope(per_subject: DataFrame, subject: str, x: str, y: str, reps:
     w, a, b = F.col("w"), F.col(x), F.col(y)
     n = F.sum(w)
     ma, mb = F.sum(w * a) / n, F.sum(w * b) / n
-    slopes = draws.groupBy("rep").agg(
-        ratio(F.sum(w * a * b) / n - ma * mb, F.sum(w * a * a) / n - ma * ma).alias("slope"))
+    slopes = durable(draws.groupBy("rep").agg(
+        ratio(F.sum(w * a * b) / n - ma * mb, F.sum(w * a * a) / n - ma * ma).alias("slope")))
     q = quantiles(slopes, [], "slope", {"lo": 0.025, "hi": 0.975})
     return ols(per_subject, [], x, y).select("n", "slope").withColumns({c: q.select(c).scalar() for c in ("lo", "hi")})
 
