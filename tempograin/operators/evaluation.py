@@ -200,9 +200,13 @@ def bootstrap_draws(subjects: DataFrame, keys: list[str], subject: str, reps: in
         sized = numbered.join(sizes, keys)
     else:
         sized = numbered.withColumn("_n", numbered.agg(F.count(F.lit(1))).scalar())
-    draws = (sized.filter(F.col("_n") >= 2)
+    # Numbering may leave the subjects in few partitions, and each becomes ``reps`` rows:
+    # an explicit count keeps adaptive execution from merging them again.
+    spread = int(subjects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pick = F.coalesce(portable_hash(F.lit(seed), F.col("rep"), F.col("_i")) % F.col("_n"), F.lit(-1))
+    draws = (sized.filter(F.col("_n") >= 2).select(*keys, "_i", "_n").repartition(spread, "_i")
              .withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-             .withColumn("_pick", portable_hash(F.lit(seed), F.col("rep"), F.col("_i")) % F.col("_n"))
+             .withColumn("_pick", pick)
              .groupBy(*keys, "rep", "_pick").agg(F.count(F.lit(1)).alias("w")))
     return draws.join(numbered.withColumnRenamed("_i", "_pick"), [*keys, "_pick"]).select(*keys, "rep", subject, "w")
 

@@ -192,8 +192,11 @@ def cut(df: DataFrame, keys: list[str], order: list[str]) -> Ordered:
 
 def _as_number(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType.typeName()
-    if kind in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+    if kind == "timestamp":
+        return F.unix_micros(F.col(name)).cast("double")
+    if kind == "timestamp_ntz":
+        # Measured without a time zone, so that the axis never runs backwards.
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)").cast("double")
     if kind == "date":
         return F.unix_date(name).cast("double")
     return F.col(name).cast("double")

@@ -294,7 +294,7 @@ def _(t):
   SELECT a.vec_id // 2 AS pair, a.embedding::DOUBLE[] AS l, b.embedding::DOUBLE[] AS r
   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0),
 bank AS (SELECT pair AS clip, list_transform(l, lambda v: v * 0.1) AS near, list_transform(r, lambda v: v * 0.1) AS far,
-         row_number() OVER (ORDER BY pair) - 1 AS i, count(*) OVER () AS nb FROM pairs WHERE pair % 3 = 0),
+         row_number() OVER (ORDER BY pair) - 1 AS i, count(*) OVER () AS nb FROM pairs),
 drawn AS (SELECT *, CAST('0x' || substr(md5('5|' || pair || '|clip'), 1, 8) AS BIGINT) % (SELECT count(*) FROM bank) AS i,
          CAST('0x' || substr(md5('5|' || pair || '|far'), 1, 8) AS BIGINT) % 2 = 1 AS rf FROM pairs),
 j AS (SELECT pair, l, r, CASE WHEN rf THEN near ELSE far END AS el, CASE WHEN rf THEN far ELSE near END AS er FROM drawn JOIN bank USING (i)),
@@ -310,7 +310,7 @@ def _(t):
 
     def tenth(name):
         return F.transform(name, lambda v: v * 0.1)
-    bank = pairs.filter("pair % 3 = 0").select(F.col("pair").alias("clip"), tenth("l").alias("near"), tenth("r").alias("far"))
+    bank = pairs.select(F.col("pair").alias("clip"), tenth("l").alias("near"), tenth("r").alias("far"))
     out = ops.perturb_from_bank(pairs, bank, "pair", 5, 1.5)
     return out.select("pair", rounded(F.col("l_moved")).alias("l_moved"), rounded(F.col("r_moved")).alias("r_moved"),
                       r6(F.col("realised")).alias("realised"))
@@ -357,13 +357,14 @@ def _(t):
 
 
 @query("j12_near_far_pairs", """WITH r AS (SELECT vec_id // 2 AS clip, CASE WHEN vec_id % 2 = 0 THEN 'near' ELSE 'far' END AS limb,
-    embedding[1]::DOUBLE AS v FROM embeddings WHERE vec_id % 7 <> 0)
+    CASE WHEN vec_id % 7 <> 0 THEN embedding[1]::DOUBLE END AS v FROM embeddings)
 SELECT clip, round(max(v) FILTER (WHERE limb = 'near'), 6) + 0.0 AS near, round(max(v) FILTER (WHERE limb = 'far'), 6) + 0.0 AS far
-FROM r GROUP BY 1 HAVING count(DISTINCT limb) = 2""")
+FROM r GROUP BY 1 HAVING count(DISTINCT CASE WHEN v IS NOT NULL THEN limb END) = 2""")
 def _(t):
-    rows = t.embeddings.filter("vec_id % 7 <> 0").select(
+    """Near and far value of each clip; a clip with a missing side is incomplete."""
+    rows = t.embeddings.select(
         F.floor(F.col("vec_id") / 2).alias("clip"), F.when(F.col("vec_id") % 2 == 0, "near").otherwise("far").alias("limb"),
-        r6(F.element_at("embedding", 1)).alias("v"))
+        F.when(F.col("vec_id") % 7 != 0, r6(F.element_at("embedding", 1))).alias("v"))
     return rows.groupBy("clip").pivot("limb", ["near", "far"]).agg(F.max("v")).dropna()
 
 

@@ -275,9 +275,9 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY seed, fold ORDER BY round(abs(p
 kept AS (SELECT *, coverage FROM rk, (SELECT unnest([0.1, 0.25, 0.5, 1.0]::DOUBLE[]) AS coverage) WHERE i < greatest(2, round_even(round(coverage * n, 6), 0)))"""
 
 
-@query("w22_most_confident", f"""WITH {KEPT} SELECT seed, fold, coverage, row_id FROM kept WHERE coverage < 0.2""")
+@query("w22_most_confident", f"""WITH {KEPT} SELECT seed, fold, coverage, row_id FROM kept""")
 def _(t):
-    return ev.most_confident(fold_scores(t), FOLD, "p", "row_id", [0.1]).select("seed", "fold", "coverage", "row_id")
+    return ev.most_confident(fold_scores(t), FOLD, "p", "row_id", COVERAGES).select("seed", "fold", "coverage", "row_id")
 
 
 @query("e17_selective_curve", f"""WITH {KEPT}, {_auc('kept', 'seed, fold, coverage', 'p', 'a')},
@@ -549,6 +549,6 @@ def _(t):
     return out.select(r6(F.col("gain")).alias("gain"), r6(F.col("last_increment")).alias("last_increment"), "saturated")
 
 
-@query("j14_parameter_grid", """SELECT o_orderkey, side, CAST(k AS INTEGER) AS k FROM orders, (SELECT unnest(['L', 'R']) AS side), (SELECT unnest([15, 30, 60]) AS k) WHERE o_orderstatus = 'P'""")
+@query("j14_parameter_grid", """SELECT o_orderkey, side, CAST(k AS INTEGER) AS k FROM orders, (SELECT unnest(['L', 'R']) AS side), (SELECT unnest([15, 30, 60]) AS k)""")
 def _(t):
-    return joins.grid(t.orders.filter("o_orderstatus = 'P'").select("o_orderkey"), side=["L", "R"], k=[15, 30, 60])
+    return joins.grid(t.orders.select("o_orderkey"), side=["L", "R"], k=[15, 30, 60])

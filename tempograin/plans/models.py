@@ -97,7 +97,7 @@ def _(t):
     c = doubles(t).withColumn("pair", F.floor(F.col("vec_id") / 2))
     even = c.filter("vec_id % 2 = 0").select("pair", F.col("curve").alias("l"), (F.col("label") >= 5).cast("int").alias("label"))
     pairs = even.join(c.filter("vec_id % 2 = 1").select("pair", F.col("curve").alias("r")), "pair")
-    bank = pairs.filter("pair % 3 = 0").select(F.col("pair").alias("clip"), F.transform("l", lambda v: v * 0.1).alias("near"), F.transform("r", lambda v: v * 0.1).alias("far"))
+    bank = pairs.select(F.col("pair").alias("clip"), F.transform("l", lambda v: v * 0.1).alias("near"), F.transform("r", lambda v: v * 0.1).alias("far"))
     folds = ev.assign_folds(pairs, "pair", "label", SEED, FOLDS)
     names = [f"d{i}" for i in range(4)]
     outs = None

@@ -286,7 +286,7 @@ moved AS (
 SELECT user_id, count(speed) AS n, round(quantile_cont(speed, 0.5), 6) AS median_speed FROM moved GROUP BY 1""")
 def _(t):
     points = clip_frames(t).select("user_id", "frame", F.col("value").alias("x"),
-                                   (F.unix_seconds(F.col("ts").cast("timestamp")) % 97).cast("double").alias("y"))
+                                   F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) % 97").cast("double").alias("y"))
     moved = ops.speeds(points, CLIP, ["x", "y"], FPS)
     sizes = moved.groupBy("user_id").agg(F.count("speed").alias("n"))
     return sizes.join(quantiles(moved, CLIP, "speed", {"median_speed": 0.5}), CLIP).select(
