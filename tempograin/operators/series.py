@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tempograin.functions.numeric import correlation, ratio
 from tempograin.operators.ordered import (
-    Index, Known, Neighbour, Ordered, RunningSum, block_window, cut, interval_join, quantiles,
+    Index, Known, Neighbour, RunningSum, block_window, cut, interval_join, quantiles,
     runs, with_halo)
 
 # Fixed values of the method: plausible cycle length in seconds, trigger band as a share

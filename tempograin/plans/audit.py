@@ -9,12 +9,11 @@ from tempograin.functions.numeric import r6
 from tempograin.operators import audit as ops
 from tempograin.operators.cohort import unpivot
 from tempograin.operators.ordered import Ordered
-from tempograin.plans.errors import ROWS, error_rows, rounded, sq
+from tempograin.plans.errors import ROWS, error_rows, sq
 from tempograin.plans.geometry import CLIP, SKEL, TRAVEL, clip_skeletons
 from tempograin.operators import geometry as geo
 from tempograin.plans.registry import query
 from tempograin.plans.series import CLIPS, clip_frames
-from tempograin.sources import documents
 from tempograin.sources.tables import Tables
 
 CLIP_COLUMNS = {

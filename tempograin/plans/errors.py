@@ -9,10 +9,10 @@ from tempograin.functions.numeric import r6
 from tempograin.operators import errors as ops
 from tempograin.operators import geometry as geo
 from tempograin.operators import joins
-from tempograin.operators.ordered import cut, quantiles
+from tempograin.operators.ordered import quantiles
 from tempograin.operators.series import longest_run, number_frames
 from tempograin.operators.windows import apply_windows, triangle
-from tempograin.plans.geometry import CLIP, MODEL, SKEL, clip_skeletons, skeletons
+from tempograin.plans.geometry import CLIP, MODEL, SKEL, skeletons
 from tempograin.plans.registry import query
 from tempograin.plans.series import CLIPS, clip_frames
 from tempograin.sources.tables import Tables

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograin.functions.numeric import correlation, r6
+from tempograin.functions.numeric import portable_hash, r6
 from tempograin.operators import evaluation as ev
 from tempograin.operators import joins
 from tempograin.operators import statistics as st
-from tempograin.operators.ordered import cut, quantiles
 from tempograin.plans.registry import query
 from tempograin.sources.tables import Tables
 
@@ -353,11 +352,18 @@ def _(t):
     return st.wilcoxon(deltas, ["grp"], "d").select("grp", "n", "w_plus", r6(F.col("z")).alias("z"))
 
 
-@query("e24_wilcoxon_folds")
+@query("e24_wilcoxon_folds", f"""WITH {FOLD_SCORES}, {_auc('fs', 'seed, fold', 'p', 'a')}, {_auc('fs', 'seed, fold', 'q', 'b')},
+d AS (SELECT seed, a.auc - b.auc AS d FROM a JOIN b USING (seed, fold)),
+r AS (SELECT *, rank() OVER (PARTITION BY seed ORDER BY round(abs(d), 12)) + (count(*) OVER (PARTITION BY seed, round(abs(d), 12)) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY seed, round(abs(d), 12)) AS t FROM d WHERE d <> 0),
+s AS (SELECT seed, count(*) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w_plus, sum(t::DOUBLE * t - 1) AS tie FROM r GROUP BY 1),
+z AS (SELECT *, (w_plus - n * (n + 1) / 4.0) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - tie / 48) AS z FROM s)
+SELECT seed, n, w_plus, round(z, 6) + 0.0 AS z, round(least(1.0, 2 * (0.5 - exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(generate_series(0, 60), lambda k:
+  power(abs(z), 2 * k + 1) / list_product(list_concat([1.0::DOUBLE], list_transform(generate_series(1, k), lambda j: (2 * j + 1)::DOUBLE))))))), 6) AS p FROM z""")
 def _(t):
     fs = fold_scores(t)
     a, b = (ev.auc(fs, FOLD, "y", c).select(*FOLD, F.col("auc").alias(c)) for c in ("p", "q"))
-    return st.wilcoxon(a.join(b, FOLD).select("seed", (F.col("p") - F.col("q")).alias("d")), ["seed"], "d")
+    out = st.wilcoxon(a.join(b, FOLD).select("seed", (F.col("p") - F.col("q")).alias("d")), ["seed"], "d")
+    return out.select("seed", "n", "w_plus", r6(F.col("z")).alias("z"), r6(F.col("p")).alias("p"))
 
 
 _DF = 24
@@ -446,11 +452,35 @@ def error_rows(t: Tables) -> DataFrame:
         F.col("l_quantity").alias("f1"), (F.col("l_discount") * 10).alias("f2"), F.log(F.col("l_extendedprice") / 1000 + 0.05).alias("log_error"))
 
 
-@query("e30_ridge_smearing")
+_GRAM = {"n": "1", "a": "f1", "b": "f2", "y": "le", "aa": "f1 * f1", "ab": "f1 * f2", "bb": "f2 * f2", "fy": "f1 * le", "gy": "f2 * le", "yy": "le * le"}
+
+
+def _ridge_fit(source: str, out: str, keys: str) -> str:
+    """Ridge on standardised features from Gram sums: slopes and intercept on the raw scale."""
+    return f"""{out}_s AS (SELECT *, a / n AS ma, b / n AS mb, y / n AS my, sqrt(aa / n - (a / n) * (a / n)) AS sa, sqrt(bb / n - (b / n) * (b / n)) AS sb FROM {source}),
+{out}_c AS (SELECT *, n * (ab / n - ma * mb) / (sa * sb) AS r, n * (fy / n - ma * my) / sa AS ca, n * (gy / n - mb * my) / sb AS cb FROM {out}_s),
+{out}_z AS (SELECT *, ((n + alpha) * ca - r * cb) / ((n + alpha) * (n + alpha) - r * r) AS za, ((n + alpha) * cb - r * ca) / ((n + alpha) * (n + alpha) - r * r) AS zb FROM {out}_c),
+{out} AS (SELECT {keys}, za / sa AS ba, zb / sb AS bb1, my - za / sa * ma - zb / sb * mb AS b0 FROM {out}_z)"""
+
+
+_SUMS = ", ".join(f"sum({e}) AS {n}" for n, e in _GRAM.items())
+_REST = ", ".join(f"t.{n} - h.{n} - g.{n} AS {n}" for n in _GRAM)
+_TRAIN = ", ".join(f"t.{n} - h.{n} AS {n}" for n in _GRAM)
+
+
+@query("e30_ridge_smearing", f"""WITH rw AS (SELECT l_orderkey, l_linenumber, l_suppkey % 5 AS fold, l_quantity AS f1, l_discount * 10 AS f2, ln(l_extendedprice / 1000 + 0.05::DOUBLE) AS le FROM lineitem),
+gr AS (SELECT fold, {_SUMS} FROM rw GROUP BY 1), tt AS (SELECT {_SUMS} FROM rw),
+al AS (SELECT power(10.0::DOUBLE, e / 2.0) AS alpha FROM (SELECT unnest(generate_series(-6, 6)) AS e)),
+inn AS (SELECT h.fold AS held, g.fold AS val, alpha, {_REST} FROM tt t, gr h, gr g, al WHERE h.fold <> g.fold), {_ridge_fit('inn', 'ib', 'held, val, alpha')},
+cost AS (SELECT held, alpha, sum(g.yy - 2 * (b0 * g.y + ba * g.fy + bb1 * g.gy) + b0 * b0 * g.n + ba * ba * g.aa + bb1 * bb1 * g.bb + 2 * (b0 * ba * g.a + b0 * bb1 * g.b + ba * bb1 * g.ab)) AS c FROM ib JOIN gr g ON g.fold = ib.val GROUP BY 1, 2),
+pick AS (SELECT held, arg_min(alpha, struct_pack(c := c, a := alpha)) AS alpha FROM cost GROUP BY 1),
+tr AS (SELECT held, alpha, {_TRAIN} FROM pick JOIN gr h ON h.fold = pick.held, tt t), {_ridge_fit('tr', 'ob', 'held')},
+sm AS (SELECT held, avg(exp(le - (b0 + ba * f1 + bb1 * f2))) AS s FROM rw JOIN ob ON rw.fold <> ob.held GROUP BY 1)
+SELECT l_orderkey, l_linenumber, fold, round(exp(b0 + ba * f1 + bb1 * f2) * s, 4) + 0.0 AS stated FROM rw JOIN ob ON ob.held = rw.fold JOIN sm ON sm.held = rw.fold""")
 def _(t):
     rows = error_rows(t)
     out = st.ridge_out_of_fold(rows, "fold", ["f1", "f2"], "log_error", [10.0 ** (e / 2) for e in range(-6, 7)])
-    return out.select("l_orderkey", "l_linenumber", "fold", r6(F.exp("oof")).alias("stated"))
+    return out.select("l_orderkey", "l_linenumber", "fold", (F.round(F.exp("oof"), 4) + 0.0).alias("stated"))
 
 
 @query("e31_permutation_control", f"""WITH c AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i,
@@ -543,7 +573,6 @@ lv AS (SELECT f, y, p FROM scored, (SELECT unnest([25, 50, 75, 100]) AS f) WHERE
 d AS (SELECT f, auc, auc - lag(auc) OVER (ORDER BY f) AS inc FROM a)
 SELECT round(arg_max(auc, f) - arg_min(auc, f), 6) + 0.0 AS gain, round(arg_max(inc, f), 6) + 0.0 AS last_increment, round(arg_max(inc, f), 9) <= 0.01 AS saturated FROM d""")
 def _(t):
-    from tempograin.functions.numeric import portable_hash
     levels = joins.grid(scored(t), f=[25, 50, 75, 100]).filter(portable_hash(F.col("subject"), F.lit("keep")) % 100 < F.col("f"))
     out = st.saturation(ev.auc(levels, ["f"], "y", "p"), "f", "auc")
     return out.select(r6(F.col("gain")).alias("gain"), r6(F.col("last_increment")).alias("last_increment"), "saturated")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempograin.functions import geometry as g
-from tempograin.functions.numeric import r6
+from tempograin.functions.numeric import r6, wrap_degrees
 from tempograin.operators import geometry as ops
+from tempograin.operators.joins import grid
 from tempograin.operators.ordered import quantiles
 from tempograin.operators.series import number_frames
 from tempograin.plans.registry import query
@@ -165,7 +166,6 @@ _DIR = {n: sangle(ssub(sv(b), sv(a)), sv("fwd"), sv("up")) for n, (a, b) in LIMB
 def _(t):
     truth = ops.segment_directions(skeletons(t), LIMBS).select("vec_id", *LIMBS)
     est = truth.select((F.col("vec_id") - 1).alias("vec_id"), *[F.col(n).alias(f"est_{n}") for n in LIMBS])
-    from tempograin.functions.numeric import wrap_degrees
     return truth.join(est, "vec_id").select("vec_id", *[
         r6(F.abs(wrap_degrees(F.col(f"est_{n}") - F.col(n)))).alias(n) for n in LIMBS])
 
@@ -242,7 +242,6 @@ def _(t):
 SELECT vec_id, {r(swrap(sangle(ssub(sv('head'), sv('neck')), sv('fwd'), sv('up')) + ' - ' + sangle(ssub(sv('neck'), sv('thorax')), sv('fwd'), sv('up'))))} AS angle FROM b""")
 def _(t):
     out = ops.segment_directions(skeletons(t), {"a": ("neck", "head"), "b": ("thorax", "neck")})
-    from tempograin.functions.numeric import wrap_degrees
     return out.select("vec_id", r6(wrap_degrees(F.col("a") - F.col("b"))).alias("angle"))
 
 
@@ -294,12 +293,36 @@ def _(t):
     return out.select("vec_id", r6(F.col("tilt")).alias("tilt"), r6(F.col("trunk")).alias("trunk"))
 
 
-@query("g13_rigid_alignment")
+FITTED = ["pelvis", "l_hip", "r_hip", "l_knee", "r_knee"]
+
+
+def _alignment_sql() -> str:
+    """Least possible RMS after a rotation, from the singular values of the covariance."""
+    n = len(FITTED)
+    mean = {p: {a: "(" + " + ".join(f"{p}.{j}_{a}" for j in FITTED) + f") / {n}" for a in "xyz"} for p in "se"}
+    pts = "pt AS (SELECT s.vec_id, " + ", ".join(
+        f"{p}.{j}_{a} - {mean[p][a]} AS {p}_{j}_{a}" for p in "se" for j in FITTED for a in "xyz") + " FROM skel s JOIN skel e ON e.vec_id = s.vec_id + 1)"
+    cov = ", ".join("(" + " + ".join(f"s_{j}_{a} * e_{j}_{b}" for j in FITTED) + f") / {n} AS h{i}{k}" for i, a in enumerate("xyz") for k, b in enumerate("xyz"))
+    size = "(" + " + ".join(f"{p}_{j}_{a} * {p}_{j}_{a}" for p in "se" for j in FITTED for a in "xyz") + f") / {n} AS size"
+    m = ", ".join("(" + " + ".join(f"h{r}{i} * h{r}{k}" for r in range(3)) + f") AS m{i}{k}" for i in range(3) for k in range(i, 3))
+    det = "h00 * (h11 * h22 - h12 * h21) - h01 * (h10 * h22 - h12 * h20) + h02 * (h10 * h21 - h11 * h20)"
+    return f"""{pts},
+hc AS (SELECT vec_id, {cov}, {size} FROM pt),
+mm AS (SELECT vec_id, size, {m}, sign({det}) AS sg FROM hc),
+q1 AS (SELECT *, (m00 + m11 + m22) / 3 AS q FROM mm),
+q2 AS (SELECT *, sqrt((power(m00 - q, 2) + power(m11 - q, 2) + power(m22 - q, 2) + 2 * (m01 * m01 + m02 * m02 + m12 * m12)) / 6) AS p FROM q1),
+q3 AS (SELECT *, acos(greatest(-1, least(1, ((m00 - q) * ((m11 - q) * (m22 - q) - m12 * m12) - m01 * (m01 * (m22 - q) - m12 * m02) + m02 * (m01 * m12 - (m11 - q) * m02)) / (2 * p * p * p)))) / 3 AS f FROM q2),
+q4 AS (SELECT *, q + 2 * p * cos(f) AS e1, q + 2 * p * cos(f + 2 * pi() / 3) AS e3 FROM q3)
+SELECT vec_id, round(sqrt(greatest(0, size - 2 * (sqrt(greatest(0, e1)) + sqrt(greatest(0, 3 * q - e1 - e3)) + sg * sqrt(greatest(0, e3))))), 4) + 0.0 AS rms FROM q4"""
+
+
+@query("g13_rigid_alignment", f"WITH {SKEL}, {_alignment_sql()}")
 def _(t):
-    fitted = ["pelvis", "l_hip", "r_hip", "l_knee", "r_knee"]
-    out = ops.align(paired_skeletons(t), fitted, "est_", "")
-    return out.select("vec_id", r6(g.norm(g.sub(g.vec("est_thorax_aligned"), g.vec("thorax")))).alias("thorax_gap"),
-                      r6(g.norm(g.sub(g.vec("est_pelvis_aligned"), g.vec("pelvis")))).alias("pelvis_gap"))
+    """RMS distance of the fitted joints after the best rotation and shift per frame."""
+    out = ops.align(paired_skeletons(t), FITTED, "est_", "")
+    gaps = [g.sub(g.vec(f"est_{j}_aligned"), g.vec(j)) for j in FITTED]
+    squares = [g.dot(v, v) for v in gaps]
+    return out.select("vec_id", (F.round(F.sqrt(sum(squares[1:], squares[0]) / len(FITTED)), 4) + 0.0).alias("rms"))
 
 
 @query("g14_camera_azimuth", f"""WITH {SKEL}, c AS (SELECT clip, avg(head_x) AS cx, avg(head_y) AS cy FROM skel GROUP BY 1)
@@ -380,7 +403,6 @@ def _(t):
   FROM skel s JOIN skel e ON e.vec_id = s.vec_id + 1, (SELECT unnest([0.0, 0.25, 0.5]::DOUBLE[]) AS alpha) a)
 SELECT vec_id, alpha, {r('x')} AS x, {r('y')} AS y, {r('sqrt((x - ex) * (x - ex) + (y - ey) * (y - ey))')} AS pixel_error FROM b""")
 def _(t):
-    from tempograin.operators.joins import grid
     df = grid(paired_skeletons(t), alpha=[0.0, 0.25, 0.5])
     out = ops.blend(df, "r_knee", "est_r_knee", F.col("alpha"))
     return out.select("vec_id", "alpha", r6(F.col("blended")["x"]).alias("x"), r6(F.col("blended")["y"]).alias("y"), r6(F.col("pixel_error")).alias("pixel_error"))

@@ -67,7 +67,18 @@ def _(t):
     return scores.withColumn("p", r6(F.col("p")))
 
 
-@query("e15_calibration_slope")
+def _newton_sql(steps: int = 12) -> str:
+    """Logistic regression on one feature by unrolled Newton steps."""
+    parts = ["n0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"]
+    for i in range(steps):
+        parts.append(f"""g{i} AS (SELECT any_value(a) AS a, any_value(b) AS b, sum(y - m) AS ga, sum((y - m) * x) AS gb, sum(m * (1 - m)) AS haa, sum(m * (1 - m) * x) AS hab, sum(m * (1 - m) * x * x) AS hbb
+  FROM (SELECT y, x, a, b, 1 / (1 + exp(-(a + b * x))) AS m FROM lx, n{i})),
+n{i + 1} AS (SELECT a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM g{i})""")
+    return ", ".join(parts)
+
+
+@query("e15_calibration_slope", f"""WITH {SCORED}, lx AS (SELECT y, ln(p / (1 - p)) AS x FROM scored), {_newton_sql()}
+SELECT round(max(b), 4) AS slope, round((SELECT ln(avg(y) / (1 - avg(y))) FROM lx), 6) AS intercept FROM n12""")
 def _(t):
     out = ops.calibration_slope(scored(t), "y", "p")
     return out.select(F.round("slope", 4).alias("slope"), r6(F.col("intercept")).alias("intercept"))

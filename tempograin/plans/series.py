@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempograin.functions.numeric import r6
 from tempograin.operators import series as ops
-from tempograin.operators.ordered import Known, cut, interval_join, quantiles
+from tempograin.operators.ordered import interval_join, quantiles
 from tempograin.plans.registry import query
 from tempograin.sources.tables import Tables
 
@@ -360,7 +362,6 @@ def _negated_events():
     tail = EVENTS.split("swing AS (", 1)[1]
     names = ["swing", "bands", "state", "edge", "island", "ranked", "closed", "peaks", "filled"]
     text = "flip_filled AS (SELECT user_id, side, frame, -value AS value FROM filled), swing AS (" + tail
-    import re
     for n in names:
         text = re.sub(rf"\b(?<!flip_){n}\b(?! AS value FROM filled)", f"flip_{n}", text)
     return text.replace("FROM flip_filled), flip_swing", "FROM filled), flip_swing")
