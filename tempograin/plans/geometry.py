@@ -193,8 +193,8 @@ def _(t):
 
 # Fixed values of two example cameras.
 CAMERAS = {
-    "PG1": {"R": g.rotation_about("x", 80.0), "t": [5.0, -10.0, 900.0], "fx": 980.0, "fy": 975.0, "cx": 400.0, "cy": 300.0, "k1": -0.11, "k2": 0.02},
-    "PG2": {"R": g.rotation_about("y", 35.0), "t": [-15.0, 4.0, 700.0], "fx": 990.0, "fy": 985.0, "cx": 410.0, "cy": 295.0, "k1": -0.09, "k2": 0.01}}
+    "cam_a": {"R": g.rotation_about("x", 80.0), "t": [5.0, -10.0, 900.0], "fx": 980.0, "fy": 975.0, "cx": 400.0, "cy": 300.0, "k1": -0.11, "k2": 0.02},
+    "cam_b": {"R": g.rotation_about("y", 35.0), "t": [-15.0, 4.0, 700.0], "fx": 990.0, "fy": 985.0, "cx": 410.0, "cy": 295.0, "k1": -0.09, "k2": 0.01}}
 
 
 def _camera_sql() -> str:
