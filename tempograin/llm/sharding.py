@@ -66,11 +66,13 @@ def propagate(labels: DataFrame, shards: int, quota: int, rounds: int) -> DataFr
     ``shards`` rows a group; the pairs of a group are never formed. The first round is for
     the groups that are large against a quota, so that small ones do not stand in their way.
     """
+    full: list[int] = []
     for step in range(rounds + 1):
         asks = F.lit(True) if step else _is_large(quota)
         cells = labels.groupBy(*TEXT_KEY, "copies", "shard").agg(F.count(F.lit(1)).alias("_here"))
+        avoided = F.lit(False) if not full else F.col("shard").isin(full) & ~_is_large(quota)
         order = Window.partitionBy(*TEXT_KEY).orderBy(
-            F.desc("_here"), F.xxhash64(*TEXT_KEY, "shard"), "shard")
+            avoided, F.desc("_here"), F.xxhash64(*TEXT_KEY, "shard", F.lit(step)), "shard")
         homes = stored(
             cells.withColumn("_place", F.row_number().over(order))
             .filter(F.col("_place") <= F.ceil(F.col("copies") / F.lit(quota)))
@@ -89,6 +91,7 @@ def propagate(labels: DataFrame, shards: int, quota: int, rounds: int) -> DataFr
         for s, r in flows.items():
             if r["ask"]:
                 allowed[s] = min(1.0, max(0, quota - r["stay"]) / r["ask"])
+        full = [s for s, r in flows.items() if r["stay"] >= quota]
         share = F.get(F.array(*[F.lit(a) for a in allowed]), F.col("_target"))
         labels = asked.withColumn(
             "shard", F.when(F.col("_draw") < share, F.col("_target")).otherwise(F.col("shard"))
