@@ -29,9 +29,9 @@ LENGTH = 50
 ANCHOR = 16
 REACH = LENGTH - ANCHOR + 1  # anchors in a string; a string starts up to REACH - 1 bytes before its anchor
 RECORD = LENGTH + 1 + (REACH - 1) + 1  # what follows, its length, what precedes (backwards), its length
-RUN_BYTES = 8 << 20
-BUCKET_BYTES = 32 << 20  # of text for each bucket of anchors
-BLOCK = 1 << 20
+RUN_BYTES = 6 << 20
+BUCKET_BYTES = 8 << 20  # of text for each bucket of anchors
+BLOCK = 256 << 10
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 LAST_ID = (1 << 63) - 1  # stands for a null doc_id, which comes after all others
 ALL = (1 << REACH) - 1
@@ -41,7 +41,7 @@ PARTS = "kind int, run long, bucket int, n long, data binary"
 
 
 def _pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def _unpack(data: bytes) -> bytes:
@@ -190,14 +190,16 @@ class Contexts:
             if len(part) > 1:
                 agree[1:] = (part[1:] != part[:-1]).argmax(axis=1)
             tails = part[np.arange(RECORD)[None, :] >= agree[:, None]].tobytes()
-            body = agree.astype(np.uint8).tobytes() + self.least[a:b].astype("<i8").tobytes() + tails
+            ids = self.least[a:b].astype("<i8").view(np.uint8).reshape(-1, 8).T
+            body = agree.astype(np.uint8).tobytes() + np.ascontiguousarray(ids).tobytes() + tails
             yield bucket, len(part), _pack(body)
 
 
 def decoded(n: int, data: bytes) -> Iterator[tuple[int, bytes, int]]:
     """(bytes shared with the record before, record, smallest doc_id) of a front-coded run."""
     body = _unpack(data)
-    agree, least, at, before = body[:n], np.frombuffer(body, "<i8", n, n).tolist(), 9 * n, b""
+    ids = np.ascontiguousarray(np.frombuffer(body, np.uint8, 8 * n, n).reshape(8, n).T).reshape(-1).view("<i8")
+    agree, least, at, before = body[:n], ids.tolist(), 9 * n, b""
     for k in range(n):
         shared = agree[k]
         end = at + RECORD - shared
