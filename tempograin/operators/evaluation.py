@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempograin.functions.numeric import portable_hash, ratio
-from tempograin.operators.ordered import Index, RunningSum, cut, quantiles
+from tempograin.operators.ordered import Index, RunningSum, cut, join_same, quantiles
 from tempograin.session import durable
 
+# The seeds and the number of folds of the protocol.
 SEEDS = [11, 23, 37, 53, 71]
 N_FOLDS = 5
 
@@ -164,7 +165,7 @@ def percentile_interval(df: DataFrame, keys: list[str], value: str) -> DataFrame
     if not keys:
         return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean")).withColumns(
             {c: q.select(c).scalar() for c in ("lo", "hi")})
-    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean")).join(q, keys)
+    return join_same(df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean")), q, keys)
 
 
 def paired_fold_delta(a: DataFrame, b: DataFrame, folds: list[str], value: str) -> DataFrame:
@@ -197,7 +198,7 @@ def bootstrap_draws(subjects: DataFrame, keys: list[str], subject: str, reps: in
     numbered = cut(subjects.select(*keys, subject).distinct(), keys, [subject]).add(_i=Index()).rows()
     if keys:
         sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        sized = numbered.join(sizes, keys)
+        sized = join_same(numbered, sizes, keys)
     else:
         sized = numbered.withColumn("_n", numbered.agg(F.count(F.lit(1))).scalar())
     # Numbering may leave the subjects in few partitions, and each becomes ``reps`` rows:
@@ -208,7 +209,7 @@ def bootstrap_draws(subjects: DataFrame, keys: list[str], subject: str, reps: in
              .withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
              .withColumn("_pick", pick)
              .groupBy(*keys, "rep", "_pick").agg(F.count(F.lit(1)).alias("w")))
-    return draws.join(numbered.withColumnRenamed("_i", "_pick"), [*keys, "_pick"]).select(*keys, "rep", subject, "w")
+    return join_same(draws, numbered.withColumnRenamed("_i", "_pick"), [*keys, "_pick"]).select(*keys, "rep", subject, "w")
 
 
 def bootstrap_mean(per_subject: DataFrame, keys: list[str], subject: str, value: str, reps: int = 2000,
@@ -220,12 +221,12 @@ def bootstrap_mean(per_subject: DataFrame, keys: list[str], subject: str, value:
     known = per_subject.filter(F.col(value).isNotNull())
     draws = bootstrap_draws(known, keys, subject, reps, seed)
     # One row per replicate: written once, since several summaries read it.
-    means = durable(draws.join(known.select(*keys, subject, value), [*keys, subject])
+    means = durable(join_same(draws, known.select(*keys, subject, value), [*keys, subject])
                     .groupBy(*keys, "rep").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("_m")))
     q = quantiles(means, keys, "_m", {"lo": 0.025, "hi": 0.975})
     head = [F.count(F.lit(1)).alias("n_subjects"), F.avg(value).alias("mean")]
     if keys:
-        return known.groupBy(*keys).agg(*head).join(q, keys, "left")
+        return join_same(known.groupBy(*keys).agg(*head), q, keys, "left")
     return known.agg(*head).withColumns({c: q.select(c).scalar() for c in ("lo", "hi")})
 
 
@@ -316,7 +317,7 @@ def most_confident(df: DataFrame, fold: list[str], score: str, row: str, coverag
     ranked = df.withColumn("_unsure", -F.round(F.abs(F.col(score) - 0.5), 9))
     placed = cut(ranked, fold, ["_unsure", row]).add(_i=Index()).rows()
     sizes = df.groupBy(*fold).agg(F.count(F.lit(1)).alias("_n"))
-    levels = placed.join(sizes, fold).withColumn("coverage", F.explode(F.array(*[F.lit(c) for c in coverages])))
+    levels = join_same(placed, sizes, fold).withColumn("coverage", F.explode(F.array(*[F.lit(c) for c in coverages])))
     keep = F.greatest(F.lit(2), F.rint(F.round(F.col("coverage") * F.col("_n"), 6)).cast("long"))
     return levels.filter(F.col("_i") < keep).drop("_i", "_n", "_unsure")
 

@@ -35,7 +35,7 @@ def preprocessor(numeric: list[str], categorical: list[str], missing: str = "exp
     stages, parts = [], []
     if numeric:
         filled = [f"{c}_filled" for c in numeric]
-        stages += [Imputer(strategy="median", inputCols=numeric, outputCols=filled),
+        stages += [Imputer(strategy="median", relativeError=1e-9, inputCols=numeric, outputCols=filled),
                    VectorAssembler(inputCols=filled, outputCol="_numbers"),
                    StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True)]
         last = "_scaled"

@@ -1,26 +1,26 @@
 """Ordered computations per group that survive one group holding most of the rows.
 
-A window partitioned by a group key sends the whole group to one task. Here the order
-axis is first cut into chunks by quantiles of the order column, windows run per
-(group, chunk), and a much smaller table with one row per (group, chunk) carries the
-state across chunk borders. Small inputs skip the cut and use the ordinary window.
-
-The result is the same whatever the cut: chunk borders are literals in the plan, so a
-recomputed task sees the same chunks.
+A window partitioned by a group key sends the whole group to one task. Here the rows are
+first cut into chunks by ranges of all order columns, windows run per (group, chunk), and
+a much smaller table with one row per (group, chunk) carries the state across chunk
+borders. Small inputs skip the cut and use the ordinary window.
+
+The result is the same whatever the cut: each row's chunk is written with it, so a
+recomputed task sees the same chunks. Chunks follow Spark's own sort order, so order
+columns may be of any sortable type, null or NaN, and group keys may be null.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempograin import session
 
 CHUNK = "_chunk"
-MAX_CHUNKS = 10_000
+GROUP = "_group"  # the group keys as one value, in which nulls are equal
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ class Neighbour:
 
 @dataclass
 class Ordered:
-    """Rows with a total order inside each group; ``order`` columns are never null."""
+    """Rows with a total order inside each group; nulls come first, as in any sort."""
 
     df: DataFrame
     keys: list[str]
@@ -85,7 +85,8 @@ class Ordered:
                 part.orderBy(*[F.col(c).desc() for c in order]))
 
     def _add_across_chunks(self, specs) -> "Ordered":
-        cell = [*self.keys, CHUNK]
+        group = [GROUP] if self.keys else []
+        cell = [*group, CHUNK]
         forward, backward = self._windows(cell, self.order)
         local = {name: _local(spec, forward, backward) for name, spec in specs.items()}
         local["_first"] = F.row_number().over(forward) == 1
@@ -94,7 +95,7 @@ class Ordered:
         position = F.struct(*self.order)
         summaries = self.df.groupBy(*cell).agg(
             *[_summary(spec, position).alias(f"_s_{name}") for name, spec in specs.items()])
-        over_chunks, over_chunks_back = self._windows(self.keys, [CHUNK])
+        over_chunks, over_chunks_back = self._windows(group, [CHUNK])
         carries = summaries.select(*cell, *[
             _carry(spec, F.col(f"_s_{name}"), over_chunks, over_chunks_back).alias(f"_c_{name}")
             for name, spec in specs.items()])
@@ -106,8 +107,8 @@ class Ordered:
         return Ordered(session.durable(out), self.keys, self.order, True)
 
     def rows(self) -> DataFrame:
-        """The rows without the chunk column."""
-        return self.df.drop(CHUNK)
+        """The rows without the columns of the cut."""
+        return self.df.drop(CHUNK, GROUP)
 
 
 def _local(spec, forward, backward) -> Column:
@@ -171,8 +172,21 @@ def _combine(spec, local: Column, carry: Column) -> Column:
     return F.when(edge, carry).otherwise(local)
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, in which nulls are equal; the keys are those of ``left``."""
+    named = right.select(*[F.col(k).alias(f"_same_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
+    return left.join(named, condition, how).drop(*[f"_same_{k}" for k in keys])
+
+
 def cut(df: DataFrame, keys: list[str], order: list[str]) -> Ordered:
-    """Prepare ordered computations per ``keys``; ``order[0]`` is numeric or a time."""
+    """Prepare ordered computations per ``keys``.
+
+    A border may fall between any two rows whose order columns differ, so a value that
+    many rows share in the first column is split by the others.
+    """
     if session.surely_small(df):
         return Ordered(df, keys, order)
     size = session.rows_per_chunk(df.sparkSession) or session.DEFAULT_ROWS_PER_CHUNK
@@ -180,26 +194,10 @@ def cut(df: DataFrame, keys: list[str], order: list[str]) -> Ordered:
     n = base.count()
     if n <= size:
         return Ordered(base, keys, order)
-    axis = base.withColumn("_axis", _as_number(base, order[0]))
-    pieces = min(MAX_CHUNKS, -(-n // size))
-    probs = [i / pieces for i in range(1, pieces)]
-    borders = sorted(set(axis.stat.approxQuantile("_axis", probs, 1.0 / (4 * pieces))))
-    splits = [float("-inf"), *borders, float("inf")]
-    chunked = (Bucketizer(splits=splits, inputCol="_axis", outputCol=CHUNK, handleInvalid="keep")
-               .transform(axis).drop("_axis"))
-    return Ordered(chunked, keys, order, True)
-
-
-def _as_number(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType.typeName()
-    if kind == "timestamp":
-        return F.unix_micros(F.col(name)).cast("double")
-    if kind == "timestamp_ntz":
-        # Measured without a time zone, so that the axis never runs backwards.
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)").cast("double")
-    if kind == "date":
-        return F.unix_date(name).cast("double")
-    return F.col(name).cast("double")
+    ranged = base.repartitionByRange(-(-n // size), *order).withColumn(CHUNK, F.spark_partition_id())
+    if keys:
+        ranged = ranged.withColumn(GROUP, F.struct(*keys))
+    return Ordered(session.durable(ranged), keys, order, True)
 
 
 # ------------------------------------------------------------------ lookups in range
@@ -213,7 +211,8 @@ def with_halo(df: DataFrame, index: str, reach: int, block: int = 100_000) -> Da
     """
     forced = session.rows_per_chunk(df.sparkSession)
     if forced:
-        block = min(block, max(forced, reach + 1))
+        block = min(block, forced)
+    block = max(block, reach + 1)
     home = F.floor(F.col(index) / F.lit(block))
     offset = F.pmod(F.col(index), F.lit(block))
     seats = F.filter(
@@ -247,7 +246,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     ranked = cut(counts.filter(F.col(value).isNotNull()), keys, [value]).add(_cum=RunningSum(F.col("_n"))).rows()
     total = F.max("_cum").alias("_total")
     totals = ranked.groupBy(*keys).agg(total) if keys else ranked.agg(total)
-    placed = ranked.join(totals, keys) if keys else _attach_row(ranked, totals)
+    placed = join_same(ranked, totals, keys) if keys else _attach_row(ranked, totals)
     exprs = []
     for name, p in probs.items():
         pos = F.lit(p) * (F.col("_total") - 1)
@@ -260,7 +259,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     result = found.select(*keys, *picked)
     if not keys:
         return result
-    return counts.select(*keys).distinct().join(result, keys, "left")
+    return join_same(counts.select(*keys).distinct(), result, keys, "left")
 
 
 def _attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -276,7 +275,7 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> Data
     ranked = cut(counts, keys, [value]).add(_cum=RunningSum(F.col("_n"))).rows()
     ranks = ranked.select(
         *keys, value, (F.col("_cum") - (F.col("_n") - 1) / F.lit(2.0)).alias(name))
-    return df.join(ranks, [*keys, value])
+    return join_same(df.filter(F.col(value).isNotNull()), ranks, [*keys, value])
 
 
 # --------------------------------------------------------------------------- islands

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tempograin.functions.numeric import correlation, ratio
 from tempograin.operators.ordered import (
-    Index, Known, Neighbour, RunningSum, block_window, cut, interval_join, quantiles,
+    Index, Known, Neighbour, RunningSum, block_window, cut, interval_join, join_same, quantiles,
     runs, with_halo)
 
 # Fixed values of the method: plausible cycle length in seconds, trigger band as a share
@@ -223,7 +223,7 @@ def stance_fraction(series: DataFrame, keys: list[str], bar: float, min_frames:
         "share", F.col("n") / F.nullif(F.col("next2") - F.col("lo"), F.lit(0)))
     kept = share.filter((F.col("share") > keep[0]) & (F.col("share") < keep[1]))
     medians = quantiles(kept, keys, "share", {"median_share": 0.5})
-    return kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_strides")).join(medians, keys)
+    return join_same(kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_strides")), medians, keys)
 
 
 def zero_crossing_rate(series: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tempograin.functions.numeric import correlation, normal_tail, portable_hash, ratio
 from tempograin.operators.evaluation import bootstrap_draws
 from tempograin.operators.ordered import (
-    Index, Neighbour, RunningMax, RunningMin, RunningSum, average_ranks, cut, quantiles)
+    Index, Neighbour, RunningMax, RunningMin, RunningSum, average_ranks, cut, join_same, quantiles)
 from tempograin.session import durable
 
 
@@ -39,10 +39,14 @@ def holm(tests: DataFrame, p: str, name: str, alpha: float = 0.05) -> DataFrame:
             .withColumn("reject", F.col("p_holm") < alpha).drop("_i", "_m", "_adj"))
 
 
+EXACT_ROWS = 50
+
+
 def wilcoxon(deltas: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Signed-rank test per key: zeros dropped, ties averaged, normal approximation.
+    """Signed-rank test per key: zeros dropped, ties averaged.
 
-    All-zero differences give p = 1. Small samples are approximated too.
+    Up to ``EXACT_ROWS`` differences without ties or zeros p is exact, by counting the sign
+    patterns; otherwise the normal approximation. All-zero differences give p = 1.
     """
     nonzero = deltas.filter(F.col(value) != 0).withColumn("_a", F.round(F.abs(F.col(value)), 12))
     ranked = average_ranks(nonzero, keys, "_a", "_r")
@@ -53,9 +57,26 @@ def wilcoxon(deltas: DataFrame, keys: list[str], value: str) -> DataFrame:
     n = F.col("n").cast("double")
     variance = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_tie") / 48.0
     z = (F.col("w_plus") - n * (n + 1) / 4.0) / F.sqrt(F.nullif(variance, F.lit(0.0)))
-    scored = sums.join(ties, keys).withColumn("z", z).withColumn("_p", F.least(F.lit(1.0), 2.0 * normal_tail(F.abs("z"))))
-    return (deltas.select(*keys).distinct().join(scored, keys, "left")
-            .select(*keys, F.coalesce("n", F.lit(0)).alias("n"), "w_plus", "z", F.coalesce("_p", F.lit(1.0)).alias("p")))
+    scored = join_same(sums, ties, keys).withColumn("z", z).withColumn("_p", F.least(F.lit(1.0), 2.0 * normal_tail(F.abs("z"))))
+    zeros = F.count_if(F.col(value) == 0).alias("_zeros")
+    groups = deltas.groupBy(*keys).agg(zeros) if keys else deltas.agg(zeros)
+    countable = (F.col("_zeros") == 0) & (F.col("_tie") == 0) & F.col("n").between(1, EXACT_ROWS)
+    p = F.when(countable, exact_signed_rank(F.col("w_plus"), F.col("n"))).otherwise(F.col("_p"))
+    return (join_same(groups, scored, keys, "left")
+            .select(*keys, F.coalesce("n", F.lit(0)).alias("n"), "w_plus", "z", F.coalesce(p, F.lit(1.0)).alias("p")))
+
+
+def exact_signed_rank(w_plus: Column, n: Column) -> Column:
+    """Two-sided p of a rank sum of ``n`` untied differences, from the counted null distribution."""
+    none = F.lit(0.0)
+    counts = F.aggregate(
+        F.sequence(F.lit(1), n.cast("int")), F.array(F.lit(1.0)),
+        lambda c, k: F.zip_with(F.concat(c, F.array_repeat(none, k)), F.concat(F.array_repeat(none, k), c), lambda a, b: a + b))
+    w = F.round(w_plus).cast("int")
+    both = F.transform(F.array(counts), lambda c: F.least(
+        F.aggregate(F.slice(c, F.lit(1), w + 1), none, lambda s, x: s + x),
+        F.aggregate(F.slice(c, w + 1, F.size(c)), none, lambda s, x: s + x)))[0]
+    return F.least(F.lit(1.0), 2.0 * both / F.pow(F.lit(2.0), n))
 
 
 def student_tail(t: Column, df: int) -> Column:

@@ -335,12 +335,12 @@ def _(t):
 
 @query("a07_top_diagnoses", f"""WITH {COHORT}
 SELECT injury, count(*) AS sessions, count(DISTINCT sub_id) AS subjects FROM cohort
-WHERE status = 'injured' AND injury NOT IN {_NO_INJURY} GROUP BY 1 ORDER BY sessions DESC, injury LIMIT 2""")
+WHERE status = 'injured' AND injury NOT IN {_NO_INJURY} GROUP BY 1 ORDER BY sessions DESC, injury LIMIT 10""")
 def _(t):
     injured = cohort(t).filter((F.col("status") == "injured") & ~F.col("injury").isin(tx.NO_INJURY_TOKENS))
     per = injured.groupBy("injury", "sub_id").agg(F.count(F.lit(1)).alias("n"))
     return (per.groupBy("injury").agg(F.sum("n").alias("sessions"), F.count(F.lit(1)).alias("subjects"))
-            .orderBy(F.desc("sessions"), "injury").limit(2))
+            .orderBy(F.desc("sessions"), "injury").limit(10))
 
 
 @query("a08_repeats", """SELECT sessions, count(*) AS subjects FROM (

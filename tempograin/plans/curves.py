@@ -171,7 +171,7 @@ def _(t):
     return doubles(t).select("vec_id", rounded(arrays.resample(F.col("curve"), 101, 0.36)).alias("curve"))
 
 
-def cycle_curves(t: Tables, n: int = 24) -> DataFrame:
+def cycle_curves(t: Tables, n: int = 101) -> DataFrame:
     """Plausible cycles of each leg as ``n``-point curves; samples stay unfilled."""
     spans = leg_cycles(t).filter("plausible").select(*LEG, "cycle_id", "lo", "hi", (F.col("hi") + 1).alias("_end"))
     inside = interval_join(leg_frames(t).select(*LEG, "frame", "value"), spans, LEG, "frame", "lo", "_end")
@@ -184,7 +184,7 @@ pts AS (
   FROM cyc c JOIN legs l ON l.user_id = c.user_id AND l.side = c.side AND l.frame BETWEEN c.lo AND c.hi
   WHERE c.plausible),
 sizes AS (SELECT user_id, side, cycle_id, lo, hi, count(value) AS n FROM pts GROUP BY 1, 2, 3, 4, 5),
-grid AS (SELECT *, lo + (hi - lo) * i / 23.0::DOUBLE AS x FROM sizes, (SELECT unnest(generate_series(0, 23)) AS i) WHERE n >= 2),
+grid AS (SELECT *, lo + (hi - lo) * i / 100.0::DOUBLE AS x FROM sizes, (SELECT unnest(generate_series(0, 100)) AS i) WHERE n >= 2),
 around AS (
   SELECT g.user_id, g.side, g.cycle_id, g.i, g.x,
     max(p.frame) FILTER (WHERE p.frame <= g.x) AS f0, arg_max(p.value, p.frame) FILTER (WHERE p.frame <= g.x) AS v0,

@@ -270,14 +270,17 @@ def _(t):
     return joins.length_matched(t.events.filter("event_id % 2 = 0"), t.events.filter("event_id % 2 = 1"), ["user_id"])
 
 
-@query("j11_nearest_within", f"""WITH p AS (SELECT vec_id, list_transform(generate_series(1, 3), lambda i: embedding[i]::DOUBLE) AS v FROM embeddings),
-d AS (SELECT a.vec_id AS a, b.vec_id AS b, sqrt(power(a.v[1] - b.v[1], 2) + power(a.v[2] - b.v[2], 2) + power(a.v[3] - b.v[3], 2)) AS d FROM p a JOIN p b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1)
-SELECT a AS clip_id, b AS match_id, {sq('d')} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rn FROM d WHERE d <= 0.05) WHERE rn = 1""")
+DIMENSIONS, TOLERANCE = 34, 0.65
+
+
+@query("j11_nearest_within", f"""WITH p AS (SELECT vec_id, list_transform(generate_series(1, {DIMENSIONS}), lambda i: embedding[i]::DOUBLE) AS v FROM embeddings),
+d AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.v, b.v) AS d FROM p a JOIN p b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1)
+SELECT a AS clip_id, b AS match_id, {sq('d')} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rn FROM d WHERE d <= {TOLERANCE}) WHERE rn = 1""")
 def _(t):
-    v = t.embeddings.select("vec_id", F.slice("embedding", 1, 3).cast("array<double>").alias("v"))
+    v = t.embeddings.select("vec_id", F.slice("embedding", 1, DIMENSIONS).cast("array<double>").alias("v"))
     left = v.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("clip_id"), "v")
     right = v.filter("vec_id % 2 = 1").select(F.col("vec_id").alias("match_id"), "v")
-    out = joins.match_within(left, right, "clip_id", "match_id", "v", 0.05, [[1, 0, 0], [0, 1, 0], [0, 0, 1]])
+    out = joins.match_within(left, right, "clip_id", "match_id", "v", TOLERANCE, [[float(i == j) for i in range(DIMENSIONS)] for j in range(3)])
     return rounded(out, ["clip_id", "match_id"], ["distance"])
 
 

@@ -268,7 +268,8 @@ def _(t):
         r6(F.col(c)).alias(c) for c in ("binary_agreement", "score_corr", "mean_abs_score_diff")])
 
 
-COVERAGES = [0.1, 0.25, 0.5, 1.0]
+# The coverage levels of the protocol.
+COVERAGES = [1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1]
 KEPT = FOLD_SCORES + """,
 rk AS (SELECT *, row_number() OVER (PARTITION BY seed, fold ORDER BY round(abs(p - 0.5), 9) DESC, row_id) - 1 AS i, count(*) OVER (PARTITION BY seed, fold) AS n FROM fs),
 kept AS (SELECT *, coverage FROM rk, (SELECT unnest([0.1, 0.25, 0.5, 1.0]::DOUBLE[]) AS coverage) WHERE i < greatest(2, round_even(round(coverage * n, 6), 0)))"""
@@ -357,8 +358,11 @@ d AS (SELECT seed, a.auc - b.auc AS d FROM a JOIN b USING (seed, fold)),
 r AS (SELECT *, rank() OVER (PARTITION BY seed ORDER BY round(abs(d), 12)) + (count(*) OVER (PARTITION BY seed, round(abs(d), 12)) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY seed, round(abs(d), 12)) AS t FROM d WHERE d <> 0),
 s AS (SELECT seed, count(*) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w_plus, sum(t::DOUBLE * t - 1) AS tie FROM r GROUP BY 1),
 z AS (SELECT *, (w_plus - n * (n + 1) / 4.0) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - tie / 48) AS z FROM s)
-SELECT seed, n, w_plus, round(z, 6) + 0.0 AS z, round(least(1.0, 2 * (0.5 - exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(generate_series(0, 60), lambda k:
-  power(abs(z), 2 * k + 1) / list_product(list_concat([1.0::DOUBLE], list_transform(generate_series(1, k), lambda j: (2 * j + 1)::DOUBLE))))))), 6) AS p FROM z""")
+SELECT seed, n, w_plus, round(z, 6) + 0.0 AS z, round(CASE WHEN tie = 0 AND n = total AND n <= 20 THEN least(1.0, 2 * least(
+  (SELECT count(*) FROM generate_series(0, (1 << n) - 1) AS m(m) WHERE list_sum(list_transform(generate_series(1, n), lambda j: ((m >> (j - 1)) & 1) * j)) <= w_plus),
+  (SELECT count(*) FROM generate_series(0, (1 << n) - 1) AS m(m) WHERE list_sum(list_transform(generate_series(1, n), lambda j: ((m >> (j - 1)) & 1) * j)) >= w_plus)) / power(2.0, n))
+  ELSE least(1.0, 2 * (0.5 - exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(generate_series(0, 60), lambda k:
+  power(abs(z), 2 * k + 1) / list_product(list_concat([1.0::DOUBLE], list_transform(generate_series(1, k), lambda j: (2 * j + 1)::DOUBLE))))))) END, 6) AS p FROM z JOIN (SELECT seed, count(*) AS total FROM d GROUP BY 1) USING (seed)""")
 def _(t):
     fs = fold_scores(t)
     a, b = (ev.auc(fs, FOLD, "y", c).select(*FOLD, F.col("auc").alias(c)) for c in ("p", "q"))

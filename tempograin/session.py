@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -44,10 +45,13 @@ def build_session(app: str = "tempograin", master: str | None = None,
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, a laptop) is a local one created.
+    Only a local session that names none (tests, a laptop) gets a folder of its own; on a
+    cluster such a folder would be the driver's alone, so the setting is required.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None and context.getCheckpointDir() is None and not re.match(r"local($|\[)", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
     return configured or context.getCheckpointDir()

@@ -112,3 +112,80 @@ def test_chunk_borders_do_not_change_ties(spark, chunked):
     df = spark.range(300).select((F.col("id") % 3).alias("k"), F.floor(F.col("id") / 3).alias("t"))
     got = od.cut(df, ["k"], ["t"]).add(i=Index()).rows().toPandas()
     assert (got.i == got.t).all()
+
+# ------------------------------------------------- the two paths against each other
+
+def odd_rows(spark):
+    """Null and NaN keys, null, NaN, tied and text order values."""
+    rng = np.random.default_rng(8)
+    rows = [(None if i % 5 == 0 else float("nan") if i % 5 == 1 else float(i % 3),
+             None if i % 11 == 0 else float("nan") if i % 13 == 0 else float(rng.integers(0, 6)),
+             None if i % 17 == 0 else str(int(rng.integers(0, 200))), i, None if i % 4 == 0 else float(rng.integers(0, 9)))
+            for i in range(400)]
+    return spark.createDataFrame(rows, "k double, t double, s string, id long, v double")
+
+
+def same_rows(a, b):
+    return sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
+@pytest.mark.parametrize("keys", [[], ["k"], ["k", "s"]])
+@pytest.mark.parametrize("order", [["id"], ["t", "id"], ["s", "id"], ["s", "t", "id"]])
+def test_paths_agree_on_odd_values(spark, chunked, keys, order):
+    df, v = odd_rows(spark), F.col("v")
+    def run():
+        out = od.cut(df, keys, order).add(
+            i=Index(), s_=RunningSum(v), lo=RunningMin(v), hi=RunningMax(v, backward=True), prev=Known(v),
+            next=Known(v, backward=True), lag=Neighbour(v), lead=Neighbour(v, backward=True))
+        return out.chunked, out.rows()
+    plain, want = run()
+    chunked(30)
+    cut_up, got = run()
+    assert (plain, cut_up) == (False, True)
+    assert got.count() == 400 and same_rows(got, want)
+
+
+@pytest.mark.parametrize("keys", [["k"], ["s"]])
+def test_quantiles_ranks_and_runs_agree_on_odd_values(spark, chunked, keys):
+    df = odd_rows(spark).withColumn("t", F.nanvl("t", F.lit(None).cast("double")))
+    def run():
+        ordered = od.cut(df, keys, ["id"]).add(i=Index())
+        return [od.quantiles(df, keys, "v", {"a": 0.1, "b": 0.5}), od.average_ranks(df, keys, "v", "r"),
+                od.runs(ordered, F.col("v") > 2, "i")]
+    want = [x.collect() for x in run()]
+    chunked(30)
+    for got, w in zip(run(), want):
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, w))
+    assert any(r["k" if keys == ["k"] else "s"] is None and r["b"] is not None for r in want[0])
+
+
+def test_ties_on_the_first_column_are_split(spark, chunked):
+    chunked(100)
+    df = spark.range(4000).select(F.lit(1).alias("a"), F.col("id").alias("b"))
+    out = od.cut(df, [], ["a", "b"]).add(i=Index())
+    assert out.df.select(od.CHUNK).distinct().count() >= 30
+    assert out.rows().filter("i != b").count() == 0
+
+
+def test_halo_reaches_over_a_block(spark):
+    df = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("frame"))
+    halo = od.with_halo(df, "frame", 250, block=100)
+    w = od.block_window(["k"], "frame")
+    rows = halo.select("frame", "_halo", F.lead("frame", 250).over(w).alias("x")).filter("not _halo")
+    assert rows.count() == 1000 and rows.filter("x = frame + 250").count() == 750
+
+
+def test_exact_signed_rank_p(spark):
+    from tempograin.operators import statistics as st
+    rng = np.random.default_rng(2)
+    rows = [(k if k else None, float(d)) for k, n in enumerate((6, 9, 12)) for d in rng.normal(0.4, 1, n)]
+    rows += [(7, 1.0), (7, 1.0), (7, -2.0), (8, 0.0), (8, 0.0)]
+    got = {r.k: r for r in st.wilcoxon(spark.createDataFrame(rows, "k long, d double"), ["k"], "d").collect()}
+    for key in (None, 1, 2):
+        d = np.array([x for k, x in rows if k == key])
+        n, order = len(d), np.argsort(np.argsort(np.abs(d))) + 1
+        w = order[d > 0].sum()
+        sums = [sum(j + 1 for j in range(n) if m >> j & 1) for m in range(1 << n)]
+        p = min(1.0, 2 * min(np.mean(np.array(sums) <= w), np.mean(np.array(sums) >= w)))
+        assert (got[key].n, got[key].w_plus) == (n, w) and got[key].p == pytest.approx(p)
+    assert got[7].n == 3 and 0 < got[7].p <= 1 and (got[8].n, got[8].p) == (0, 1.0)
