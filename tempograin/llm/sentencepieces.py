@@ -30,7 +30,7 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 CACHE_CHARS = 48  # longer words are not kept
 SLICE_CHARS = 2 << 20
 
@@ -152,9 +152,12 @@ class Pieces:
         if len(self.cache) + len(found) > CACHE_WORDS:
             self.cache.clear()
             found |= self.encode_words([w for w in set().union(*split) if w not in found])
-        self.cache.update((w, ids) for w, ids in found.items() if len(w) <= CACHE_CHARS)
-        look = {**found, **self.cache} if any(len(w) > CACHE_CHARS for w in found) else self.cache
-        return [np.fromiter(itertools.chain.from_iterable(map(look.__getitem__, words)), np.int32) for words in split]
+        self.cache.update(found)
+        out = [np.fromiter(itertools.chain.from_iterable(map(self.cache.__getitem__, words)), np.int32) for words in split]
+        for word in found:
+            if len(word) > CACHE_CHARS:
+                del self.cache[word]
+        return out
 
     def decode(self, ids) -> str:
         """The text of ids: the inverse of :meth:`encode`, but for texts that hold the word mark itself."""
