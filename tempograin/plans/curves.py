@@ -204,12 +204,12 @@ def _(t):
 
 
 @query("c03_cycle_band", f"""WITH {CYCLE_CURVES}
-SELECT user_id, side, t, count(*) AS n, round(avg(value), 6) + 0.0 AS mean, round(coalesce(stddev_samp(value), 0), 6) + 0.0 AS sd
+SELECT user_id, side, t, count(*) AS n, round(avg(value), 9) + 0.0 AS mean, round(coalesce(stddev_samp(value), 0), 6) + 0.0 AS sd
 FROM curves GROUP BY 1, 2, 3""")
 def _(t):
     known = cycle_curves(t).filter(F.col("curve").isNotNull())
     out = ops.curve_band(ops.long_curves(known, LEG, "curve"), LEG)
-    return out.select(*LEG, "t", "n", r6(F.col("mean")).alias("mean"), r6(F.col("sd")).alias("sd"))
+    return out.select(*LEG, "t", "n", (F.round("mean", 9) + F.lit(0.0)).alias("mean"), r6(F.col("sd")).alias("sd"))
 
 
 @query("c05_curve_comparison", f"""WITH {SIDED},

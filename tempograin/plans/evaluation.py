@@ -272,7 +272,7 @@ def _(t):
 COVERAGES = [1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1]
 KEPT = FOLD_SCORES + """,
 rk AS (SELECT *, row_number() OVER (PARTITION BY seed, fold ORDER BY round(abs(p - 0.5), 9) DESC, row_id) - 1 AS i, count(*) OVER (PARTITION BY seed, fold) AS n FROM fs),
-kept AS (SELECT *, coverage FROM rk, (SELECT unnest([0.1, 0.25, 0.5, 1.0]::DOUBLE[]) AS coverage) WHERE i < greatest(2, round_even(round(coverage * n, 6), 0)))"""
+kept AS (SELECT *, coverage FROM rk, (SELECT unnest([1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1]::DOUBLE[]) AS coverage) WHERE i < greatest(2, round_even(round(coverage * n, 6), 0)))"""
 
 
 @query("w22_most_confident", f"""WITH {KEPT} SELECT seed, fold, coverage, row_id FROM kept""")
