@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
@@ -32,7 +33,7 @@ NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 UNKNOWN_PENALTY = 10.0
 CACHE_WORDS = 600_000
 CACHE_CHARS = 48  # longer words are not kept
-SLICE_CHARS = 2 << 20
+SLICE_BYTES = 2 << 20
 
 
 class Pieces:
@@ -196,11 +197,10 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH, check: bool
         names = ["doc_id", "n_pieces", "ids", *["round_trip"] * check]
         for batch in batches:
             texts, at = batch.column(1), 0
+            total = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             while at < batch.num_rows:
-                size, end = 0, at
-                while end < batch.num_rows and size < SLICE_CHARS:
-                    size += len(texts[end].as_py() or "")
-                    end += 1
+                before = total[at - 1] if at else 0
+                end = min(batch.num_rows, int(np.searchsorted(total, before + SLICE_BYTES)) + 1)
                 part = texts.slice(at, end - at).to_pylist()
                 ids = pieces.encode([t or "" for t in part])
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
