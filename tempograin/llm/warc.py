@@ -31,6 +31,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
 ARCHIVE_BYTES = 16 << 20  # of records before compression
+ARCHIVES_PER_TASK = 8  # when read
 DICTIONARY_BYTES = 32 << 10
 SAMPLES = 128  # records of an archive that its dictionary is made from
 CHUNK = 64 << 10
@@ -215,8 +216,11 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> Da
                             yield emit(rows)
                             rows, size = [], 0
                 yield emit(rows)
-    spread = archives.select("archive").repartition("archive")
-    return spread.mapInArrow(read, RESULT)
+    # Names are short however large the archives: an explicit count keeps adaptive execution
+    # from merging them into one task.
+    n = archives.count()
+    tasks = max(-(-n // ARCHIVES_PER_TASK), min(n, archives.sparkSession.sparkContext.defaultParallelism), 1)
+    return archives.select("archive").repartition(tasks).mapInArrow(read, RESULT)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
