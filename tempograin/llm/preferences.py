@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempograin.llm.common import query
+from tempograin.llm.common import broadcast_if_small, query, stored
 
 CHOSEN, REJECTED = 1, 2
 TURNS_PER_CHUNK = 256
@@ -54,21 +54,25 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, chunk: int = TURN
         return df.select("conv_id", F.coalesce(F.col("turn"), F.lit(-1)).cast("long").alias("turn"),
                          F.coalesce(F.col("role"), F.lit("")).alias("role"),
                          F.coalesce(F.col("text"), F.lit("")).alias("text"), F.lit(mark).alias("side"))
-    rows = side(chosen, CHOSEN).unionByName(side(rejected, REJECTED)).groupBy(
-        "conv_id", "turn", "role", "text").agg(F.bit_or("side").alias("sides"))
-    first = rows.groupBy("conv_id").agg(
-        F.min(F.when(F.col("sides") != CHOSEN | REJECTED, F.col("turn"))).alias("first_difference"))
-    key = first.withColumnRenamed("conv_id", "_id")
-    parted = rows.join(key, rows["conv_id"].eqNullSafe(key["_id"])).drop("_id")
-    turn = F.struct("turn", "role", "text")
+    rows = side(chosen, CHOSEN).unionByName(side(rejected, REJECTED))
+    # Sides are compared by digests, so the texts are moved once, when they are gathered.
+    digest = F.unhex(F.sha1(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text")))
+    first = stored(
+        rows.groupBy("conv_id", "turn", digest.alias("_digest")).agg(F.bit_or("side").alias("sides"))
+        .groupBy(F.col("conv_id").alias("_id")).agg(
+            F.min(F.when(F.col("sides") != CHOSEN | REJECTED, F.col("turn"))).alias("first_difference")), "preference-first")
     common = F.col("first_difference").isNull() | (F.col("turn") < F.col("first_difference"))
+    parted = (rows.join(broadcast_if_small(first), rows["conv_id"].eqNullSafe(first["_id"])).drop("_id")
+              .filter((F.col("side") == CHOSEN) | ~common))
+    turn = F.struct("turn", "role", "text")
+
     def turns(condition):
-        return F.sort_array(F.collect_list(F.when(condition, turn)))
+        return F.sort_array(F.collect_set(F.when(condition, turn)))
     gathered = parted.groupBy(
         "conv_id", F.floor(F.col("turn") / chunk).cast("int").alias("chunk"), "first_difference").agg(
         turns(common).alias("_prompt"),
-        turns(~common & (F.col("sides").bitwiseAND(CHOSEN) > 0)).alias("_chosen"),
-        turns(~common & (F.col("sides").bitwiseAND(REJECTED) > 0)).alias("_rejected"))
+        turns(~common & (F.col("side") == CHOSEN)).alias("_chosen"),
+        turns(~common & (F.col("side") == REJECTED)).alias("_rejected"))
     return gathered.select(
         "conv_id", "chunk", "first_difference",
         *[F.size(f"_{p}").cast("long").alias(f"n_{p}_turns") for p in ("prompt", "chosen", "rejected")],
@@ -83,16 +87,19 @@ def swapped_last_reply(conversations: DataFrame) -> DataFrame:
     """
     rows = conversations.select("conv_id", "turn", "role", "text")
     said = rows.filter(F.col("role") == "assistant")
-    last = said.groupBy("conv_id").agg(F.max("turn").alias("_last")).withColumnRenamed("conv_id", "_id")
-    earlier = said.join(last, said["conv_id"].eqNullSafe(last["_id"])).filter(F.col("turn") < F.col("_last"))
-    swap = (last.join(
-        earlier.groupBy(F.col("conv_id").alias("_from")).agg(
-            F.max(F.struct("turn", "text"))["text"].alias("_text")),
-        F.col("_id").eqNullSafe(F.col("_from")), "left").drop("_from"))
-    joined = rows.join(swap, rows["conv_id"].eqNullSafe(swap["_id"]), "left")
-    is_last = (F.col("role") == "assistant") & (F.col("turn") == F.col("_last"))
-    return joined.select("conv_id", "turn", "role",
-                         F.when(is_last, F.coalesce(F.col("_text"), F.lit(""))).otherwise(F.col("text")).alias("text"))
+    places = said.select("conv_id", "turn").distinct()
+    last = places.groupBy(F.col("conv_id").alias("_id")).agg(F.max("turn").alias("_last"))
+    earlier = places.join(last, places["conv_id"].eqNullSafe(last["_id"])).groupBy("_id", "_last").agg(
+        F.max(F.when(F.col("turn") < F.col("_last"), F.col("turn"))).alias("_before"))
+    ends = stored(earlier, "preference-ends")  # turn numbers alone, one row a conversation
+    marked = rows.join(broadcast_if_small(ends), rows["conv_id"].eqNullSafe(ends["_id"]), "left")
+    is_last = F.coalesce((F.col("role") == "assistant") & (F.col("turn") == F.col("_last")), F.lit(False))
+    other = (marked.filter((F.col("role") == "assistant") & (F.col("turn") == F.col("_before")))
+             .groupBy(F.col("conv_id").alias("_from")).agg(F.max("text").alias("_text")))
+    replaced = marked.filter(is_last).select("conv_id", "turn", "role")
+    swapped = replaced.join(other, replaced["conv_id"].eqNullSafe(other["_from"]), "left")
+    return marked.filter(~is_last).select(rows.columns).unionByName(
+        swapped.select("conv_id", "turn", "role", F.coalesce("_text", F.lit("")).alias("text")))
 
 
 _ORACLE = """
