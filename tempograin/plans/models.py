@@ -136,6 +136,14 @@ def _(t):
     return rows.filter(~F.col("dropped")).select(docs.path_key(F.col("path"), "s_suppkey").cast("long").alias("s_suppkey"), "key", "value")
 
 
+@query("r03_stream_errors", f"SELECT s_suppkey, {source_plans.STATUS} AS err FROM supplier WHERE s_suppkey % 9 = 0 OR s_suppkey % 5 = 0")
+def _(t):
+    """The documents that the stream could not take, and why."""
+    out, checkpoint = ingest.work_folders(t.spark, "errors")
+    rows = ingest.ingest_documents(t.spark, source_plans.document_folder(t), out, checkpoint)
+    return rows.filter("err <> ''").select(docs.path_key(F.col("path"), "s_suppkey").cast("long").alias("s_suppkey"), "err")
+
+
 @query("r02_stream_checks", f"""WITH {audit_plans.CHECKS}
 SELECT clip, CASE WHEN bool_or(status = 'refuse') THEN 'refuse' WHEN bool_or(status = 'warn') THEN 'warn' ELSE 'pass' END AS verdict FROM ck GROUP BY 1""")
 def _(t):

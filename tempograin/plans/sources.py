@@ -57,6 +57,13 @@ def _(t):
     return docs.header_rates(t.spark, document_folder(t), "hz_r").groupBy("hz_r").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s03_header_survey", f"""WITH {DOCS}, l AS (SELECT '120' AS hz_w, CAST(100 + s_suppkey % 3 * 20 AS VARCHAR) AS hz_r, s_suppkey % 5 = 0 AS matched FROM docs)
+SELECT CASE WHEN matched THEN hz_w END AS hz_w, CASE WHEN matched THEN hz_r END AS hz_r, CASE WHEN matched THEN '[]' END AS dv_r, matched, count(*) AS n FROM l GROUP BY 1, 2, 3, 4""")
+def _(t):
+    """Both rates and the block by combination: an empty block is a level, a full one is not matched."""
+    return docs.header_survey(t.spark, document_folder(t), ["hz_w", "hz_r", "dv_r"])
+
+
 @query("s04_file_metadata", f"WITH {DOCS} SELECT s_suppkey, round((strlen(doc) + 1) / 1e6, 6) AS size_mb FROM docs")
 def _(t):
     rows = t.spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(document_folder(t))

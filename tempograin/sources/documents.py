@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,11 +61,41 @@ def path_key(path: Column, name: str) -> Column:
     return F.regexp_extract(path, f"/{name}=([^/]+)/", 1)
 
 
+def file_heads(spark: SparkSession, path: str, size: int = HEADER_BYTES) -> DataFrame:
+    """(path, head): the first ``size`` bytes of each file; no more than these is read."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = []
+            for name in batch.column(0).to_pylist():
+                fs, place = pyarrow.fs.FileSystem.from_uri(name)
+                with fs.open_input_file(place) as f:
+                    heads.append(f.read(size))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.binary())], names=["path", "head"])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.col("_metadata.file_path").alias("path")).mapInArrow(read, "path string, head binary")
+
+
+def header_levels(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+    """What each file's head gives for ``fields``: the number as text, ``[]``, or NULL if neither is there."""
+    # One character a byte, so a head that ends inside a character is no error.
+    head = F.decode("head", "ISO-8859-1")
+    found = [F.nullif(F.regexp_extract(head, f'"{f}"\\s*:\\s*(\\[\\]|[0-9.]+)', 1), F.lit("")).alias(f) for f in fields]
+    return file_heads(spark, path).select("path", *found)
+
+
 def header_rates(spark: SparkSession, path: str, field: str) -> DataFrame:
     """A number found in the first 4 KB of each file, by regular expression."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    head = F.decode(F.substring("content", 1, HEADER_BYTES), "UTF-8")
-    return files.select("path", F.regexp_extract(head, f'"{field}"\\s*:\\s*([0-9.]+)', 1).try_cast("double").alias(field))
+    return header_levels(spark, path, [field]).withColumn(field, F.col(field).try_cast("double"))
+
+
+def header_survey(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+    """How many files have each combination of levels; files that lack one are counted as not ``matched``."""
+    levels = header_levels(spark, path, fields)
+    matched = F.lit(True)
+    for f in fields:
+        matched = matched & F.col(f).isNotNull()
+    return levels.groupBy(*[F.when(matched, F.col(f)).alias(f) for f in fields], matched.alias("matched")).agg(
+        F.count(F.lit(1)).alias("n"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

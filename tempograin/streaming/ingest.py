@@ -26,16 +26,25 @@ def run_available(stream: DataFrame, transform: Callable[[DataFrame], DataFrame]
 
 
 def ingest_documents(spark: SparkSession, folder: str, out: str, checkpoint: str, per_batch: int = 1000) -> DataFrame:
-    """Flattened side scalars of every document in ``folder``, each document once."""
+    """Flattened side scalars of every document in ``folder``, each document once.
+
+    A document that cannot be read, or lacks its block, is one dropped row without a key;
+    its ``err`` says why. For all other rows it is empty.
+    """
     stream = (spark.readStream.schema("value string").option("wholetext", True).option("recursiveFileLookup", True)
               .option("maxFilesPerTrigger", per_batch).text(folder)
               .select("value", F.col("_metadata.file_path").alias("path")))
 
     def flatten(batch: DataFrame) -> DataFrame:
-        parsed = batch.select("path", F.try_parse_json("value").alias("doc")).filter(F.col("doc").isNotNull())
-        return docs.flatten_blocks(parsed, ["path"], "doc", {"left": "$.dv_r.left", "right": "$.dv_r.right"})
+        judged = docs.batch_status(batch, "$.dv_r")
+        parsed = judged.filter("ok").select("path", F.try_parse_json("value").alias("doc"))
+        flat = docs.flatten_blocks(parsed, ["path"], "doc", {"left": "$.dv_r.left", "right": "$.dv_r.right"})
+        failed = judged.filter("not ok").select(
+            "path", F.lit(None).cast("string").alias("key"), F.lit(None).cast("double").alias("value"),
+            F.lit(True).alias("dropped"), "err")
+        return flat.withColumn("err", F.lit("")).unionByName(failed)
     run_available(stream, flatten, out, checkpoint)
-    return spark.read.schema("path string, key string, value double, dropped boolean").option("recursiveFileLookup", True).parquet(out)
+    return spark.read.schema("path string, key string, value double, dropped boolean, err string").option("recursiveFileLookup", True).parquet(out)
 
 
 def check_clips(spark: SparkSession, folder: str, schema, out: str, checkpoint: str) -> DataFrame:

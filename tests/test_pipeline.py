@@ -33,6 +33,25 @@ def test_documents_are_ingested_once(spark):
     assert sorted(r["value"] for r in got.collect()) == [0, 1, 2, 3, 4]
 
 
+def test_documents_that_fail_are_rows_with_a_reason(spark):
+    texts = ['{"dv_r": {"left": {"K": 1}, "right": []}}', '{"dv_r": ', '{"dv_r": []}', '{"a": 1}', "null"]
+    rows = spark.createDataFrame([(t,) for t in texts], "doc string")
+    folder = docs.write_one_per_file(rows, "doc", "failing")
+    got = ingest.ingest_documents(spark, folder, *ingest.work_folders(spark, "failing"))
+    assert sorted(r["err"] for r in got.collect()) == [
+        "", "block is empty", "block missing", "block missing", "not valid JSON"]
+    assert {r["err"] == "" for r in got.filter("not dropped").collect()} == {True}
+
+
+def test_header_levels_read_no_further_than_the_head(spark):
+    texts = ['{"hz_w": 120, "hz_r": []}', '{"hz_w": 120.5, "hz_r": 200}', '{"hz_w": 120}',
+             '{"x": "%s", "hz_w": 120, "hz_r": 200}' % ("é" * 4096)]
+    folder = docs.write_one_per_file(spark.createDataFrame([(t,) for t in texts], "doc string"), "doc", "heads")
+    assert {len(r["head"]) <= docs.HEADER_BYTES for r in docs.file_heads(spark, folder).collect()} == {True}
+    got = {(r["hz_w"], r["hz_r"], r["matched"]): r["n"] for r in docs.header_survey(spark, folder, ["hz_w", "hz_r"]).collect()}
+    assert got == {("120", "[]", True): 1, ("120.5", "200", True): 1, (None, None, False): 2}
+
+
 @pytest.mark.parametrize("n", [1, 5, 8, 9, 17, 40])
 def test_window_blend_of_the_identity_is_the_series(spark, n):
     df = spark.createDataFrame([(1, i, float(i * i)) for i in range(n)], "k int, frame bigint, v double")
