@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -52,6 +53,47 @@ def uniform(*parts: Column) -> Column:
     return (portable_hash(*parts) + 0.5) / float(2 ** 32)
 
 
+# Two odd multipliers and a prime: products of two 31-bit numbers stay in a 64-bit integer.
+REPLICATE_PRIME = 2 ** 31 - 1
+REPLICATE_MIX = (1597334677, 741103597)
+# Draws up to each limit give 0, 1, 2, ... times the row: the Poisson(1) distribution.
+REPLICATE_LIMITS = [int(REPLICATE_PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)))
+                    for k in range(11)]
+
+
+def resampled(df: DataFrame, unit: list[str], reps: int, seed: int) -> DataFrame:
+    """``df`` once per replicate ``rep`` with the count ``w`` of its ``unit`` there; rows of count 0 are left out.
+
+    Counts are Poisson(1), a function of (seed, unit, rep) alone. Nothing is drawn elsewhere
+    and joined, so a sum per replicate is formed where the rows are.
+    """
+    x, (first, second) = F.col("_x"), REPLICATE_MIX
+    steps = [x * (2 * F.col("rep") + 1) % REPLICATE_PRIME, x.bitwiseXOR(F.shiftright(x, 15)),
+             x * first % REPLICATE_PRIME, x.bitwiseXOR(F.shiftright(x, 13)), x * second % REPLICATE_PRIME]
+    out = df.withColumn("_x", replicate_start(unit, seed)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    for step in steps:
+        out = out.withColumn("_x", step)
+    count = F.lit(len(REPLICATE_LIMITS))
+    for k, limit in reversed(list(enumerate(REPLICATE_LIMITS))):
+        count = F.when(x <= limit, k).otherwise(count)
+    return out.filter(x > REPLICATE_LIMITS[0]).withColumn("w", count).drop("_x")
+
+
+def replicate_start(unit: list[str], seed: int) -> Column:
+    """The number from which a unit's counts in all replicates follow."""
+    return F.pmod(portable_hash(F.lit(seed), *map(F.col, unit)), F.lit(REPLICATE_PRIME))
+
+
+def replicate_counts(start: np.ndarray, reps: int) -> np.ndarray:
+    """The counts of :func:`resampled` as a matrix, a row per start and a column per replicate."""
+    x = start[:, None] * (2 * np.arange(1, reps + 1) + 1) % REPLICATE_PRIME
+    x ^= x >> 15
+    x = x * REPLICATE_MIX[0] % REPLICATE_PRIME
+    x ^= x >> 13
+    x = x * REPLICATE_MIX[1] % REPLICATE_PRIME
+    return np.searchsorted(REPLICATE_LIMITS, x)
+
+
 def normal_tail(z: Column) -> Column:
     """Upper tail of the standard normal by its continued fraction and series.
 

@@ -6,10 +6,15 @@ built from counts per distinct score and running sums, never from one sorted pil
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempograin.functions.numeric import portable_hash, ratio
+from tempograin.functions.numeric import portable_hash, ratio, replicate_counts, replicate_start, resampled
 from tempograin.operators.ordered import Index, RunningSum, cut, join_same, quantiles
 from tempograin.session import durable
 
@@ -189,27 +194,13 @@ def out_of_fold(scores: DataFrame, row: str, score: str, all_rows: DataFrame) ->
 
 # ------------------------------------------------------------------------------ bootstrap
 
-def bootstrap_draws(subjects: DataFrame, keys: list[str], subject: str, reps: int, seed: int) -> DataFrame:
-    """(keys, rep, subject, w): how often each replicate drew each subject.
+def spread_out(df: DataFrame) -> DataFrame:
+    """``df`` over all tasks: each row is about to become one per replicate.
 
-    Each replicate draws as many subjects as there are, with replacement. Subject number
-    j makes draw j of every replicate, so the draws are spread like the subjects.
+    An explicit count keeps adaptive execution from merging the partitions again.
     """
-    numbered = cut(subjects.select(*keys, subject).distinct(), keys, [subject]).add(_i=Index()).rows()
-    if keys:
-        sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        sized = join_same(numbered, sizes, keys)
-    else:
-        sized = numbered.withColumn("_n", numbered.agg(F.count(F.lit(1))).scalar())
-    # Numbering may leave the subjects in few partitions, and each becomes ``reps`` rows:
-    # an explicit count keeps adaptive execution from merging them again.
-    spread = int(subjects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pick = F.coalesce(portable_hash(F.lit(seed), F.col("rep"), F.col("_i")) % F.col("_n"), F.lit(-1))
-    draws = (sized.filter(F.col("_n") >= 2).select(*keys, "_i", "_n").repartition(spread, "_i")
-             .withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-             .withColumn("_pick", pick)
-             .groupBy(*keys, "rep", "_pick").agg(F.count(F.lit(1)).alias("w")))
-    return join_same(draws, numbered.withColumnRenamed("_i", "_pick"), [*keys, "_pick"]).select(*keys, "rep", subject, "w")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *df.columns)
 
 
 def bootstrap_mean(per_subject: DataFrame, keys: list[str], subject: str, value: str, reps: int = 2000,
@@ -218,42 +209,120 @@ def bootstrap_mean(per_subject: DataFrame, keys: list[str], subject: str, value:
 
     The interval is NULL below two subjects.
     """
-    known = per_subject.filter(F.col(value).isNotNull())
-    draws = bootstrap_draws(known, keys, subject, reps, seed)
+    known = per_subject.filter(F.col(value).isNotNull()).select(*keys, subject, value)
     # One row per replicate: written once, since several summaries read it.
-    means = durable(join_same(draws, known.select(*keys, subject, value), [*keys, subject])
-                    .groupBy(*keys, "rep").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("_m")))
+    means = durable(resampled(spread_out(known), [*keys, subject], reps, seed).groupBy(*keys, "rep")
+                    .agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("_m")))
     q = quantiles(means, keys, "_m", {"lo": 0.025, "hi": 0.975})
     head = [F.count(F.lit(1)).alias("n_subjects"), F.avg(value).alias("mean")]
     if keys:
-        return join_same(known.groupBy(*keys).agg(*head), q, keys, "left")
-    return known.agg(*head).withColumns({c: q.select(c).scalar() for c in ("lo", "hi")})
+        out = join_same(known.groupBy(*keys).agg(*head), q, keys, "left")
+    else:
+        out = known.agg(*head).withColumns({c: q.select(c).scalar() for c in ("lo", "hi")})
+    return out.withColumns({c: F.when(F.col("n_subjects") >= 2, F.col(c)) for c in ("lo", "hi")})
+
+
+def _range_sums(rows: DataFrame, label: str, reps: int) -> DataFrame:
+    """(range, rep, pos, neg, won) of each partition's rows (range, score, label, start, k), sorted by range and score.
+
+    ``won`` counts the pairs inside the range in which the positive has the higher score.
+    A few vectors of ``reps`` numbers are all the state.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = last = None
+        pos, neg, won, tied_pos, tied_neg = np.zeros((5, reps))
+
+        def close_score():
+            won[:] += tied_pos * (neg + tied_neg / 2)
+            pos[:] += tied_pos
+            neg[:] += tied_neg
+            tied_pos[:] = tied_neg[:] = 0
+
+        def close_range():
+            close_score()
+            out = pd.DataFrame({"_range": at, "rep": np.arange(1, reps + 1), "pos": pos, "neg": neg, "_won": won})
+            pos[:] = neg[:] = won[:] = 0
+            return out
+        for batch in batches:
+            for first in range(0, len(batch), 512):
+                part = batch.iloc[first:first + 512]
+                ranges, scores = part["_range"].to_numpy(), part["score"].fillna(np.inf).to_numpy()
+                counts = replicate_counts(part["_x"].to_numpy(), reps) * part["_k"].to_numpy()[:, None]
+                up, down = (part[label] == 1).to_numpy(), (part[label] == 0).to_numpy()
+                new = np.flatnonzero((ranges[1:] != ranges[:-1]) | (scores[1:] != scores[:-1])) + 1
+                for i, j in zip([0, *new], [*new, len(part)]):
+                    if at is not None and ranges[i] != at:
+                        yield close_range()
+                    elif scores[i] != last:
+                        close_score()
+                    at, last = ranges[i], scores[i]
+                    tied_pos += counts[i:j][up[i:j]].sum(axis=0)
+                    tied_neg += counts[i:j][down[i:j]].sum(axis=0)
+        if at is not None:
+            yield close_range()
+    return rows.select("_range", "score", label, "_x", "_k").mapInPandas(
+        run, "_range double, rep int, pos double, neg double, _won double")
 
 
 def bootstrap_auc(df: DataFrame, subject: str, label: str, score: str, reps: int, seed: int,
                   min_kept: int = 100) -> DataFrame:
-    """Interval of the AUC over resampled subjects; single-class replicates are skipped."""
-    grouped = df.groupBy(subject, label, score).agg(F.count(F.lit(1)).alias("_k"))
-    draws = bootstrap_draws(df, [], subject, reps, seed)
-    counts = score_counts(draws.join(grouped, subject), ["rep"], label, score, F.col("w") * F.col("_k"))
-    kept = durable(auc_from_counts(counts, ["rep"]).filter(F.col("auc").isNotNull()))
+    """Interval of the AUC over resampled subjects; single-class replicates are skipped.
+
+    Rows are shuffled once, by ranges of the score, and become replicates inside their
+    range's task; a range hands on three sums per replicate. A score that many rows share
+    is a range of its own, whose rows stay spread out, since it needs no order. Rows without
+    a score are left out.
+    """
+    known = df.filter(F.col(score).isNotNull()).withColumn("score", F.col(score).cast("double"))
+    rows = durable(known.groupBy(subject, label, "score").agg(F.count(F.lit(1)).alias("_k"))
+                   .withColumn("_x", replicate_start([subject], seed)))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = 4 * tasks
+    borders = rows.approxQuantile("score", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
+    shared = sorted({a for a, b in zip(borders, borders[1:]) if a == b})
+    splits = [float("-inf"), *sorted(set(borders)), float("inf")]
+    if len(splits) > 2:
+        placed = Bucketizer(splits=splits, inputCol="score", outputCol="_range", handleInvalid="keep").transform(rows)
+    else:
+        placed = rows.withColumn("_range", F.lit(0.0))
+    # A shared score is its range's lower border.
+    is_shared = F.col("score").isin(shared)
+    placed = placed.withColumn("_range", 2 * F.col("_range") + F.when(is_shared, 0).otherwise(1))
+    pos, neg = F.col("pos"), F.col("neg")
+    sums = [F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("_won").alias("_won")]
+    ranged = _range_sums(placed.filter(~is_shared).repartition(tasks, "_range")
+                         .sortWithinPartitions("_range", "score"), label, reps)
+    if shared:
+        tied = _range_sums(spread_out(placed.filter(is_shared)).sortWithinPartitions("_range"), label, reps)
+        ranged = ranged.unionByName(tied.groupBy("_range", "rep").agg(*sums).withColumn("_won", pos * neg / 2))
+    ranged = durable(ranged)
+    lower = Window.partitionBy("rep").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    won = F.col("_won") + pos * F.coalesce(F.sum("neg").over(lower), F.lit(0))
+    per_rep = ranged.withColumn("_won", won).groupBy("rep").agg(*sums)
+    kept = durable(per_rep.select(ratio(F.col("_won"), pos * neg).alias("auc")).filter("auc is not null"))
     q = quantiles(kept, [], "auc", {"lo": 0.025, "hi": 0.975})
-    out = kept.agg(F.count(F.lit(1)).alias("n_kept"))
+    # One subject alone cannot be resampled.
+    several = F.coalesce(rows.agg(F.min(subject) < F.max(subject)).scalar(), F.lit(False))
+    out = kept.agg(F.count(F.lit(1)).alias("n_kept")).withColumn("n_kept", F.when(several, F.col("n_kept")).otherwise(0))
     return out.withColumns({c: F.when(F.col("n_kept") >= min_kept, q.select(c).scalar()) for c in ("lo", "hi")})
 
 
 def unpaired_difference(per_subject: DataFrame, arm: str, first: str, second: str, subject: str, value: str,
                         reps: int, seed: int) -> DataFrame:
-    """Mean of one arm minus the other, each side's subjects resampled on their own."""
+    """Mean of one arm minus the other, each side's subjects resampled on their own.
+
+    The interval is NULL where a side has fewer than two subjects.
+    """
     known = per_subject.filter(F.col(value).isNotNull())
-    means = (bootstrap_draws(known, [arm], subject, reps, seed)
-             .join(known.select(arm, subject, value), [arm, subject])
+    means = (resampled(spread_out(known.select(arm, subject, value)), [arm, subject], reps, seed)
              .groupBy("rep", arm).agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("_m")))
     per_rep = durable(means.groupBy("rep").agg(
         (F.max(F.when(F.col(arm) == second, F.col("_m"))) - F.max(F.when(F.col(arm) == first, F.col("_m")))).alias("_d")))
     q = quantiles(per_rep, [], "_d", {"lo": 0.025, "hi": 0.975})
     point = F.avg(F.when(F.col(arm) == second, F.col(value))) - F.avg(F.when(F.col(arm) == first, F.col(value)))
-    return known.agg(point.alias("difference")).withColumns({c: q.select(c).scalar() for c in ("lo", "hi")})
+    least = F.least(*[F.count_if(F.col(arm) == a) for a in (first, second)])
+    out = known.agg(point.alias("difference"), least.alias("_least"))
+    return out.withColumns({c: F.when(F.col("_least") >= 2, q.select(c).scalar()) for c in ("lo", "hi")}).drop("_least")
 
 
 def paired_penalty(scores: DataFrame, clip: list[str], subject: str, arm: str, base: str, other: str, value: str,

@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempograin.functions.numeric import correlation, normal_tail, portable_hash, ratio
-from tempograin.operators.evaluation import bootstrap_draws
+from tempograin.functions.numeric import correlation, normal_tail, portable_hash, ratio, resampled
+from tempograin.operators.evaluation import spread_out
 from tempograin.operators.ordered import (
     Index, Neighbour, RunningMax, RunningMin, RunningSum, average_ranks, cut, join_same, quantiles)
 from tempograin.session import durable
@@ -119,7 +119,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, min_rows: int = 0)
 
 def bootstrap_spearman(per_subject: DataFrame, subject: str, x: str, y: str, reps: int, seed: int) -> DataFrame:
     """Interval of the rank correlation over resampled subjects."""
-    draws = bootstrap_draws(per_subject, [], subject, reps, seed).join(per_subject.select(subject, x, y), subject)
+    draws = resampled(spread_out(per_subject.select(subject, x, y)), [subject], reps, seed)
 
     def ranks(value: str, name: str) -> DataFrame:
         counts = draws.groupBy("rep", value).agg(F.sum("w").alias("_k"))
@@ -138,7 +138,7 @@ def bootstrap_spearman(per_subject: DataFrame, subject: str, x: str, y: str, rep
 
 def bootstrap_slope(per_subject: DataFrame, subject: str, x: str, y: str, reps: int, seed: int) -> DataFrame:
     """Least-squares slope with an interval over resampled subjects."""
-    draws = bootstrap_draws(per_subject, [], subject, reps, seed).join(per_subject.select(subject, x, y), subject)
+    draws = resampled(spread_out(per_subject.select(subject, x, y)), [subject], reps, seed)
     w, a, b = F.col("w"), F.col(x), F.col(y)
     n = F.sum(w)
     ma, mb = F.sum(w * a) / n, F.sum(w * b) / n

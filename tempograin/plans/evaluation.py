@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograin.functions.numeric import portable_hash, r6
+from tempograin.functions.numeric import (
+    REPLICATE_LIMITS, REPLICATE_MIX, REPLICATE_PRIME, portable_hash, r6)
 from tempograin.operators import evaluation as ev
 from tempograin.operators import joins
 from tempograin.operators import statistics as st
 from tempograin.plans.registry import query
 from tempograin.sources.tables import Tables
 
+REPLICATES = 2000
+
 SCORE_COLUMNS = {
     "row_id": "o_orderkey",
     "subject": "o_custkey",
@@ -132,13 +135,16 @@ def _(t):
 
 
 def _draws(source: str, keys: str, subject: str, reps: int, seed: int, name: str) -> str:
-    """CTE (keys, rep, subject, w) replaying the hashed draws."""
-    part, head, using = (f"PARTITION BY {keys}", f"{keys}, ", f"{keys}, ") if keys else ("", "", "")
-    return f"""{name}_i AS (SELECT {head}{subject}, row_number() OVER ({part} ORDER BY {subject}) - 1 AS i, count(*) OVER ({part}) AS n
-  FROM (SELECT DISTINCT {head}{subject} FROM {source})),
-{name} AS (SELECT {head}rep, {subject}, w FROM (
-  SELECT {head}rep, {_hash(str(seed), 'rep', 'i')} % n AS i, count(*) AS w FROM {name}_i, (SELECT unnest(generate_series(1, {reps})) AS rep)
-  WHERE n >= 2 GROUP BY ALL) JOIN {name}_i USING ({using}i))"""
+    """CTE (keys, rep, subject, w) replaying the replicates' counts."""
+    head = f"{keys}, " if keys else ""
+    first, second = REPLICATE_MIX
+    counts = " ".join(f"WHEN x <= {limit} THEN {k}" for k, limit in enumerate(REPLICATE_LIMITS))
+    parts = [str(seed), *([keys] if keys else []), subject]
+    return f"""{name}_x AS (SELECT DISTINCT {head}{subject}, {_hash(*parts)} % {REPLICATE_PRIME} AS x FROM {source}),
+{name}_1 AS (SELECT {head}rep, {subject}, x * (2 * rep + 1) % {REPLICATE_PRIME} AS x FROM {name}_x, (SELECT unnest(generate_series(1, {reps})) AS rep)),
+{name}_2 AS (SELECT {head}rep, {subject}, xor(x, x >> 15) * {first} % {REPLICATE_PRIME} AS x FROM {name}_1),
+{name}_3 AS (SELECT {head}rep, {subject}, xor(x, x >> 13) * {second} % {REPLICATE_PRIME} AS x FROM {name}_2),
+{name} AS (SELECT * FROM (SELECT {head}rep, {subject}, CASE {counts} ELSE {len(REPLICATE_LIMITS)} END AS w FROM {name}_3) WHERE w > 0)"""
 
 
 PER_SUBJECT = """persub AS (SELECT c_mktsegment AS arm, o_custkey AS subject, avg(o_totalprice / 1000) AS v, avg(o_orderkey % 97) AS x
@@ -151,28 +157,28 @@ def per_subject(t: Tables) -> DataFrame:
             .agg(F.avg(F.col("o_totalprice") / 1000).alias("v"), F.avg(F.col("o_orderkey") % 97).alias("x")))
 
 
-@query("e11_subject_bootstrap", f"""WITH {PER_SUBJECT}, {_draws('persub', 'arm', 'subject', 200, 11, 'dr')},
+@query("e11_subject_bootstrap", f"""WITH {PER_SUBJECT}, {_draws('persub', 'arm', 'subject', REPLICATES, 11, 'dr')},
 m AS (SELECT arm, rep, sum(w * v) / sum(w) AS m FROM dr JOIN persub USING (arm, subject) GROUP BY 1, 2),
 ci AS (SELECT arm, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY 1)
 SELECT p.arm, count(*) AS n_subjects, round(avg(v), 5) AS mean, round(max(lo), 5) AS lo, round(max(hi), 5) AS hi
 FROM persub p LEFT JOIN ci USING (arm) GROUP BY 1""")
 def _(t):
-    out = ev.bootstrap_mean(per_subject(t), ["arm"], "subject", "v", 200, 11)
+    out = ev.bootstrap_mean(per_subject(t), ["arm"], "subject", "v", REPLICATES, 11)
     return out.select("arm", "n_subjects", *[F.round(c, 5).alias(c) for c in ("mean", "lo", "hi")])
 
 
-@query("e12_bootstrap_auc", f"""WITH {SCORED}, {_draws('scored', '', 'subject', 120, 31, 'dr')},
+@query("e12_bootstrap_auc", f"""WITH {SCORED}, {_draws('scored', '', 'subject', REPLICATES, 31, 'dr')},
 c AS (SELECT rep, p, sum(w * y)::DOUBLE AS pos, sum(w * (1 - y))::DOUBLE AS neg FROM dr JOIN scored USING (subject) GROUP BY 1, 2),
 r AS (SELECT rep, pos, neg, sum(neg) OVER (PARTITION BY rep ORDER BY p) - neg AS below FROM c),
 a AS (SELECT rep, sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM r GROUP BY 1)
 SELECT count(auc) AS n_kept, CASE WHEN count(auc) >= 100 THEN round(quantile_cont(auc, 0.025), 6) END AS lo,
   CASE WHEN count(auc) >= 100 THEN round(quantile_cont(auc, 0.975), 6) END AS hi FROM a""")
 def _(t):
-    out = ev.bootstrap_auc(scored(t), "subject", "y", "p", 120, 31)
+    out = ev.bootstrap_auc(scored(t), "subject", "y", "p", REPLICATES, 31)
     return out.select("n_kept", r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"))
 
 
-@query("e13_bootstrap_spearman", f"""WITH {PER_SUBJECT}, {_draws('persub', '', 'subject', 100, 5, 'dr')},
+@query("e13_bootstrap_spearman", f"""WITH {PER_SUBJECT}, {_draws('persub', '', 'subject', REPLICATES, 5, 'dr')},
 j AS (SELECT rep, w, v, x FROM dr JOIN persub USING (subject)),
 rx AS (SELECT rep, x, sum(sum(w)) OVER (PARTITION BY rep ORDER BY x) - (sum(w) - 1) / 2.0 AS rk FROM j GROUP BY 1, 2),
 rv AS (SELECT rep, v, sum(sum(w)) OVER (PARTITION BY rep ORDER BY v) - (sum(w) - 1) / 2.0 AS rk FROM j GROUP BY 1, 2),
@@ -183,28 +189,28 @@ pr AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) /
 SELECT count(*) AS n, round(corr(a, b), 6) + 0.0 AS rho, (SELECT round(quantile_cont(rho, 0.025), 6) FROM rho) + 0.0 AS lo,
   (SELECT round(quantile_cont(rho, 0.975), 6) FROM rho) + 0.0 AS hi FROM pr""")
 def _(t):
-    out = st.bootstrap_spearman(per_subject(t), "subject", "x", "v", 100, 5)
+    out = st.bootstrap_spearman(per_subject(t), "subject", "x", "v", REPLICATES, 5)
     return out.select("n", *[r6(F.col(c)).alias(c) for c in ("rho", "lo", "hi")])
 
 
-@query("e13_bootstrap_slope", f"""WITH {PER_SUBJECT}, {_draws('persub', '', 'subject', 100, 6, 'dr')},
+@query("e13_bootstrap_slope", f"""WITH {PER_SUBJECT}, {_draws('persub', '', 'subject', REPLICATES, 6, 'dr')},
 j AS (SELECT rep, w, v, x FROM dr JOIN persub USING (subject)),
 mm AS (SELECT rep, sum(w * x) / sum(w) AS mx, sum(w * v) / sum(w) AS mv FROM j GROUP BY 1),
 s AS (SELECT j.rep, sum(w * (x - mx) * (v - mv)) / sum(w * (x - mx) * (x - mx)) AS s FROM j JOIN mm USING (rep) GROUP BY 1)
 SELECT count(*) AS n, round(regr_slope(v, x), 6) + 0.0 AS slope, (SELECT round(quantile_cont(s, 0.025), 6) FROM s) + 0.0 AS lo,
   (SELECT round(quantile_cont(s, 0.975), 6) FROM s) + 0.0 AS hi FROM persub""")
 def _(t):
-    out = st.bootstrap_slope(per_subject(t), "subject", "x", "v", 100, 6)
+    out = st.bootstrap_slope(per_subject(t), "subject", "x", "v", REPLICATES, 6)
     return out.select("n", *[r6(F.col(c)).alias(c) for c in ("slope", "lo", "hi")])
 
 
-@query("e13_unpaired_difference", f"""WITH {PER_SUBJECT}, {_draws('persub', 'arm', 'subject', 100, 7, 'dr')},
+@query("e13_unpaired_difference", f"""WITH {PER_SUBJECT}, {_draws('persub', 'arm', 'subject', REPLICATES, 7, 'dr')},
 m AS (SELECT arm, rep, sum(w * v) / sum(w) AS m FROM dr JOIN persub USING (arm, subject) GROUP BY 1, 2),
 d AS (SELECT rep, max(m) FILTER (WHERE arm = 'MACHINERY') - max(m) FILTER (WHERE arm = 'BUILDING') AS d FROM m GROUP BY 1)
 SELECT round(avg(v) FILTER (WHERE arm = 'MACHINERY') - avg(v) FILTER (WHERE arm = 'BUILDING'), 5) + 0.0 AS difference,
   (SELECT round(quantile_cont(d, 0.025), 5) FROM d) + 0.0 AS lo, (SELECT round(quantile_cont(d, 0.975), 5) FROM d) + 0.0 AS hi FROM persub""")
 def _(t):
-    out = ev.unpaired_difference(per_subject(t), "arm", "BUILDING", "MACHINERY", "subject", "v", 100, 7)
+    out = ev.unpaired_difference(per_subject(t), "arm", "BUILDING", "MACHINERY", "subject", "v", REPLICATES, 7)
     return out.select(*[(F.round(c, 5) + 0.0).alias(c) for c in ("difference", "lo", "hi")])
 
 
@@ -516,12 +522,12 @@ def _(t):
         F.count(F.lit(1)).alias("n_clips"), r6(F.avg("_b") - F.avg("_a")).alias("delta"))
 
 
-@query("e32_paired_penalty", f"""WITH {ARMS}, {_draws('pen', '', 'subject', 200, 13, 'dr')},
+@query("e32_paired_penalty", f"""WITH {ARMS}, {_draws('pen', '', 'subject', REPLICATES, 13, 'dr')},
 m AS (SELECT rep, sum(w * penalty) / sum(w) AS m FROM dr JOIN pen USING (subject) GROUP BY 1),
 q AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m)
 SELECT count(*) AS n_subjects, round(avg(penalty), 6) + 0.0 AS penalty, round(max(lo), 6) + 0.0 AS lo, round(max(hi), 6) + 0.0 AS hi, max(lo) > 0 OR max(hi) < 0 AS resolved FROM pen, q""")
 def _(t):
-    out = ev.paired_penalty(arms(t), ["clip"], "subject", "arm", "native", "slow", "mae", 200, 13)
+    out = ev.paired_penalty(arms(t), ["clip"], "subject", "arm", "native", "slow", "mae", REPLICATES, 13)
     return out.select("n_subjects", "resolved", *[r6(F.col(c)).alias(c) for c in ("penalty", "lo", "hi")])
 
 

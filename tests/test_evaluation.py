@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
+from tempograin.functions.numeric import resampled
 from tempograin.operators import evaluation as ev
 from tempograin.operators import joins
 from tempograin.operators import statistics as st
@@ -72,10 +73,32 @@ def test_pair_statistics_without_pairs(spark, cohort, chunked, rows):
     np.testing.assert_allclose(got["score_corr"], np.corrcoef(a[:, 0], a[:, 1])[0, 1])
 
 
-def test_bootstrap_draws_keep_the_sample_size(spark, cohort):
-    draws = ev.bootstrap_draws(cohort, [], "subject", 20, 1).groupBy("rep").agg(F.sum("w").alias("n")).collect()
-    n = cohort.select("subject").distinct().count()
-    assert len(draws) == 20 and all(r["n"] == n for r in draws)
+def test_replicate_counts_are_independent_poisson_counts(spark):
+    units, reps = 2000, 40
+    got = resampled(spark.range(units), ["id"], reps, 1).toPandas()
+    w = got.pivot(index="id", columns="rep", values="w").reindex(range(units)).fillna(0).to_numpy()
+    assert w.shape == (units, reps)
+    np.testing.assert_allclose([w.mean(), w.var()], 1, atol=0.02)
+    across = np.corrcoef(w.T) - np.eye(reps)
+    assert np.abs(across).max() < 4.5 / np.sqrt(units)
+    # The mean of a replicate over units varies as that of independent counts does.
+    assert 0.5 < w.mean(axis=0).var() * units < 1.7
+
+
+@pytest.mark.parametrize("tied", [False, True])
+def test_bootstrap_auc_equals_the_auc_of_every_replicate(spark, cohort, tied):
+    df = cohort.withColumn("p", F.when(F.col("row") % 3 > 0, 0.5).otherwise(F.col("p"))) if tied else cohort
+    got = ev.bootstrap_auc(df, "subject", "y", "p", 60, 3, min_kept=1).first()
+    rows = resampled(df, ["subject"], 60, 3).toPandas()
+    aucs = []
+    for _, g in rows.groupby("rep"):
+        up, down = g[g.y == 1], g[g.y == 0]
+        gap = np.subtract.outer(up.p.to_numpy(), down.p.to_numpy())
+        if len(up) and len(down):
+            won = np.outer(up.w, down.w) * ((gap > 0) + (gap == 0) / 2)
+            aucs.append(won.sum() / (up.w.sum() * down.w.sum()))
+    assert got["n_kept"] == len(aucs)
+    np.testing.assert_allclose([got["lo"], got["hi"]], np.quantile(aucs, [0.025, 0.975]))
 
 
 def test_bootstrap_interval_is_null_below_two_subjects(spark):
