@@ -27,18 +27,26 @@ ZONES = [(0, 11), (11, 11), (22, 10)]
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-def fingerprint(text: str | None, length: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text's word shingles; zero without words."""
+def shingle_hashes(text: str | None, length: int = SHINGLE) -> np.ndarray:
+    """The 64-bit hash of each run of ``length`` words, or of all words if they are fewer; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()  # at the six ASCII spaces
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - length + 1)
     last = ends[length - 1:] if len(words) >= length else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
+
+
+def fingerprint(text: str | None, length: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text's word shingles; zero without words."""
+    hashes = shingle_hashes(text, length)
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 65536):  # bounded memory for very long texts
         part = hashes[at:at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
