@@ -15,23 +15,34 @@ from pyspark.sql import functions as F
 from tempograin.llm.common import LOWER, UPPER, let, query
 
 ROUNDS = 8
-DIGITS, HEX = "0123456789", "0123456789abcdef"
+DIGITS = "0123456789"
 LETTERS_AND_DIGITS = (DIGITS, LOWER, UPPER)
+HEX = (DIGITS, "abcdef", "ABCDEF")
+HEX_BLOCK, HEX_WHOLE = 64, 128  # hex runs of more than 128 characters are permuted by blocks
+# Lengths of account numbers by country, needed where spaces do not show the end.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+PRINTED = "|".join(rf"(?:{names.replace(' ', '|')})\d{{2}}(?:[ -]?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, names in IBAN_LENGTHS.items())
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<=[\"'=: ])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{24,128}(?![0-9A-Za-z])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}[.-]\d{4}(?!\d)",
+    "secret": r"(?:(?<![0-9A-Za-z])|(?<=(?<![0-9A-Za-z])0[xX]))(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{24,}(?![0-9A-Za-z])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}})(?:{PRINTED}|[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}(?![A-Za-z0-9]))",
+    # Last, what is in pairs or other groups: nine to fifteen digits after the plus.
+    "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}[.-]\d{4}(?!\d)"
+             r"|\+33[ .-]?(?:\(0\)[ .-]?)?\d(?:[ .-]?\d{2}){4}(?!\d)|\+\d(?:[ .-]?\(?\d\)?){8,14}(?!\d)",
     "ip": rf"(?<!\d)(?<!\d\.){OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d)",
     "date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])",
-    "card": r"(?<!\d)(?:\d{4}[ -]){3}\d{1,7}(?!\d)|(?<!\d)\d{13,19}(?!\d)",
+    "card": r"(?<!\d)(?:\d{4}[ -]){4}\d{3}(?!\d)|(?<!\d)(?:\d{4}[ -]){3}\d{1,7}(?!\d)|(?<!\d)\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d)|(?<!\d)\d{13,19}(?!\d)",
 }
 KINDS = list(PATTERNS)
 ANY = "|".join(PATTERNS.values())
 # A quick look: every pattern needs one of these.
-SUSPECT = r"@|\d[\d ./()-]{1,2}\d|\d[a-f]|[a-f]\d|[A-Z]\d\d"
+SUSPECT = r"@|\d[\d ./()-]{1,3}\d|\d[A-Fa-f]|[A-Fa-f]\d|[A-Z]\d\d"
 FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 189, 773  # 400 years are 189 * 773 days
 
 
@@ -104,22 +115,29 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, r"\D", "")
 
 
-def _refill(form: Column, digits: Column) -> Column:
-    """``form`` with its digits replaced, in order, by ``digits``."""
-    def put(i):
-        c = F.substr(form, i, F.lit(1))
-        at = F.length(_digits(F.substr(form, F.lit(1), i)))
-        return F.when(c.rlike(r"\d"), F.substr(digits, at, F.lit(1))).otherwise(c)
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), put), "")
+def _refill(form: Column, signs: Column, kind: str = r"\d") -> Column:
+    """``form`` with its digits, or signs of another ``kind``, replaced in order by ``signs``."""
+    def put(s, c):
+        inside = c.rlike(kind)
+        return F.struct(
+            F.concat(s["out"], F.when(inside, F.substr(signs, s["at"], F.lit(1))).otherwise(c)).alias("out"),
+            (s["at"] + inside.cast("int")).alias("at"))
+    letters = F.transform(F.sequence(F.lit(1), F.length(form)), lambda i: F.substr(form, i, F.lit(1)))
+    return F.aggregate(letters, F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), put, lambda s: s["out"])
 
 
 def _card(value: Column, key: str) -> Column:
-    def swap(digits):
+    def swap(form, digits):
         payload = feistel(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card", (DIGITS,))
-        return let(payload, lambda p: _refill(value, F.concat(
+        return let(payload, lambda p: _refill(form, F.concat(
             p, ((10 - luhn_sum(F.concat(p, F.lit("0")))) % 10).cast("string"))))
-    return let(_digits(value), lambda d: F.when(
-        F.length(d).between(13, 19) & (luhn_sum(d) == 0), swap(d)))
+
+    def valid(form):
+        return let(_digits(form), lambda d: F.length(d).between(13, 19) & (luhn_sum(d) == 0))
+    # Three digits after four groups may be the card's last or a number of their own.
+    short = F.when(value.rlike(r"^(?:\d{4}[ -]){4}\d{3}$"), F.substr(value, F.lit(1), F.lit(19)))
+    form = F.when(valid(value), value).when(valid(short), short)
+    return let(form, lambda f: F.concat(let(_digits(f), lambda d: swap(f, d)), F.substr(value, F.length(f) + 1, F.length(value))))
 
 
 def _phone(value: Column, key: str) -> Column:
@@ -158,10 +176,19 @@ def _mod97(value: Column) -> Column:
 
 
 def _iban(value: Column, key: str) -> Column:
-    country, account = F.substr(value, F.lit(1), F.lit(2)), F.substr(value, F.lit(5), F.length(value))
-    valid = _mod97(F.concat(account, F.substr(value, F.lit(1), F.lit(4)))) == 1
-    return F.when(valid, let(feistel(account, key, F.concat(F.lit("iban"), country), (DIGITS, UPPER)), lambda a: F.concat(
-        country, F.lpad((98 - _mod97(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0"), a)))
+    def swap(plain):
+        country, account = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5), F.length(plain))
+        valid = _mod97(F.concat(account, F.substr(plain, F.lit(1), F.lit(4)))) == 1
+        new = let(feistel(account, key, F.concat(F.lit("iban"), country), (DIGITS, UPPER)), lambda a: F.concat(
+            country, F.lpad((98 - _mod97(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0"), a))
+        return F.when(valid, let(new, lambda n: _refill(value, n, "[A-Z0-9]")))
+    return let(F.regexp_replace(value, "[ -]", ""), swap)
+
+
+def _secret(value: Column, key: str) -> Column:
+    blocks = F.transform(F.regexp_extract_all(value, F.lit(rf".{{1,{HEX_BLOCK}}}"), 0), lambda b, i: feistel(
+        b, key, F.concat(F.lit("secret"), i.cast("string")), HEX))
+    return F.when(F.length(value) <= HEX_WHOLE, feistel(value, key, "secret", HEX)).otherwise(F.array_join(blocks, ""))
 
 
 def _email(value: Column, key: str) -> Column:
@@ -171,28 +198,20 @@ def _email(value: Column, key: str) -> Column:
 
 
 SWAPS: dict[str, Callable[[Column, str], Column]] = {
-    "email": _email, "secret": lambda v, key: feistel(v, key, "secret", (HEX,)), "iban": _iban,
+    "email": _email, "secret": _secret, "iban": _iban,
     "phone": _phone, "ip": _ip, "date": _date, "card": _card}
 
 
 def _swapped(value: Column, key: str) -> Column:
-    """(kind, value) of one match; the kind is null and the value unchanged if it is not valid."""
-    kind = None
-    for k in KINDS:
-        whole = value.rlike(rf"^(?:{_inner(PATTERNS[k])})$")
-        kind = F.when(whole, F.lit(k)) if kind is None else kind.when(whole, F.lit(k))
+    """(kind, value) of one match; the kind is null and the value unchanged if it is not valid.
 
-    def by_kind(name):
-        new = None
-        for k in KINDS:
-            new = F.when(name == k, SWAPS[k](value, key)) if new is None else new.when(name == k, SWAPS[k](value, key))
-        return let(new, lambda n: F.struct(F.when(n.isNotNull(), name).alias("kind"), F.coalesce(n, value).alias("value")))
-    return let(kind, by_kind)
-
-
-def _inner(pattern: str) -> str:
-    """The pattern without the look-behinds, which see nothing before a match taken alone."""
-    return pattern.replace(r"(?<=[\"'=: ])", "")
+    An account number may be all hex, and is then an account number if it is valid.
+    """
+    def by_kind(k):
+        return F.when(value.rlike(rf"^(?:{PATTERNS[k]})$"), let(SWAPS[k](value, key), lambda n: F.when(
+            n.isNotNull(), F.struct(F.lit(k).alias("kind"), n.alias("value")))))
+    order = sorted(KINDS, key=lambda k: k == "secret")
+    return F.coalesce(*[by_kind(k) for k in order], F.struct(F.lit(None).cast("string").alias("kind"), value.alias("value")))
 
 
 def pseudonymise(docs: DataFrame, key: str = "tempograin", text: str = "text") -> DataFrame:
@@ -201,6 +220,9 @@ def pseudonymise(docs: DataFrame, key: str = "tempograin", text: str = "text") -
     ``pii_kinds`` has the kind of every replaced value, in order. Card numbers must pass the
     Luhn test and account numbers the modulo 97 test, dates must exist, address octets and
     lengths must be in range; what fails is left alone. Check digits of pseudonyms are valid.
+    Account numbers, cards and phone numbers may be printed in groups with single spaces or
+    hyphens: accounts in any groups where the country's length is known, cards as 4-4-4-4,
+    4-4-4-4-3, 4-6-5 and 4-6-4. Secrets are hex runs of 24 characters or more, in either case.
     A null text stays null with no kinds; texts without a match are returned as they are.
     Other columns pass through; one that is named ``pii_kinds`` is replaced.
     """
