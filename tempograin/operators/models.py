@@ -5,10 +5,12 @@ A penalty is stated as C (larger is weaker); MLlib's ``regParam`` is 1 / (C·n).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -23,6 +25,21 @@ from tempograin.session import durable
 # The grid of C and the number of inner folds.
 C_GRID = [0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0]
 INNER_FOLDS = 3
+# Shares of the training groups in a learning curve.
+SHARES = [0.25, 0.5, 0.75, 1.0]
+# Folds fitted at a time.
+POOL = 4
+
+
+def in_pool(one: Callable, cells: list) -> list:
+    """``one`` of every cell, a few at a time, in the order of the cells."""
+    with ThreadPool(POOL) as pool:
+        return pool.map(one, cells, chunksize=1)
+
+
+def boosted() -> GBTClassifier:
+    """100 rounds at rate 0.1 of trees with 32 leaves at most, 20 rows a leaf and 255 bins."""
+    return GBTClassifier(labelCol="label", maxIter=100, stepSize=0.1, maxDepth=5, minInstancesPerNode=20, maxBins=255, seed=0)
 
 
 def preprocessor(numeric: list[str], categorical: list[str], missing: str = "explicit",
@@ -79,7 +96,7 @@ def fit_one(kind: str, train: DataFrame, group: str, grid: list[float] | None):
     if kind == "logit":
         return fit_logistic(train, group, grid)
     if kind == "boosted":
-        return GBTClassifier(labelCol="label", maxIter=20, maxDepth=4, seed=0).fit(train), None
+        return boosted().fit(train), None
     raise ValueError(f"unknown model family {kind!r}")
 
 
@@ -93,15 +110,16 @@ def score_folds(frame: DataFrame, assigned: DataFrame, group: str, row: str, num
     """
     data = durable(frame.join(assigned, group).withColumn("label", F.col("label").cast("double")))
     cells = sorted((r["seed"], r["fold"]) for r in data.select("seed", "fold").distinct().collect())
-    outs, chosen = [], []
-    for seed, fold in cells:
+
+    def fit(cell):
+        seed, fold = cell
         one = data.filter(F.col("seed") == seed)
         train, test = one.filter(F.col("fold") != fold), one.filter(F.col("fold") == fold)
         if train_share < 1.0:
             rank = portable_hash(F.lit(seed), F.lit(fold), F.col(group)) / float(2 ** 32)
             train = train.filter(rank < train_share)
         if train.select("label").distinct().count() < 2:
-            continue
+            return None
         if missing == "mode" and categorical:
             train, test = fill_mode(train, train, categorical), fill_mode(train, test, categorical)
         prep = preprocessor(numeric, categorical, missing, components).fit(train)
@@ -110,8 +128,9 @@ def score_folds(frame: DataFrame, assigned: DataFrame, group: str, row: str, num
         scored = model.transform(prep.transform(test)).select(
             F.lit(seed).alias("seed"), F.lit(fold).alias("fold"), row, F.col("label").cast("int").alias("y"),
             vector_to_array("probability")[1].alias("p"))
-        outs.append(scored)
-        chosen.append({"seed": seed, "fold": fold, "c": c})
+        return scored, {"seed": seed, "fold": fold, "c": c}
+    done = [d for d in in_pool(fit, cells) if d is not None]
+    outs, chosen = [d[0] for d in done], [d[1] for d in done]
     if not outs:
         raise ValueError("no fold had two classes to train on")
     return reduce(DataFrame.unionByName, outs), chosen
@@ -136,19 +155,22 @@ def wave_accuracy(frame: DataFrame, assigned: DataFrame, group: str, wave: str,
     """Can the features tell which wave a row came from? Accuracy per fold and the modal baseline."""
     data = durable(frame.filter(F.col(wave).isNotNull()).select(group, wave, *numeric).join(assigned, group))
     cells = sorted((r["seed"], r["fold"]) for r in data.select("seed", "fold").distinct().collect())
-    outs = []
-    for seed, fold in cells:
-        one = data.filter(F.col("seed") == seed)
+
+    def fit(cell):
+        seed, fold = cell
+        one = data.filter(F.col("seed") == seed).withColumn("_w", F.col(wave).cast("string"))
         train, test = one.filter(F.col("fold") != fold), one.filter(F.col("fold") == fold)
-        index = StringIndexer(inputCol="_w", outputCol="label", handleInvalid="keep")
-        text = F.col(wave).cast("string")
-        train, test = train.withColumn("_w", text), test.withColumn("_w", text)
-        stages = [index, *preprocessor(numeric, []).getStages(), RandomForestClassifier(numTrees=10, maxDepth=5, seed=0)]
-        model: PipelineModel = Pipeline(stages=stages).fit(train)
+        index = StringIndexer(inputCol="_w", outputCol="_index", handleInvalid="keep")
+        prep = Pipeline(stages=[index, *preprocessor(numeric, []).getStages()]).fit(train)
+        # Without metadata, so that the index of unseen waves is no class to fit.
+        label = F.col("_index").alias("label", metadata={})
+        prepared = durable(prep.transform(train).select(label, "features"))
+        model = OneVsRest(classifier=boosted(), labelCol="label").fit(prepared)
         modal = train.agg(F.mode("_w", True).alias("m")).first()["m"]
-        outs.append(model.transform(test).agg(
+        return model.transform(prep.transform(test).select("_w", label, "features")).agg(
             F.lit(seed).alias("seed"), F.lit(fold).alias("fold"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
-            F.avg((F.col("_w") == modal).cast("double")).alias("baseline")))
+            F.avg((F.col("_w") == modal).cast("double")).alias("baseline"))
+    outs = in_pool(fit, cells)
     return reduce(DataFrame.unionByName, outs).withColumn("lift", F.col("accuracy") - F.col("baseline"))
 
 
@@ -166,10 +188,10 @@ def coefficient_ranking(frame: DataFrame, numeric: list[str], categorical: list[
 
 
 def learning_curve(frame: DataFrame, assigned: DataFrame, group: str, row: str, numeric: list[str], categorical: list[str],
-                   shares: list[float], grid: list[float]) -> DataFrame:
+                   shares: list[float] | None = None, grid: list[float] | None = None) -> DataFrame:
     """Mean AUC over folds by share of training groups."""
     outs = []
-    for share in shares:
+    for share in shares or SHARES:
         scores, _ = score_folds(frame, assigned, group, row, numeric, categorical, grid=grid, train_share=share)
         per = ev.auc(scores, ["seed", "fold"], "y", "p")
         outs.append(per.agg(F.lit(share).alias("share"), F.avg("auc").alias("auc"), F.count("auc").alias("n_folds")))
@@ -177,7 +199,7 @@ def learning_curve(frame: DataFrame, assigned: DataFrame, group: str, row: str,
 
 
 def condition_suites(frame: DataFrame, assigned: DataFrame, group: str, row: str, condition: str, numeric: list[str],
-                     categorical: list[str], min_rows: int, grid: list[float]) -> DataFrame:
+                     categorical: list[str], min_rows: int, grid: list[float] | None = None) -> DataFrame:
     """One condition against the pool of rows with none, for every large enough condition."""
     sizes = frame.filter("label = 1").groupBy(condition).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows)
     outs = []

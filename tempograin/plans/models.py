@@ -1,11 +1,13 @@
 """Model queries on the cohort, and the streaming ingest of its documents.
 
-The fold count, grid and seeds are parameters; these queries use few so that one query
-is a handful of fits over the whole cohort.
+They run the whole protocol: five seeds of five folds, C chosen from seven values by three
+grouped inner folds.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,14 +22,13 @@ from tempograin.plans.cohort import cohort
 from tempograin.plans.curves import doubles
 from tempograin.plans.evaluation import SCORED, scored
 from tempograin.plans.registry import query
-from tempograin.session import scratch_path
+from tempograin.session import durable, scratch_path
 from tempograin.sources import documents as docs
 from tempograin.sources.tables import Tables
 from tempograin.streaming import ingest
 
 NUMERIC = ["age", "height", "weight", "speed"]
 CATEGORICAL = ["gender"]
-SEED, FOLDS, GRID = [11], 2, [0.1, 1.0]
 
 
 def frame(t: Tables) -> DataFrame:
@@ -36,28 +37,34 @@ def frame(t: Tables) -> DataFrame:
 
 
 def assigned(t: Tables) -> DataFrame:
-    return ev.assign_folds(frame(t), "sub_id", "label", SEED, FOLDS)
+    return ev.assign_folds(frame(t), "sub_id", "label")
 
 
 @query("e03_preprocessing")
 def _(t):
-    """Imputed, scaled and one-hot features with three components, fitted on the training fold."""
-    data = frame(t).join(assigned(t), "sub_id")
-    train, test = data.filter("fold <> 0"), data.filter("fold = 0")
-    prep = ops.preprocessor(NUMERIC, CATEGORICAL, components=3).fit(train)
-    return prep.transform(test).select("filename", F.transform(vector_to_array("features"), lambda v: F.round(v, 6) + 0.0).alias("features"))
+    """Imputed, scaled and one-hot features with three components of each outer fold, fitted on its training side."""
+    data = durable(frame(t).join(assigned(t), "sub_id"))
+
+    def one(cell):
+        seed, fold = cell
+        rows = data.filter(F.col("seed") == seed)
+        prep = ops.preprocessor(NUMERIC, CATEGORICAL, components=3).fit(rows.filter(F.col("fold") != fold))
+        return prep.transform(rows.filter(F.col("fold") == fold)).select(
+            "seed", "fold", "filename", F.transform(vector_to_array("features"), lambda v: F.round(v, 6) + 0.0).alias("features"))
+    cells = sorted((r["seed"], r["fold"]) for r in data.select("seed", "fold").distinct().collect())
+    return reduce(DataFrame.unionByName, ops.in_pool(one, cells))
 
 
 @query("e04_inner_choice")
 def _(t):
     """The C that grouped inner folds choose for each outer fold."""
-    _, chosen = ops.score_folds(frame(t), assigned(t), "sub_id", "filename", NUMERIC, CATEGORICAL, grid=GRID)
+    _, chosen = ops.score_folds(frame(t), assigned(t), "sub_id", "filename", NUMERIC, CATEGORICAL)
     return t.spark.createDataFrame(chosen, "seed int, fold int, c double")
 
 
 @query("e05_fold_scores")
 def _(t):
-    scores, _ = ops.score_folds(frame(t), assigned(t), "sub_id", "filename", NUMERIC, CATEGORICAL, grid=[1.0])
+    scores, _ = ops.score_folds(frame(t), assigned(t), "sub_id", "filename", NUMERIC, CATEGORICAL)
     return scores.withColumn("p", r6(F.col("p")))
 
 
@@ -86,7 +93,7 @@ def _(t):
 
 @query("e19_learning_curve")
 def _(t):
-    out = ops.learning_curve(frame(t), assigned(t), "sub_id", "filename", NUMERIC, CATEGORICAL, [0.25, 1.0], [1.0])
+    out = ops.learning_curve(frame(t), assigned(t), "sub_id", "filename", NUMERIC, CATEGORICAL)
     return out.withColumn("auc", r6(F.col("auc")))
 
 
@@ -98,7 +105,7 @@ def _(t):
 
 @query("e33_condition_suites")
 def _(t):
-    out = ops.condition_suites(frame(t), assigned(t), "sub_id", "filename", "injury", NUMERIC, CATEGORICAL, 35, [1.0])
+    out = ops.condition_suites(frame(t), assigned(t), "sub_id", "filename", "injury", NUMERIC, CATEGORICAL, 35)
     return out.withColumn("auc", r6(F.col("auc")))
 
 
@@ -109,7 +116,7 @@ def _(t):
     even = c.filter("vec_id % 2 = 0").select("pair", F.col("curve").alias("l"), (F.col("label") >= 5).cast("int").alias("label"))
     pairs = even.join(c.filter("vec_id % 2 = 1").select("pair", F.col("curve").alias("r")), "pair")
     bank = pairs.select(F.col("pair").alias("clip"), F.transform("l", lambda v: v * 0.1).alias("near"), F.transform("r", lambda v: v * 0.1).alias("far"))
-    folds = ev.assign_folds(pairs, "pair", "label", SEED, FOLDS)
+    folds = ev.assign_folds(pairs, "pair", "label")
     names = [f"d{i}" for i in range(4)]
     outs = None
     for scale in (0.5, 1.0, 2.0):
@@ -117,7 +124,7 @@ def _(t):
         diff = F.zip_with("r_moved", "l_moved", lambda a, b: a - b)
         feats = moved.withColumn("_d", diff).select("pair", F.col("pair").alias("row"), "label", *[
             F.aggregate(F.slice("_d", 16 * i + 1, 16), F.lit(0.0), lambda s, v: s + v).alias(n) for i, n in enumerate(names)])
-        scores, _ = ops.score_folds(feats, folds, "pair", "row", names, [], grid=[1.0])
+        scores, _ = ops.score_folds(feats, folds, "pair", "row", names, [])
         one = ev.auc(scores, ["seed", "fold"], "y", "p").agg(F.lit(scale).alias("scale"), r6(F.avg("auc")).alias("auc"))
         outs = one if outs is None else outs.unionByName(one)
     return outs
