@@ -2,7 +2,7 @@
 
 from tempograin.llm import (  # noqa: F401
     decontamination, pii, preferences, quality_classifier, quality_rules, sentencepieces,
-    sharding, simhash, suffix_dedup, warc)
+    sharding, simhash, suffix_dedup, token_counts, warc)
 from tempograin.llm.common import all_oracles, all_queries
 
 __all__ = ["all_queries", "all_oracles"]
