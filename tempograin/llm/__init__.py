@@ -1,7 +1,7 @@
 """Operators for preparing language-model training data, each with its query."""
 
 from tempograin.llm import (  # noqa: F401
-    decontamination, merkle_manifest, pii, preferences, quality_classifier, quality_rules, sentencepieces,
+    decontamination, lexical_search, merkle_manifest, pii, preferences, quality_classifier, quality_rules, sentencepieces,
     sharding, simhash, suffix_dedup, token_counts, warc)
 from tempograin.llm.common import all_oracles, all_queries
 
