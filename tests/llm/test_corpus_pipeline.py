@@ -2,9 +2,7 @@ import zlib
 
 import sentencepiece
 from test_decontamination import brute as brute_hits
-from test_pii import luhn  # noqa: F401
-from test_simhash import brute as brute_components
-from test_simhash import brute_print
+from test_near_copies import brute_kept
 
 import corpus_pipeline
 from tempograin.llm import pii, quality_classifier, sentencepieces
@@ -25,9 +23,8 @@ def test_stages_equal_brute_force(spark):
     assert good.columns == docs.columns and sorted(good.collect(), key=lambda r: r.doc_id) == rows
     assert 0.5 * docs.count() < len(rows) < docs.count()
 
-    prints = [brute_print(r.text) for r in rows]
-    ids = brute_components(prints, [r.doc_id for r in rows])
-    left = [r for r, i in zip(rows, ids) if r.doc_id == i]
+    first = brute_kept([(r.doc_id, r.text) for r in rows])
+    left = [r for r in rows if r.doc_id in first]
     one = functions[1](spark, good, FOLDER)
     assert one.columns == docs.columns and sorted(one.collect(), key=lambda r: r.doc_id) == left
     assert len(left) < len(rows)
