@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tempograin.functions.numeric import portable_hash
 from tempograin.operators import evaluation as ev
+from tempograin.operators import newton
 from tempograin.session import durable
 
 # The grid of C and the number of inner folds.
@@ -106,8 +107,12 @@ def score_folds(frame: DataFrame, assigned: DataFrame, group: str, row: str, num
     """Held-out scores of one model on every fold, and what was chosen per fold.
 
     All models of a study share ``assigned`` (seed, group, fold). ``train_share`` keeps
-    that share of the training groups, ranked by a hash, for learning curves.
+    that share of the training groups, ranked by a hash, for learning curves. Logistic models
+    of all folds and penalties are fitted together; only fold-wise mode filling, components
+    and boosted trees are fitted fold by fold.
     """
+    if kind == "logit" and missing == "explicit" and not components:
+        return newton.score_folds(frame, assigned, group, row, numeric, categorical, grid or C_GRID, INNER_FOLDS, train_share)
     data = durable(frame.join(assigned, group).withColumn("label", F.col("label").cast("double")))
     cells = sorted((r["seed"], r["fold"]) for r in data.select("seed", "fold").distinct().collect())
 
@@ -190,24 +195,23 @@ def coefficient_ranking(frame: DataFrame, numeric: list[str], categorical: list[
 def learning_curve(frame: DataFrame, assigned: DataFrame, group: str, row: str, numeric: list[str], categorical: list[str],
                    shares: list[float] | None = None, grid: list[float] | None = None) -> DataFrame:
     """Mean AUC over folds by share of training groups."""
-    outs = []
-    for share in shares or SHARES:
-        scores, _ = score_folds(frame, assigned, group, row, numeric, categorical, grid=grid, train_share=share)
-        per = ev.auc(scores, ["seed", "fold"], "y", "p")
-        outs.append(per.agg(F.lit(share).alias("share"), F.avg("auc").alias("auc"), F.count("auc").alias("n_folds")))
-    return reduce(DataFrame.unionByName, outs)
+    shares = shares or SHARES
+    scores, _ = newton.score_variants(frame, assigned, group, row, numeric, categorical, grid or C_GRID, INNER_FOLDS, [newton.Variant(s) for s in shares])
+    per = ev.auc(scores, ["variant", "seed", "fold"], "y", "p")
+    share = F.element_at(F.array(*[F.lit(float(s)) for s in shares]), F.col("variant") + 1).alias("share")
+    return per.groupBy("variant").agg(F.avg("auc").alias("auc"), F.count("auc").alias("n_folds")).select(share, "auc", "n_folds")
 
 
 def condition_suites(frame: DataFrame, assigned: DataFrame, group: str, row: str, condition: str, numeric: list[str],
                      categorical: list[str], min_rows: int, grid: list[float] | None = None) -> DataFrame:
     """One condition against the pool of rows with none, for every large enough condition."""
     sizes = frame.filter("label = 1").groupBy(condition).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows)
-    outs = []
-    for r in sizes.orderBy(condition).collect():  # a handful of named conditions
-        cohort = frame.filter((F.col("label") == 0) | (F.col(condition) == r[condition]))
-        scores, _ = score_folds(cohort, assigned, group, row, numeric, categorical, grid=grid)
-        per = ev.auc(scores, ["seed", "fold"], "y", "p")
-        outs.append(per.agg(F.lit(r[condition]).alias("condition"), F.lit(r["n"]).alias("n_positive"), F.avg("auc").alias("auc")))
-    if not outs:
+    found = [(r[condition], r["n"]) for r in sizes.orderBy(condition).collect()]  # a handful of named conditions
+    if not found:
         raise ValueError(f"no condition has {min_rows} rows")
-    return reduce(DataFrame.unionByName, outs)
+    variants = [newton.Variant(rows=(F.col("label") == 0) | F.col(condition).eqNullSafe(F.lit(name))) for name, _ in found]
+    scores, _ = newton.score_variants(frame, assigned, group, row, numeric, categorical, grid or C_GRID, INNER_FOLDS, variants)
+    per = ev.auc(scores, ["variant", "seed", "fold"], "y", "p").groupBy("variant").agg(F.avg("auc").alias("auc"))
+    at = F.col("variant") + 1
+    return per.select(F.element_at(F.array(*[F.lit(name) for name, _ in found]), at).alias("condition"),
+                      F.element_at(F.array(*[F.lit(n) for _, n in found]), at).alias("n_positive"), "auc")

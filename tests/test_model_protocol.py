@@ -5,7 +5,7 @@ from pyspark.ml.classification import GBTClassifier
 
 from tempograin import plans
 from tempograin.operators import evaluation as ev
-from tempograin.operators import models
+from tempograin.operators import models, newton
 
 FOLDER = "/root/testdata/sf0.001"
 CELLS = {(s, f) for s in (11, 23, 37, 53, 71) for f in range(5)}
@@ -19,7 +19,14 @@ def test_queries_pass_all_folds_and_values(spark, monkeypatch):
         seen.append((cells, grid, train_share))
         none = "seed int, fold int, y int, p double"
         return spark.createDataFrame([(11, 0, 1, 0.5), (11, 0, 0, 0.5)], none), [{"seed": 11, "fold": 0, "c": 1.0}]
+
+    def score_variants(frame, assigned, group, row, numeric, categorical, grid, inner, variants):
+        assert grid == [0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0] and inner == 3
+        cells = {tuple(r) for r in assigned.select("seed", "fold").distinct().collect()}
+        seen.extend((cells, None, v.share) for v in variants)
+        return spark.createDataFrame([(0, 11, 0, 1, 0.5), (0, 11, 0, 0, 0.5)], "variant int, seed int, fold int, y int, p double"), []
     monkeypatch.setattr(models, "score_folds", score_folds)
+    monkeypatch.setattr(newton, "score_variants", score_variants)
     for name in ("e04_inner_choice", "e05_fold_scores", "e19_learning_curve"):
         plans.all_queries()[name](spark, FOLDER)
     assert all(cells == CELLS and grid is None for cells, grid, _ in seen)
