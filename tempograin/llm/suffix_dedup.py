@@ -29,9 +29,10 @@ LENGTH = 50
 ANCHOR = 16
 REACH = LENGTH - ANCHOR + 1  # anchors in a string; a string starts up to REACH - 1 bytes before its anchor
 RECORD = LENGTH + 1 + (REACH - 1) + 1  # what follows, its length, what precedes (backwards), its length
-RUN_BYTES = 6 << 20
-BUCKET_BYTES = 8 << 20  # of text for each bucket of anchors
+RUN_BYTES = 3 << 20
+BUCKET_BYTES = 6 << 20  # of text for each bucket of anchors
 BLOCK = 256 << 10
+ANCHORS = 32 << 10  # whose records are made or compared at a time
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 LAST_ID = (1 << 63) - 1  # stands for a null doc_id, which comes after all others
 ALL = (1 << REACH) - 1
@@ -150,13 +151,14 @@ def records(run: Run, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     after = np.minimum(LENGTH, run.ends[doc] - at)
     before = np.minimum(REACH - 1, at - run.starts[doc])
     out = np.zeros((len(at), RECORD), np.uint8)
-    for i in range(LENGTH):
-        ok = i < after
-        out[ok, i] = run.data[at[ok] + i]
+    for a in range(0, len(at), ANCHORS):
+        part = slice(a, a + ANCHORS)
+        here, right, left = at[part, None], after[part, None], before[part, None]
+        for columns, places, wide in ((slice(0, LENGTH), np.arange(LENGTH), right),
+                                      (slice(LENGTH + 1, RECORD - 1), -1 - np.arange(REACH - 1), left)):
+            inside = np.arange(len(places)) < wide
+            out[part, columns] = np.where(inside, run.data[np.where(inside, here + places, 0)], 0)
     out[:, LENGTH] = after
-    for i in range(REACH - 1):
-        ok = i < before
-        out[ok, LENGTH + 1 + i] = run.data[at[ok] - 1 - i]
     out[:, RECORD - 1] = before
     return out, after, before
 
@@ -168,19 +170,19 @@ class Contexts:
         self.chosen = np.flatnonzero(shared[run.group])
         matrix, self.after, self.before = records(run, self.chosen)
         bucket = run.buckets(n_buckets)[run.group[self.chosen]]
-        content = np.ascontiguousarray(matrix).view(f"V{RECORD}").ravel()
+        content = matrix.view(f"V{RECORD}").ravel()
         order = np.argsort(content, kind="stable")
         order = order[np.argsort(bucket[order], kind="stable")]
-        self.order, matrix, bucket = order, matrix[order], bucket[order]
-        if len(order):
-            new = (matrix[1:] != matrix[:-1]).any(axis=1) | (bucket[1:] != bucket[:-1])
-            first = np.flatnonzero(np.concatenate(([True], new)))
-        else:
-            first = np.zeros(0, np.int64)
+        self.order, bucket = order, bucket[order]
+        new = np.ones(len(order), bool)
+        for a in range(1, len(order), ANCHORS):  # the sorted matrix is never made whole
+            part = matrix[order[a - 1:a + ANCHORS]]
+            new[a:a + ANCHORS] = (part[1:] != part[:-1]).any(axis=1) | (bucket[a:a + ANCHORS] != bucket[a - 1:a - 1 + len(part) - 1])
+        first = np.flatnonzero(new)
         self.member = np.repeat(np.arange(len(first)), np.diff(np.concatenate((first, [len(order)]))))
         owner = run.ids[run.docs[self.chosen[order]]]
         self.least = np.minimum.reduceat(owner, first) if len(first) else np.zeros(0, np.int64)
-        self.owner, self.matrix, self.bucket = owner, matrix[first], bucket[first]
+        self.owner, self.matrix, self.bucket = owner, matrix[order[first]], bucket[first]
 
     def coded(self) -> Iterator[tuple[int, int, bytes]]:
         """(bucket, records, front-coded run) of each bucket."""
@@ -189,7 +191,7 @@ class Contexts:
             agree = np.zeros(len(part), np.int64)
             if len(part) > 1:
                 agree[1:] = (part[1:] != part[:-1]).argmax(axis=1)
-            tails = part[np.arange(RECORD)[None, :] >= agree[:, None]].tobytes()
+            tails = b"".join(part[k:k + ANCHORS][np.arange(RECORD) >= agree[k:k + ANCHORS, None]].tobytes() for k in range(0, len(part), ANCHORS))
             ids = self.least[a:b].astype("<i8").view(np.uint8).reshape(-1, 8).T
             body = agree.astype(np.uint8).tobytes() + np.ascontiguousarray(ids).tobytes() + tails
             yield bucket, len(part), _pack(body)
