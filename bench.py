@@ -22,7 +22,7 @@ HEADLINE = [
     "a43_funnel", "w01_first_session", "w05_hysteresis_events", "w07_cycle_verdict", "w09_dominant_period", "w28_lag_scan", "j09_interval_join",
     "c03_cycle_band", "c06_gaussian_smooth", "c08_degrade", "w21_window_blend", "a17_stride_contrasts", "a18_wasserstein", "a19_error_statistics",
     "a25_stability", "e01_group_folds", "e06_roc_auc", "e12_bootstrap_auc", "e14_operating_points", "e17_selective_curve", "e22_benjamini_hochberg",
-    "e26_spearman", "e05_fold_scores", "g01_body_frame_angles", "g15_frame_quality", "t07_input_checks", "t13_tolerance_regression", "t16_banned_terms"]
+    "e26_spearman", "e04_inner_choice", "e05_fold_scores", "e35_convention_sensitivity", "g01_body_frame_angles", "g15_frame_quality", "t07_input_checks", "t13_tolerance_regression", "t16_banned_terms"]
 
 
 def main() -> None:
