@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempograin.functions.numeric import ratio
+from tempograin.session import durable
+
+GRAM = 3  # characters of the parts by which names are looked up
 
 
 def coverage_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,26 +39,40 @@ def length_matched(left: DataFrame, right: DataFrame, clip: list[str]) -> DataFr
     return a.join(b, [*clip, "n_frames"])
 
 
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """(_id, _name, _grams) of the distinct names that are not empty: their parts of one to GRAM characters."""
+    parts = F.array_distinct(F.concat(*[F.regexp_extract_all("_name", F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)) for q in range(1, GRAM + 1)]))
+    names = df.select(F.col(name).alias("_name")).filter(F.length("_name") > 0).distinct()
+    return durable(names.select(F.monotonically_increasing_id().alias("_id"), "_name")).withColumn("_grams", parts)
+
+
+def _held(needles: DataFrame, holders: DataFrame) -> DataFrame:
+    """(needle, holder) numbers of each name of ``needles`` that a name of ``holders`` contains.
+
+    The index lists the holders of each gram. A needle is looked up by the gram of its own
+    that the fewest holders have, and then compared.
+    """
+    index = durable(holders.select(F.col("_id").alias("holder"), F.explode("_grams").alias("_gram")))
+    sizes = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_holders"))
+    longest = F.least(F.length("_name"), F.lit(GRAM))
+    own = needles.select(F.col("_id").alias("needle"), F.explode(F.filter("_grams", lambda g: F.length(g) == longest)).alias("_gram"))
+    looked_up = own.join(sizes, "_gram").groupBy("needle").agg(F.min(F.struct("_holders", "_gram")).alias("_rarest"))
+    found = looked_up.select("needle", F.col("_rarest._gram").alias("_gram")).join(index, "_gram").select("needle", "holder")
+    inner = needles.select(F.col("_id").alias("needle"), F.col("_name").alias("_part"))
+    outer = holders.select(F.col("_id").alias("holder"), F.col("_name").alias("_whole"))
+    return found.join(inner, "needle").join(outer, "holder").filter(F.contains("_whole", "_part"))
+
+
 def contained_name(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
     """For each left name, the first right name (sorted) that contains or is contained in it.
 
-    Names are expanded to their substrings and reduced to one best name per substring
-    before joining, so the match is an equi-join and no pair list is built.
+    Names are found through an index of short grams, so a name costs its length; null and
+    empty names match nothing. Left names without a match have no row.
     """
-    def pieces(df: DataFrame, name: str, keep: str) -> DataFrame:
-        spots = F.expr(
-            f"flatten(transform(sequence(1, length({name})), i -> "
-            f"transform(sequence(1, length({name}) - i + 1), k -> substring({name}, i, k))))")
-        return df.select(F.col(name).alias(keep), F.explode(F.array_distinct(spots)).alias("_piece"))
-
-    names = left.select(left_name).filter(F.length(left_name) > 0).distinct()
-    others = right.select(right_name).filter(F.length(right_name) > 0).distinct()
-    inside = (pieces(others, right_name, "_hit").groupBy("_piece").agg(F.min("_hit").alias("_hit"))
-              .join(names.withColumn("_piece", F.col(left_name)), "_piece").select(left_name, "_hit"))
-    around = (pieces(names, left_name, left_name)
-              .join(others.withColumn("_piece", F.col(right_name)), "_piece")
-              .select(left_name, F.col(right_name).alias("_hit")))
-    return (inside.unionByName(around).groupBy(left_name).agg(F.min("_hit").alias(right_name)))
+    names, others = _numbered(left, left_name), _numbered(right, right_name)
+    inside = _held(names, others).select(F.col("_part").alias(left_name), F.col("_whole").alias("_hit"))
+    around = _held(others, names).select(F.col("_whole").alias(left_name), F.col("_part").alias("_hit"))
+    return inside.unionByName(around).groupBy(left_name).agg(F.min("_hit").alias(right_name))
 
 
 def grid(df: DataFrame, **levels: list) -> DataFrame:
