@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tempograin.functions import arrays
 from tempograin.functions.numeric import correlation, portable_hash
 from tempograin.operators.ordered import (
-    Index, Neighbour, RunningSum, block_window, cut, quantiles, with_halo)
+    Index, Neighbour, RunningSum, block_window, cut, join_same, quantiles, with_halo)
 
 
 def long_curves(df: DataFrame, keys: list[str], curve: str) -> DataFrame:
@@ -84,7 +84,7 @@ def wasserstein(df: DataFrame, keys: list[str], side: str, value: str) -> DataFr
         _cl=RunningSum(F.col("_nl")), _cr=RunningSum(F.col("_nr")),
         _next=Neighbour(F.col(value), backward=True)).rows()
     area = F.abs(F.col("_cl") / F.nullif(F.col("_tl"), F.lit(0)) - F.col("_cr") / F.nullif(F.col("_tr"), F.lit(0)))
-    return (steps.join(totals, keys).groupBy(*keys)
+    return (join_same(steps, totals, keys).groupBy(*keys)
             .agg(F.sum(area * (F.col("_next") - F.col(value))).alias("_w"), F.max("_tl").alias("n_l"), F.max("_tr").alias("n_r"))
             .select(*keys, "n_l", "n_r", F.when((F.col("n_l") > 0) & (F.col("n_r") > 0),
                                                 F.coalesce("_w", F.lit(0.0))).alias("wasserstein")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempograin.functions.numeric import correlation
-from tempograin.operators.ordered import Index, cut, quantiles
+from tempograin.operators.ordered import Index, cut, join_same, quantiles
 
 
 def error_stats(df: DataFrame, keys: list[str], est: str, ref: str, min_rows: int = 5) -> DataFrame:
@@ -110,7 +110,7 @@ def agreement(df: DataFrame, keys: list[str], nominal: Column, measured: Column)
                      F.abs(100.0 * (measured - nominal) / nominal).alias("_rel"))
     stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_m").alias("mean"), F.stddev_samp("_m").alias("sd"),
                                     F.avg("_e").alias("mean_error"))
-    return stats.join(quantiles(rows, keys, "_rel", {"median_rel": 0.5}), keys)
+    return join_same(stats, quantiles(rows, keys, "_rel", {"median_rel": 0.5}), keys)
 
 
 def worst_rows(df: DataFrame, error: Column, key: str, k: int) -> DataFrame:
@@ -142,7 +142,7 @@ def arm_costs(df: DataFrame, keys: list[str], arm: str, base: str, value: str) -
     """Each arm's mean minus the base arm's, per key."""
     means = df.groupBy(*keys, arm).agg(F.avg(value).alias("_v"))
     floor = means.filter(F.col(arm) == base).select(*keys, F.col("_v").alias("_b"))
-    return (means.filter(F.col(arm) != base).join(floor, keys)
+    return (join_same(means.filter(F.col(arm) != base), floor, keys)
             .select(*keys, arm, F.col("_v").alias("value"), (F.col("_v") - F.col("_b")).alias("cost")))
 
 
@@ -167,7 +167,7 @@ def choose_candidate(stats: DataFrame, keys: list[str], name: str, mean: str, de
     """Candidate with the smallest |mean|; inside the tie band the declared one wins."""
     rows = stats.withColumn("_a", F.abs(mean))
     best = rows.groupBy(*keys).agg(F.min("_a").alias("_best"))
-    near = rows.join(best, keys).withColumn("_near", F.col("_a") - F.col("_best") < band)
+    near = join_same(rows, best, keys).withColumn("_near", F.col("_a") - F.col("_best") < band)
     out = near.groupBy(*keys).agg(
         F.min(F.struct(F.round("_a", 9).alias("a"), F.col(name).alias("c")))["c"].alias("_smallest"),
         F.count_if("_near").alias("_close"), F.max((F.col("_near") & (F.col(name) == declared)).cast("int")).alias("_has"))

@@ -98,7 +98,7 @@ def _from_the_top(counts: DataFrame, keys: list[str]) -> DataFrame:
     run = cut(falling, keys, ["_down"]).add(tp=RunningSum(F.col("pos")), fp=RunningSum(F.col("neg"))).rows()
     sums = [F.sum("pos").alias("_p"), F.sum("neg").alias("_q")]
     if keys:
-        return run.join(counts.groupBy(*keys).agg(*sums), keys)
+        return join_same(run, counts.groupBy(*keys).agg(*sums), keys)
     return run.withColumns({"_p": counts.agg(sums[0]).scalar(), "_q": counts.agg(sums[1]).scalar()})
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tempograin.functions import geometry as g
 from tempograin.functions.geometry import cross, dot, point, sub, unit, vec
 from tempograin.functions.numeric import ratio, wrap_degrees
-from tempograin.operators.ordered import block_window, quantiles, with_halo
+from tempograin.operators.ordered import block_window, join_same, quantiles, with_halo
 
 
 def stage(df: DataFrame, **vectors: g.Vec) -> DataFrame:
@@ -251,7 +251,7 @@ def travel_azimuth(df: DataFrame, keys: list[str], centre: tuple[float, float],
     angles = m.select(*keys, F.degrees(F.acos(F.least(F.lit(1.0), cos))).alias("_deg"))
     sizes = angles.groupBy(*keys).agg(F.count("_deg").alias("n"))
     q = quantiles(angles, keys, "_deg", {"p25": 0.25, "deg": 0.5, "p75": 0.75})
-    return sizes.join(q, keys).select(*keys, "n", *[F.when(F.col("n") >= min_frames, F.col(c)).alias(c) for c in ("deg", "p25", "p75")])
+    return join_same(sizes, q, keys).select(*keys, "n", *[F.when(F.col("n") >= min_frames, F.col(c)).alias(c) for c in ("deg", "p25", "p75")])
 
 
 def travel_per_frame(df: DataFrame, keys: list[str], min_frames: int = 3) -> DataFrame:
@@ -273,14 +273,14 @@ def excursion(df: DataFrame, keys: list[str]) -> DataFrame:
     """Sideways range of the pelvis in median trunk lengths."""
     trunk = quantiles(df.select(*keys, g.distance("thorax", "pelvis").alias("_t")), keys, "_t", {"_trunk": 0.5})
     spread = df.groupBy(*keys).agg((F.max(F.col("pelvis")["x"]) - F.min(F.col("pelvis")["x"])).alias("_r"))
-    return spread.join(trunk, keys).select(*keys, F.when(F.col("_trunk") >= 1e-9, F.col("_r") / F.col("_trunk")).alias("excursion"))
+    return join_same(spread, trunk, keys).select(*keys, F.when(F.col("_trunk") >= 1e-9, F.col("_r") / F.col("_trunk")).alias("excursion"))
 
 
 def anterior_offset(df: DataFrame, keys: list[str], side: str) -> DataFrame:
     """Ankle ahead of the pelvis along x, in median trunk lengths."""
     trunk = quantiles(df.select(*keys, g.distance("thorax", "pelvis").alias("_t")), keys, "_t", {"_trunk": 0.5})
     scale = F.when(F.col("_trunk") > 1e-9, F.col("_trunk")).otherwise(1.0)
-    return df.join(trunk, keys).select(*keys, "frame", ((F.col(f"{side}_ankle")["x"] - F.col("pelvis")["x"]) / scale).alias("offset"))
+    return join_same(df, trunk, keys).select(*keys, "frame", ((F.col(f"{side}_ankle")["x"] - F.col("pelvis")["x"]) / scale).alias("offset"))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -388,7 +388,7 @@ def frame_quality(df: DataFrame, keys: list[str], score: str) -> DataFrame:
             (F.abs(own - other) / F.greatest((own + other) / 2.0, F.lit(1e-9))).alias("lr_asym")))
     long = moved.select(*keys, "frame", "speed", F.inline(F.array(*entries)))
     dev = F.abs(F.col("_len") - F.col("length")) / F.greatest(F.col("length"), F.lit(1e-9))
-    return (long.join(medians, [*keys, "segment"]).join(near, keys)
+    return (join_same(join_same(long, medians, [*keys, "segment"]), near, keys)
             .withColumn("len_dev", dev).withColumn("is_far", (F.col("_side") != F.col("near")).cast("int"))
             .select(*keys, "frame", "segment", "score_min", "len_dev", "lr_asym", "speed", "is_far"))
 
@@ -416,7 +416,7 @@ def normalise_scale(df: DataFrame, keys: list[str], joints: list[str]) -> DataFr
     moved = df.withColumns(rel)
     largest = F.greatest(*[F.abs(F.col(j)[a]) for j in joints for a in "xy"])
     scale = moved.groupBy(*keys).agg(F.max(largest).alias("scale"))
-    out = moved.join(scale, keys)
+    out = join_same(moved, scale, keys)
     return out.withColumns({j: F.struct(*[ratio(F.col(j)[a], F.col("scale")).alias(a) for a in "xy"]) for j in joints})
 
 

@@ -49,7 +49,7 @@ def swing(series: DataFrame, keys: list[str], value: str = "value") -> DataFrame
     """5th and 95th percentile and their range; the range is NULL below four values."""
     spread = quantiles(series, keys, value, {"p05": 0.05, "p95": 0.95})
     sizes = series.groupBy(*keys).agg(F.count(value).alias("n"))
-    return (sizes.join(spread, keys)
+    return (join_same(sizes, spread, keys)
             .withColumn("amplitude", F.when(F.col("n") >= 4, F.col("p95") - F.col("p05"))))
 
 
@@ -63,8 +63,7 @@ def hysteresis_events(series: DataFrame, keys: list[str], value: str = "value")
     mid = 0.5 * (F.col("p05") + F.col("p95"))
     bands = (swing(series, keys, value).filter(F.col("amplitude") >= 1e-9)
              .select(*keys, (mid - half).alias("_low"), (mid + half).alias("_high")))
-    rows = (series.filter(F.col(value).isNotNull()).select(*keys, "frame", value)
-            .join(bands, keys))
+    rows = join_same(series.filter(F.col(value).isNotNull()).select(*keys, "frame", value), bands, keys)
     cross = F.when(F.col(value) > F.col("_high"), 1).when(F.col(value) < F.col("_low"), 0)
     stated = cut(rows, keys, ["frame"]).add(_state=Known(cross))
     above = F.coalesce(F.col("_state"), F.lit(0))
@@ -109,8 +108,7 @@ def segmentation_verdict(series: DataFrame, clip: str, side: str, fps: float) ->
     filled = fill_short_gaps(series, keys, fps).select(*keys, "frame", "value", "filled")
     raw_swing = swing(filled, keys).select(*keys, "amplitude")
     ev = hysteresis_events(filled.select(*keys, "frame", F.col("filled").alias("value")), keys)
-    per_side = (raw_swing
-                .join(cycle_summary(cycles(ev, keys, fps), keys), keys, "left")
+    per_side = (join_same(raw_swing, cycle_summary(cycles(ev, keys, fps), keys), keys, "left")
                 .na.fill({"n_cycles": 0, "n_used": 0}))
 
     def of(s: str, column: str) -> Column:
@@ -139,7 +137,7 @@ def dominant_period(series: DataFrame, keys: list[str], lo: int, hi: int) -> Dat
     """
     kept = number_frames(series.filter(F.col("value").isNotNull()), keys, ["frame"], "_pos")
     stats = kept.groupBy(*keys).agg(F.avg("value").alias("_mean"), F.count(F.lit(1)).alias("_n"))
-    centred = kept.join(stats, keys).withColumn("_v", F.col("value") - F.col("_mean"))
+    centred = join_same(kept, stats, keys).withColumn("_v", F.col("value") - F.col("_mean"))
     halo = with_halo(centred.select(*keys, "_pos", "_v", "_n"), "_pos", hi)
     window = block_window(keys, "_pos")
     lags = list(range(lo, hi + 1))
@@ -209,7 +207,7 @@ def contacts(series: DataFrame, keys: list[str], bar: float, min_frames: int) ->
     out. ``next2`` is the onset two contacts later: a stride when contacts alternate.
     """
     ends = series.groupBy(*keys).agg(F.max("frame").alias("_last"))
-    found = (runs(cut(series, keys, ["frame"]), F.col("value") > bar, "frame").join(ends, keys)
+    found = (join_same(runs(cut(series, keys, ["frame"]), F.col("value") > bar, "frame"), ends, keys)
              .filter((F.col("n") >= min_frames) & (F.col("lo") > 0) & (F.col("hi") < F.col("_last")))
              .drop("_last"))
     ordered = cut(found, keys, ["lo"]).add(contact_id=Index(), _next=Neighbour(F.col("lo"), backward=True))
@@ -229,7 +227,7 @@ def stance_fraction(series: DataFrame, keys: list[str], bar: float, min_frames:
 def zero_crossing_rate(series: DataFrame, keys: list[str]) -> DataFrame:
     """Sign changes of the mean-removed value, and cycles per frame (two changes each)."""
     means = series.groupBy(*keys).agg(F.avg("value").alias("_mean"), F.count("value").alias("n"))
-    centred = (series.filter(F.col("value").isNotNull()).join(means, keys)
+    centred = (join_same(series.filter(F.col("value").isNotNull()), means, keys)
                .withColumn("_up", F.col("value") > F.col("_mean")))
     stepped = cut(centred, keys, ["frame"]).add(_was=Neighbour(F.col("_up"))).rows()
     return (stepped.groupBy(*keys)
@@ -245,8 +243,8 @@ def duty_fraction(maxima: DataFrame, minima: DataFrame, periods: DataFrame,
             .unionByName(minima.select(*keys, "frame", F.lit(0).alias("kind"))))
     later = cut(both, keys, ["frame", "kind"]).add(
         next_min=Known(F.when(F.col("kind") == 0, F.col("frame")), backward=True)).rows()
-    return (later.filter("kind = 1 and next_min is not null")
-            .join(periods.filter(F.col("period").isNotNull()).select(*keys, "period"), keys)
+    return (join_same(later.filter("kind = 1 and next_min is not null"),
+                      periods.filter(F.col("period").isNotNull()).select(*keys, "period"), keys)
             .select(*keys, "frame", "next_min",
                     ((F.col("next_min") - F.col("frame")) / F.col("period")).alias("duty")))
 
@@ -308,5 +306,5 @@ def centre_window(series: DataFrame, keys: list[str], width: int) -> DataFrame:
     """The middle ``width`` frames of each group, or all of a shorter one."""
     sizes = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     lo = F.when(F.col("_n") <= width, F.lit(0)).otherwise(F.floor((F.col("_n") - width) / 2))
-    return (series.join(sizes, keys)
+    return (join_same(series, sizes, keys)
             .filter((F.col("frame") >= lo) & (F.col("frame") < lo + width)).drop("_n"))

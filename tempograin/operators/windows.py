@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tempograin.operators.ordered import join_same
+
 
 def triangle(length: int) -> list[float]:
     """Weights rising to the window's centre, never below 0.001."""
@@ -33,7 +35,7 @@ def apply_windows(series: DataFrame, keys: list[str], value: str,
     flush = F.when((last % stride != 0) & (F.col("frame") >= last), F.array(last.cast("long")))
     empty = F.array().cast("array<bigint>")
     starts = F.array_distinct(F.concat(F.coalesce(regular, empty), F.coalesce(flush, empty)))
-    placed = (series.select(*keys, "frame", value).join(sizes, keys)
+    placed = (join_same(series.select(*keys, "frame", value), sizes, keys)
               .select(*keys, F.explode(starts).alias("_start"), (F.struct("frame", F.col(value).alias("v"))).alias("_p")))
     windows = placed.groupBy(*keys, "_start").agg(F.sort_array(F.collect_list("_p")).alias("_w"))
 
