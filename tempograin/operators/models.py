@@ -10,7 +10,7 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from tempograin.functions.numeric import portable_hash
 from tempograin.operators import evaluation as ev
-from tempograin.operators import newton
+from tempograin.operators import boosting, newton
+from tempograin.operators.ordered import join_same
 from tempograin.session import durable
 
 # The grid of C and the number of inner folds.
@@ -157,26 +158,28 @@ def calibration_slope(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def wave_accuracy(frame: DataFrame, assigned: DataFrame, group: str, wave: str, numeric: list[str]) -> DataFrame:
-    """Can the features tell which wave a row came from? Accuracy per fold and the modal baseline."""
-    data = durable(frame.filter(F.col(wave).isNotNull()).select(group, wave, *numeric).join(assigned, group))
-    cells = sorted((r["seed"], r["fold"]) for r in data.select("seed", "fold").distinct().collect())
+    """Can the features tell which wave a row came from? Accuracy per fold and the modal baseline.
 
-    def fit(cell):
-        seed, fold = cell
-        one = data.filter(F.col("seed") == seed).withColumn("_w", F.col(wave).cast("string"))
-        train, test = one.filter(F.col("fold") != fold), one.filter(F.col("fold") == fold)
-        index = StringIndexer(inputCol="_w", outputCol="_index", handleInvalid="keep")
-        prep = Pipeline(stages=[index, *preprocessor(numeric, []).getStages()]).fit(train)
-        # Without metadata, so that the index of unseen waves is no class to fit.
-        label = F.col("_index").alias("label", metadata={})
-        prepared = durable(prep.transform(train).select(label, "features"))
-        model = OneVsRest(classifier=boosted(), labelCol="label").fit(prepared)
-        modal = train.agg(F.mode("_w", True).alias("m")).first()["m"]
-        return model.transform(prep.transform(test).select("_w", label, "features")).agg(
-            F.lit(seed).alias("seed"), F.lit(fold).alias("fold"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
-            F.avg((F.col("_w") == modal).cast("double")).alias("baseline"))
-    outs = in_pool(fit, cells)
-    return reduce(DataFrame.unionByName, outs).withColumn("lift", F.col("accuracy") - F.col("baseline"))
+    One softmax model a fold. Rows without a wave are left out; of equally frequent training
+    waves the smallest is the baseline.
+    """
+    known = durable(frame.filter(F.col(wave).isNotNull()).select(group, wave, *numeric))
+    waves = sorted(r[0] for r in known.select(wave).distinct().collect())  # a handful of years
+    label = F.array_position(F.array(*[F.lit(w) for w in waves]), F.col(wave)).cast("int") - 1
+    rows = known.withColumn("label", label).withColumn("_one", F.lit(0))
+    scores, study = boosting.held_out_scores(rows, assigned, group, "_one", numeric, [], max(len(waves), 2))
+    best = F.col("scores")[0] > 0 if len(waves) <= 2 else F.array_position("scores", F.array_max("scores")) - 1
+    per = scores.groupBy("cell").agg(F.avg((best.cast("int") == F.col("y")).cast("double")).alias("accuracy"))
+    fold_rows = join_same(rows.select(group, "label"), assigned.select(group, "seed", "fold"), [group])
+    counts = fold_rows.groupBy("seed", "fold", "label").agg(F.count(F.lit(1)).alias("n"))
+    cells = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(int(s)).alias("seed"), F.lit(int(f)).alias("fold")) for i, (_, s, f) in enumerate(study.cells)])
+    named = per.withColumn("_c", F.element_at(cells, F.col("cell") + 1)).select("_c.seed", "_c.fold", "accuracy")
+    # Training rows of a fold are the seed's rows less the fold's own.
+    whole = counts.groupBy("seed", "label").agg(F.sum("n").alias("whole"))
+    each = named.join(whole, "seed").join(counts, ["seed", "fold", "label"], "left").withColumn("own", F.coalesce("n", F.lit(0)))
+    modal = F.max_by("own", F.struct(F.col("whole") - F.col("own"), -F.col("label")))
+    out = each.groupBy("seed", "fold", "accuracy").agg((modal / F.sum("own")).alias("baseline"))
+    return out.withColumn("lift", F.col("accuracy") - F.col("baseline"))
 
 
 def coefficient_ranking(frame: DataFrame, numeric: list[str], categorical: list[str], c: float = 1.0) -> DataFrame:

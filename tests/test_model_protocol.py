@@ -1,11 +1,10 @@
 """The model queries run the whole protocol; the fits themselves are small here."""
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier
 
 from tempograin import plans
 from tempograin.operators import evaluation as ev
-from tempograin.operators import models, newton
+from tempograin.operators import boosting, models, newton
 
 FOLDER = "/root/testdata/sf0.001"
 CELLS = {(s, f) for s in (11, 23, 37, 53, 71) for f in range(5)}
@@ -34,12 +33,17 @@ def test_queries_pass_all_folds_and_values(spark, monkeypatch):
 
 
 def test_waves_are_told_by_boosted_trees(spark, monkeypatch):
-    assert isinstance(models.boosted(), GBTClassifier) and models.boosted().getMaxIter() == 100
-    whole = models.boosted
-    monkeypatch.setattr(models, "boosted", lambda: whole().setMaxIter(2).setMaxDepth(2))
+    assert (boosting.ROUNDS, boosting.LEAVES, boosting.LEAF_ROWS) == (100, 31, 20)
+    monkeypatch.setattr(boosting, "ROUNDS", 4)
     rng = np.random.default_rng(1)
     rows = [(i % 40, 2010 + i % 40 % 3, float(i % 40 % 3 + rng.normal(0, 0.1))) for i in range(240)]
     df = spark.createDataFrame(rows, "subject long, wave int, x double")
     folds = ev.assign_folds(df.selectExpr("subject", "wave % 2 AS label"), "subject", "label", [11], 2)
     got = models.wave_accuracy(df, folds, "subject", "wave", ["x"]).collect()
     assert len(got) == 2 and all(r["accuracy"] > 0.9 > r["baseline"] for r in got)
+    own = {r["subject"]: r["fold"] for r in folds.collect()}
+    for r in got:
+        train = [w for s, w, _ in rows if own[s] != r["fold"]]
+        test = [w for s, w, _ in rows if own[s] == r["fold"]]
+        modal = min(set(train), key=lambda w: (-train.count(w), w))
+        assert abs(r["baseline"] - test.count(modal) / len(test)) < 1e-12
