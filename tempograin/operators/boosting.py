@@ -5,7 +5,8 @@ the nodes that each model needs next, gradients, Hessians and rows per feature a
 tasks first, then by node and feature in a shuffle. Only these sums, whose size depends on models,
 leaves, features and bins but not on the rows, reach the driver, which picks the splits. Models do
 not wait for each other: one may grow its fortieth tree while another grows its thirtieth. Of two
-sibling nodes only the smaller is summed, the other is the difference to their parent.
+sibling nodes only the smaller is summed, the other is the difference to their parent. The rows of
+a node that has no more than NODE_ROWS of them meet in one task, which grows all that is below.
 
 Gradients and Hessians are whole multiples of 2^-28, so sums are exact in any order: a task that
 runs again, or another number of partitions, gives the same trees.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tempograin import session
 from tempograin.operators import newton
-from tempograin.operators.ordered import quantiles
+from tempograin.operators.ordered import RunningSum, cut
 
 # Rounds, rate, leaves, rows a leaf, bins and the least Hessian of a leaf.
 ROUNDS = 100
@@ -40,6 +41,7 @@ UNIT = float(2 ** 28)
 WIDTH = 256 * 3  # sums of a node and feature: gradient, Hessian, rows per bin
 KEEP = 5  # rounds after which the rows' scores are written again
 TASK_ROWS = 2048  # fewer rows are not worth a task
+NODE_ROWS = 16384  # rows of a node that one task may hold; above it a node is summed in passes
 REDUCE_BYTES = 64 * 1024 * 1024  # sums that one task of the shuffle adds up
 
 
@@ -83,6 +85,7 @@ class Growing:
     def __init__(self):
         self.sums: dict[int, np.ndarray] = {}
         self.split: dict[int, tuple[float, int, int] | None] = {}
+        self.total: dict[int, tuple[int, int, int]] = {}  # gradient, Hessian, rows
 
     def learn(self, node: int, sums: np.ndarray) -> None:
         """Take the sums of a node and work out its sibling's."""
@@ -91,6 +94,15 @@ class Growing:
             self.sums[node ^ 1] = self.sums[node // 2] - sums
         for n in ((node,) if node == 1 else (node, node ^ 1)):
             self.split[n] = best_split(self.sums[n])
+            self.total[n] = tuple(int(v) for v in self.sums[n][0].sum(axis=0))
+
+    def attach(self, node: int, below: list[tuple]) -> None:
+        """Take what a task found at and below a node: (node counted from there, gain, feature, bin, sums)."""
+        for place, gain, feature, at, *total in below:
+            depth = place.bit_length() - 1
+            n = (node << depth) | (place - (1 << depth))
+            self.split[n] = (gain, feature, at) if at >= 0 else None
+            self.total[n] = tuple(total)
 
     def advance(self) -> tuple[list[int] | None, list[int]]:
         """The splits of the finished tree, or None and the nodes that must be opened to go on.
@@ -98,14 +110,14 @@ class Growing:
         Leaves are split in the order of their gains. All those which may still be among the
         splits are opened together, so that a tree takes about as many passes as it has levels.
         """
-        if 1 not in self.sums:
+        if 1 not in self.split:
             return None, [0]
         heap = [(-self.split[1][0], 1)] if self.split[1] else []
         done: list[int] = []
         while heap and len(done) < LEAVES - 1:
             node = heap[0][1]
-            if 2 * node not in self.sums:
-                return None, [n for _, n in heapq.nsmallest(LEAVES - 1 - len(done), heap) if 2 * n not in self.sums]
+            if 2 * node not in self.split:
+                return None, [n for _, n in heapq.nsmallest(LEAVES - 1 - len(done), heap) if 2 * n not in self.split]
             heapq.heappop(heap)
             done.append(node)
             for child in (2 * node, 2 * node + 1):
@@ -135,12 +147,35 @@ class Growing:
             if node in splits:
                 _, feature[i], cut[i] = self.split[node]
                 left[i], right[i] = at[2 * node], at[2 * node + 1]
-            elif node in self.sums:
-                g, h, _ = self.sums[node][0].sum(axis=0)
+            elif node in self.total:
+                g, h, _ = self.total[node]
                 value[i] = -RATE * (g / UNIT) / max(h / UNIT, 1e-12)
         return Tree(feature, cut, left, right, value, max(order).bit_length() - 1), at
 
 
+def grow_here(bins: np.ndarray, g: np.ndarray, h: np.ndarray) -> Growing:
+    """The tree of some rows in memory, from the same sums and in the same order as in passes."""
+    width = bins.shape[1]
+    at = np.arange(width) * 256 + bins
+
+    def sums(rows: np.ndarray) -> np.ndarray:
+        places, size = at[rows].ravel(), width * 256
+        parts = [np.bincount(places, None if w is None else np.repeat(w[rows], width), size) for w in (g, h, None)]
+        return np.stack(parts, axis=1).astype(np.int64).reshape(width, 256, 3)
+    out, rows = Growing(), {1: np.arange(len(bins))}
+    out.learn(1, sums(rows[1]))
+    while True:
+        done, needed = out.advance()
+        if done is not None:
+            return out
+        node = needed[0]
+        _, feature, cut = out.split[node]
+        low = bins[rows[node], feature] <= cut
+        rows[2 * node], rows[2 * node + 1] = rows[node][low], rows[node][~low]
+        child = out.asked(node)
+        out.learn(child, sums(rows[child]))
+
+
 @dataclass
 class Boost:
     """What the tasks need: each cell's preparation, first scores and the trees not yet in the rows' scores."""
@@ -211,9 +246,14 @@ def _bin_edges(data: DataFrame, numeric: list[str]) -> list[np.ndarray]:
         found[r["feature"]].append(r["value"])
     edges = [np.array(sorted(found[f]))[:-1] for f in range(len(numeric))]
     if many:
-        cuts = quantiles(values.filter(F.col("feature").isin(many)), ["feature"], "value", {f"q{i}": i / BINS for i in range(1, BINS)})
-        for r in cuts.collect():
-            edges[r["feature"]] = np.unique([r[f"q{i}"] for i in range(1, BINS)])
+        some = counted.filter(F.col("feature").isin(many))
+        total = some.groupBy("feature").agg(F.sum("n").alias("total"))
+        run = cut(some, ["feature"], ["value"]).add(_to=RunningSum(F.col("n"))).rows().join(total, "feature")
+        bins = run.groupBy("feature", F.ceil(F.col("_to") * BINS / F.col("total")).alias("bin")).agg(F.max("value").alias("last"))
+        for r in bins.orderBy("feature", "bin").collect():
+            found[r["feature"]].append(r["last"])
+        for f in many:
+            edges[f] = np.array(found[f])[:-1]
     return edges
 
 
@@ -312,6 +352,42 @@ def _sums(data: DataFrame, boost: Boost, growing: dict[tuple[int, int], tuple[Tr
     return out.reshape(n, width, 256, 3)
 
 
+def _below(data: DataFrame, boost: Boost, growing: dict[tuple[int, int], tuple[Tree, dict[int, int]]], n: int, partitions: int) -> dict[int, list[tuple]]:
+    """What :meth:`Growing.attach` takes for every request, whose node's rows are few and meet in one task."""
+    middle, width = boost.middle(), boost.width
+    by_cell: dict[int, list[int]] = {}
+    for cell, k in growing:
+        by_cell.setdefault(cell, []).append(k)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, out = Rows(batch, boost, middle), []
+            for cell, classes in by_cell.items():
+                chosen = np.flatnonzero(rows.role[:, cell] == 1)
+                bins = rows.of(cell, chosen)
+                g, h = gradients(boost.scores(cell, bins, rows.raw[chosen, cell]), rows.y[chosen])
+                for k in classes:
+                    tree, asked = growing[cell, k]
+                    place = tree.place(bins)
+                    for node, request in asked.items():
+                        at = place == node
+                        out.append((request, bins[at].tobytes(), g[at, k].tobytes(), h[at, k].tobytes()))
+            request, *parts = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(request, pa.int64()), *[pa.array(v, pa.binary()) for v in parts]], names=["request", "bins", "g", "h"])
+
+    def grow(table: pa.Table) -> pa.Table:
+        part = {c: np.frombuffer(b"".join(table[c].to_pylist()), np.uint8 if c == "bins" else np.float64) for c in ("bins", "g", "h")}
+        tree = grow_here(part["bins"].reshape(-1, width), part["g"], part["h"])
+        found = [(table["request"][0].as_py(), node, *(split or (0.0, 0, -1)), *tree.total[node]) for node, split in tree.split.items()]
+        return pa.table([pa.array(v) for v in zip(*found)], names=["request", "node", "gain", "feature", "at", "g", "h", "n"])
+    sent = data.mapInArrow(send, "request long, bins binary, g binary, h binary").repartition(min(n, 2 * partitions), "request")
+    found = sent.groupBy("request").applyInArrow(grow, "request long, node long, gain double, feature long, at long, g long, h long, n long").toArrow()
+    out: dict[int, list[tuple]] = {}
+    for request, *rest in zip(*[c.to_pylist() for c in found.columns]):
+        out.setdefault(request, []).append(tuple(rest))
+    return out
+
+
 def _absorb(data: DataFrame, boost: Boost, kind: str) -> DataFrame:
     """The rows with the recent trees in their scores, written to the shared folder."""
     middle = boost.middle()
@@ -353,19 +429,25 @@ def held_out_scores(frame: DataFrame, assigned: DataFrame, group: str, row: str,
     rounds = {c: 0 for c, _ in models}
     kept = dict(rounds)
     while trees:
-        growing, asked, requests = {}, [], 0
+        # Nodes to be summed in passes, and nodes whose rows one task may hold.
+        summed, gathered = {}, {}
+        sum_asked, gather_asked = [], []
         finished: dict[tuple[int, int], list[int]] = {}
         for model, tree in trees.items():
             done, needed = tree.advance()
             if done is not None:
                 finished[model] = done
                 continue
-            opened = {n for n in tree.sums if 2 * n in tree.sums} | set(needed) - {0}
-            flat, place = tree.tree(opened)
-            wanted = [tree.asked(n) for n in needed]
-            growing[model] = (flat, {place[n]: requests + i for i, n in enumerate(wanted)})
-            asked += [(model, n) for n in wanted]
-            requests += len(wanted)
+            size = {n: tree.total[n][2] if n else int(counts[model[0]].sum()) for n in needed}
+            small, large = [max(n, 1) for n in needed if size[n] <= NODE_ROWS], [n for n in needed if size[n] > NODE_ROWS]
+            flat, place = tree.tree({n for n in tree.split if 2 * n in tree.split} | set(large) - {0})
+            if large:
+                wanted = [tree.asked(n) for n in large]
+                summed[model] = (flat, {place[n]: len(sum_asked) + i for i, n in enumerate(wanted)})
+                sum_asked += [(model, n) for n in wanted]
+            if small:
+                gathered[model] = (flat, {place[n]: len(gather_asked) + i for i, n in enumerate(small)})
+                gather_asked += [(model, n) for n in small]
         # A cell goes on to its next round when the trees of all its classes are done.
         for cell in {c for c, _ in finished if all((c, k) in finished for k in range(boost.classes))}:
             for k in range(boost.classes):
@@ -377,9 +459,13 @@ def held_out_scores(frame: DataFrame, assigned: DataFrame, group: str, row: str,
                     del trees[cell, k]
         if max(rounds[c] - kept[c] for c in rounds) >= KEEP:
             stored, boost.recent, kept = _absorb(stored, boost, kind), {}, dict(rounds)
-        if asked:
-            for (model, node), sums in zip(asked, _sums(stored, boost, growing, partitions)):
+        if sum_asked:
+            for (model, node), sums in zip(sum_asked, _sums(stored, boost, summed, partitions)):
                 trees[model].learn(node, sums)
+        if gather_asked:
+            for request, found in _below(stored, boost, gathered, len(gather_asked), partitions).items():
+                model, node = gather_asked[request]
+                trees[model].attach(node, found)
     middle, cells = boost.middle(), np.flatnonzero(study.two_classes)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -109,9 +109,11 @@ def score_folds(frame: DataFrame, assigned: DataFrame, group: str, row: str, num
 
     All models of a study share ``assigned`` (seed, group, fold). ``train_share`` keeps
     that share of the training groups, ranked by a hash, for learning curves. Logistic models
-    of all folds and penalties are fitted together; only fold-wise mode filling, components
-    and boosted trees are fitted fold by fold.
+    of all folds and penalties are fitted together, and so are boosted trees; only fold-wise
+    mode filling and components, and shares of boosted trees, are fitted fold by fold.
     """
+    if kind == "boosted" and missing == "explicit" and not components and train_share == 1.0:
+        return boosting.score_folds(frame, assigned, group, row, numeric, categorical)
     if kind == "logit" and missing == "explicit" and not components:
         return newton.score_folds(frame, assigned, group, row, numeric, categorical, grid or C_GRID, INNER_FOLDS, train_share)
     data = durable(frame.join(assigned, group).withColumn("label", F.col("label").cast("double")))

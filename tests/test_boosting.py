@@ -57,8 +57,10 @@ def alone(x, y, train, classes):
     return raw
 
 
-@pytest.mark.parametrize("classes", [2, 3])
-def test_equals_models_fitted_alone(spark, monkeypatch, classes):
+@pytest.mark.parametrize("classes, node_rows", [(2, 0), (2, 60), (3, 16384)])
+def test_equals_models_fitted_alone(spark, monkeypatch, classes, node_rows):
+    """All nodes in passes, small ones in a task, whole trees in a task."""
+    monkeypatch.setattr(boosting, "NODE_ROWS", node_rows)
     monkeypatch.setattr(boosting, "ROUNDS", ROUNDS)
     monkeypatch.setattr(boosting, "KEEP", 3)
     monkeypatch.setattr(boosting, "TASK_ROWS", 90)
