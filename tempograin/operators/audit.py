@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempograin.functions.numeric import correlation
+from tempograin.functions.numeric import correlation, ratio
 from tempograin.operators.ordered import Ordered
 
 # Bars of the input checks.
@@ -68,18 +68,30 @@ def named_failures(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(~ok, F.lit(n)) for n, ok in rules.items()]))
 
 
-def contract_flags(df: DataFrame, keys: list[str], x: str, y: str, conf: str, target: float) -> DataFrame:
-    """Flags of a prepared array per clip: finite, range, confidence, all-zero frames."""
+def contract_flags(df: DataFrame, keys: list[str], x: str, y: str, conf: str, target: float,
+                   size: tuple[str, str] | None = None) -> DataFrame:
+    """Flags of a prepared array per clip: finite, range, confidence, all-zero frames.
+
+    With ``size``, the columns of a clip's image width and height, the array is in the image-size
+    form: x goes to 1, y to height / width, both with 0.001 to spare, and a missing size is a flag.
+    """
     bad = F.count_if(F.col(x).isNull() | F.col(y).isNull() | F.col(conf).isNull())
     stats = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_frames"), bad.alias("_bad"),
         F.max(F.greatest(F.abs(F.col(x)), F.abs(F.col(y)))).alias("_max"), F.min(conf).alias("conf_min"),
         F.max(conf).alias("conf_max"), F.avg(conf).alias("conf_mean"),
-        F.count_if(F.abs(F.col(x)) + F.abs(F.col(y)) == 0).alias("_zero"))
-    rules = {"non-finite values": F.col("_bad") == 0, "range exceeds 1": F.col("_max") <= 1.0 + 1e-6,
+        F.count_if(F.abs(F.col(x)) + F.abs(F.col(y)) == 0).alias("_zero"),
+        F.max(F.abs(F.col(x))).alias("_x"), F.max(F.abs(F.col(y))).alias("_y"),
+        *[F.max(c).alias(n) for c, n in zip(size or (), ("_width", "_height"))])
+    bounds = {"range exceeds 1": F.col("_max") <= 1.0 + 1e-6}
+    if size:
+        aspect = ratio(F.col("_height"), F.col("_width"))
+        bounds = {"no resolution": aspect.isNotNull(), "x outside the image": aspect.isNull() | (F.col("_x") <= 1.0 + 1e-3),
+                  "y outside the image": F.col("_y") <= aspect + 1e-3}
+    rules = {"non-finite values": F.col("_bad") == 0, **bounds,
              "confidence outside [0, 1]": (F.col("conf_min") >= 0) & (F.col("conf_max") <= 1),
              "confidence mean off target": F.abs(F.col("conf_mean") - target) <= 0.05, "all-zero frames": F.col("_zero") == 0}
-    return stats.withColumn("flags", named_failures(rules)).drop("_bad", "_max", "_zero")
+    return stats.withColumn("flags", named_failures(rules)).drop("_bad", "_max", "_zero", "_x", "_y", "_width", "_height")
 
 
 def plausibility(df: DataFrame, keys: list[str], bands: dict[str, tuple[float, float]], left: str, right: str,

@@ -420,6 +420,13 @@ def normalise_scale(df: DataFrame, keys: list[str], joints: list[str]) -> DataFr
     return out.withColumns({j: F.struct(*[ratio(F.col(j)[a], F.col("scale")).alias(a) for a in "xy"]) for j in joints})
 
 
+def normalise_image(df: DataFrame, joints: list[str], width: Column, height: Column) -> DataFrame:
+    """x and y by the image's width: x from -1 to 1, y from -height/width to height/width; NULL without a size."""
+    wide = F.nullif(width.cast("double"), F.lit(0.0))
+    return df.withColumns({j: F.struct((F.col(j)["x"] / wide * 2 - 1).alias("x"), (F.col(j)["y"] / wide * 2 - height / wide).alias("y"))
+                           for j in joints})
+
+
 def nearest_slots(df: DataFrame, targets: list[str], slots: list[str], slot_prefix: str) -> DataFrame:
     """For each target point, the slot with the smallest median image distance.
 

@@ -74,6 +74,20 @@ def _(t):
     return out.select("clip", "n_frames", r6(F.col("conf_mean")).alias("conf_mean"), F.concat_ws("; ", "flags").alias("flags"))
 
 
+@query("t09_image_flags", f"""WITH {CONTRACT},
+s AS (SELECT clip, count(*) AS n_frames, count(*) FILTER (WHERE x IS NULL OR y IS NULL OR conf IS NULL) AS bad, max(abs(x)) AS mx, max(abs(y)) AS my, min(conf) AS lo, max(conf) AS hi, avg(conf) AS mean,
+  count(*) FILTER (WHERE abs(x) + abs(y) = 0) AS zero, max(CASE WHEN clip % 7 <> 0 THEN 1080 / CAST(CASE WHEN clip % 2 = 0 THEN 1920 ELSE 1100 END AS DOUBLE) END) AS aspect FROM pa GROUP BY 1)
+SELECT clip, n_frames, concat_ws('; ', CASE WHEN bad > 0 THEN 'non-finite values' END, CASE WHEN aspect IS NULL THEN 'no resolution' END, CASE WHEN aspect IS NOT NULL AND mx > 1 + 1e-3 THEN 'x outside the image' END,
+  CASE WHEN my > aspect + 1e-3 THEN 'y outside the image' END, CASE WHEN lo < 0 OR hi > 1 THEN 'confidence outside [0, 1]' END,
+  CASE WHEN abs(mean - 0.84) > 0.05 THEN 'confidence mean off target' END, CASE WHEN zero > 0 THEN 'all-zero frames' END) AS flags FROM s""")
+def _(t):
+    """The image-size form, with clips of unknown size."""
+    clip = F.col("clip")
+    sized = prepared(t).withColumns({"width": F.when(clip % 7 != 0, F.when(clip % 2 == 0, 1920).otherwise(1100)), "height": F.when(clip % 7 != 0, 1080)})
+    out = ops.contract_flags(sized, ["clip"], "x", "y", "conf", 0.84, ("width", "height"))
+    return out.select("clip", "n_frames", F.concat_ws("; ", "flags").alias("flags"))
+
+
 @query("t10_plausibility", f"""WITH {CLIPS},
 d AS (SELECT user_id, value AS hip, value * 0.7 + (event_id % 40) AS knee, event_id % 9 AS score FROM clips),
 s AS (SELECT user_id, avg(CASE WHEN hip NOT BETWEEN 0 AND 150 THEN 1.0 ELSE 0 END) AS oh, avg(CASE WHEN knee NOT BETWEEN 5 AND 160 THEN 1.0 ELSE 0 END) AS ok, corr(hip, knee) AS r, avg(score) AS ms FROM d GROUP BY 1)

@@ -495,6 +495,17 @@ def _(t):
     return out.select("vec_id", r6(F.col("scale")).alias("scale"), *[r6(F.col(j)[a]).alias(f"{j}_{a}") for j in _NORMED for a in "xy"])
 
 
+IMAGE = (1.6, 0.9)
+
+
+@query("p18_image_normalise", f"WITH {SKEL} SELECT vec_id, " + ", ".join(
+    f"{r(f'{j}_x / {IMAGE[0]}::DOUBLE * 2 - 1')} AS {j}_x, {r(f'{j}_y / {IMAGE[0]}::DOUBLE * 2 - {IMAGE[1]}::DOUBLE / {IMAGE[0]}::DOUBLE')} AS {j}_y" for j in _NORMED) + " FROM skel")
+def _(t):
+    """Points by the size of their image, which keeps their place in it."""
+    out = ops.normalise_image(skeletons(t), _NORMED, *[F.lit(v) for v in IMAGE])
+    return out.select("vec_id", *[r6(F.col(j)[a]).alias(f"{j}_{a}") for j in _NORMED for a in "xy"])
+
+
 RECIPE = {"pelvis": ["l_hip", "r_hip"], "thorax": ["neck", "l_shoulder", "r_shoulder"], "head": ["head"]}
 
 
