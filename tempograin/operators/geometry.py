@@ -6,13 +6,14 @@ Intermediate vectors are staged as columns to keep the expression trees small.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tempograin.functions import geometry as g
+from tempograin.functions.alignment import rotation_and_fit
 from tempograin.functions.geometry import cross, dot, point, sub, unit, vec
 from tempograin.functions.numeric import ratio, wrap_degrees
 from tempograin.operators.ordered import block_window, join_same, quantiles, with_halo
@@ -283,47 +284,45 @@ def anterior_offset(df: DataFrame, keys: list[str], side: str) -> DataFrame:
     return join_same(df, trunk, keys).select(*keys, "frame", ((F.col(f"{side}_ankle")["x"] - F.col("pelvis")["x"]) / scale).alias("offset"))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def best_rotation(cov: pd.Series) -> pd.Series:
-    """Row-major rotation maximising the trace with each 3×3 cross-covariance.
+def align(df: DataFrame, fitted: list[str], prefix: str, target: str, scale: bool = False) -> DataFrame:
+    """Rotate, shift and, with ``scale``, resize the whole skeleton onto another, fitted on a few joints per frame.
 
-    The sign of the last axis is set so the result is never a reflection.
-    """
-    cells = [None if c is None else np.asarray(c, dtype=float) for c in cov]
-    known = [i for i, c in enumerate(cells) if c is not None and np.isfinite(c).all()]
-    out = [None] * len(cells)
-    if known:
-        u, _, vt = np.linalg.svd(np.stack([cells[i] for i in known]).reshape(-1, 3, 3))
-        u[:, :, 2] *= np.sign(np.linalg.det(u @ vt))[:, None]
-        for i, rotation in zip(known, (u @ vt).reshape(-1, 9)):
-            out[i] = rotation
-    return pd.Series(out, index=cov.index, dtype=object)
-
-
-def align(df: DataFrame, fitted: list[str], prefix: str, target: str) -> DataFrame:
-    """Rotate and shift the whole skeleton onto another, fitted on a few joints per frame.
-
-    ``prefix`` + joint are the moving points and ``target`` + joint the fixed ones. Adds
-    ``<prefix><joint>_aligned`` for every joint the frame has.
+    ``prefix`` + joint are the moving points and ``target`` + joint the fixed ones. A fitted
+    joint with an undefined coordinate on either side is skipped; with fewer than three left
+    the frame stays as it is. Adds ``<prefix><joint>_aligned`` for every joint the frame has;
+    it is NULL where the joint is, and in all joints where the size of moving points that
+    coincide would have to be changed.
     """
-    n = float(len(fitted))
-
-    def centre(p: str) -> g.Vec:
-        return g.middle(*[f"{p}{j}" for j in fitted])
-    df = stage(df, _cs=centre(prefix), _cd=centre(target))
-    cells = []
-    for i in range(3):
-        for k in range(3):
-            terms = [(vec(f"{target}{j}")[i] - vec("_cd")[i]) * (vec(f"{prefix}{j}")[k] - vec("_cs")[k]) for j in fitted]
-            cells.append(sum(terms[1:], terms[0]) / n)
-    df = df.withColumn("_rot", best_rotation(F.array(*cells)))
-    rows = [tuple(F.col("_rot")[3 * i + k] for k in range(3)) for i in range(3)]
+    axes = [f"{side}{a}" for side in "sd" for a in "xyz"]
+    seen = F.array(*[F.struct(*[F.nanvl(c.cast("double"), F.lit(None)).alias(n) for n, c in zip(
+        axes, [*vec(f"{prefix}{j}"), *vec(f"{target}{j}")])]) for j in fitted])
+    df = df.withColumn("_pairs", F.filter(seen, lambda p: reduce(and_, [p[a].isNotNull() for a in axes])))
+
+    def added(total: Column, more: Column) -> Column:
+        return F.zip_with(total, more, lambda x, y: x + y)
+
+    def zeros(n: int) -> Column:
+        return F.array(*[F.lit(0.0)] * n)
+    sums = F.aggregate("_pairs", zeros(6), lambda t, p: added(t, F.array(*[p[a] for a in axes])))
+    df = df.withColumn("_centre", F.transform(sums, lambda v: ratio(v, F.size("_pairs"))))
+
+    def products(p: Column) -> Column:
+        s, d = ([p[axes[i + k]] - F.col("_centre")[i + k] for k in range(3)] for i in (0, 3))
+        return F.array(*[x * y for x in s for y in d], s[0] * s[0] + s[1] * s[1] + s[2] * s[2])
+    df = df.withColumn("_sums", F.aggregate("_pairs", zeros(10), lambda t, p: added(t, products(p))))
+    df = df.withColumn("_fit", rotation_and_fit(F.slice("_sums", 1, 9)))
+    size = ratio(F.col("_fit")["fit"], F.col("_sums")[9]) if scale else F.lit(1.0)
+    df = df.withColumn("_size", size)
+    rows = [tuple(F.col("_fit")["rotation"][3 * i + k] for k in range(3)) for i in range(3)]
+    middle = [tuple(F.col("_centre")[i + k] for k in range(3)) for i in (0, 3)]
+    enough = F.size("_pairs") >= 3
     joints = [c[len(prefix):] for c in df.columns if c.startswith(prefix) and c[len(prefix):] in g.JOINTS]
     moved = {}
     for j in joints:
-        rel = sub(vec(f"{prefix}{j}"), vec("_cs"))
-        moved[f"{prefix}{j}_aligned"] = point(tuple(dot(rows[i], rel) + vec("_cd")[i] for i in range(3)))
-    return df.withColumns(moved).drop("_cs", "_cd", "_rot")
+        own = vec(f"{prefix}{j}")
+        turned = [dot(row, sub(own, middle[0])) * F.col("_size") + middle[1][i] for i, row in enumerate(rows)]
+        moved[f"{prefix}{j}_aligned"] = point(tuple(F.when(enough, new).otherwise(old) for new, old in zip(turned, own)))
+    return df.withColumns(moved).drop("_pairs", "_centre", "_sums", "_fit", "_size")
 
 
 def pelvis_frame_2d(df: DataFrame) -> DataFrame:
