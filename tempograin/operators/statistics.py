@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -221,33 +223,57 @@ def quantiles_row(df: DataFrame, columns: list[str], p: float = 0.5) -> dict:
 def ridge_out_of_fold(df: DataFrame, fold: str, features: list[str], target: str, alphas: list[float]) -> DataFrame:
     """Held-out prediction of a log target by ridge, corrected by Duan's smearing factor.
 
-    Gram sums per fold come from one pass. Training sums are totals minus the fold, so
-    every fold and penalty is solved from k×k matrices; the penalty is chosen by the
-    squared error over the training side's own folds. The smearing factor (mean of
-    exp(residual)) is taken over training rows only, in a second pass.
+    Gram sums per fold come from one pass; training sums are totals minus the fold. The
+    penalty is the one with the least squared error over the training rows when each is
+    left out in turn (the smallest of equals): with the eigenvectors of the training side's
+    standardised Gram matrix a row's leverage under every penalty is a short sum, so all
+    folds and penalties take one further pass. The smearing factor (mean of exp(residual))
+    is taken over training rows only, in a last pass. Rows without a fold or with an
+    undefined value are left out of every sum; a prediction needs a fold and the features.
     """
-    per = {k[0]: v for k, v in gram(df, features, target, [fold]).items()}
+    features_ = [F.col(f).cast("double") for f in features]
+    whole = df.filter(reduce(and_, [F.nanvl(c, F.lit(None)).isNotNull() for c in [*features_, F.col(target).cast("double")]]) & F.col(fold).isNotNull())
+    per = {k[0]: v for k, v in gram(whole, features, target, [fold]).items()}
     total = sum(per.values())
-
-    def solve(full: np.ndarray, alpha: float) -> np.ndarray:
-        n, k = full[0, 0], full.shape[0] - 2
+    models = {}
+    for held in per:
+        full = total - per[held]
+        n = full[0, 0]
+        if n <= 1:
+            raise ValueError("ridge needs at least two training rows in each fold")
         mean = full[0, 1:-1] / n
         sd = np.sqrt(np.maximum(np.diag(full)[1:-1] / n - mean ** 2, 1e-18))
-        scale = np.eye(k + 1)
-        scale[1:, 1:] = np.diag(1 / sd)
-        scale[0, 1:] = -mean / sd
-        xx, xy = scale.T @ full[:-1, :-1] @ scale, scale.T @ full[:-1, -1]
-        return scale @ np.linalg.solve(xx + alpha * np.diag([0.0] + [1.0] * k), xy)
-
-    def sse(full: np.ndarray, beta: np.ndarray) -> float:
-        return float(full[-1, -1] - 2 * beta @ full[:-1, -1] + beta @ full[:-1, :-1] @ beta)
-
+        centred = (full[1:-1, 1:-1] - n * np.outer(mean, mean)) / np.outer(sd, sd)
+        values, vectors = np.linalg.eigh(centred)
+        middle = full[0, -1] / n
+        along = vectors.T @ ((full[1:-1, -1] - n * mean * middle) / sd)
+        models[held] = (n, mean, vectors / sd[:, None], np.maximum(values, 0.0), along, middle)
+
+    def summed(terms: list[Column]) -> Column:
+        return sum(terms[1:], terms[0])
+
+    def left_out_errors(held) -> Column:
+        """The squared errors of a row under each penalty, when it is left out."""
+        n, mean, turn, values, along, middle = models[held]
+
+        def errors(u: Column) -> Column:
+            def one(alpha: float) -> Column:
+                fit = summed([float(c / (v + alpha)) * u[j] for j, (c, v) in enumerate(zip(along, values))])
+                leverage = summed([float(1 / (v + alpha)) * u[j] * u[j] for j, v in enumerate(values)])
+                gap = ratio(F.col(target) - float(middle) - fit, 1.0 - float(1 / n) - leverage)
+                return gap * gap
+            return F.array(*[one(a) for a in alphas])
+        turned = F.array(*[summed([float(w) * (c - float(m)) for w, c, m in zip(column, features_, mean)]) for column in turn.T])
+        return F.transform(F.array(turned), errors)[0]
+
+    scored = whole.select(fold, *[F.when(~F.col(fold).eqNullSafe(F.lit(h)), left_out_errors(h)).alias(f"_e{i}") for i, h in enumerate(per)])
+    costs = scored.agg(*[F.avg(F.col(f"_e{i}")[k]).alias(f"_{i}_{k}") for i in range(len(per)) for k in range(len(alphas))]).first()
     betas = {}
-    for held in per:
-        train = total - per[held]
-        inner = [g for g in per if g != held]
-        costs = [(sum(sse(per[g], solve(train - per[g], a)) for g in inner), a) for a in alphas]
-        betas[held] = solve(train, min(costs)[1])
+    for i, held in enumerate(per):
+        n, mean, turn, values, along, middle = models[held]
+        alpha = min((costs[f"_{i}_{k}"], a) for k, a in enumerate(alphas))[1]
+        slopes = turn @ (along / (values + alpha))
+        betas[held] = np.concatenate([[middle - slopes @ mean], slopes])
     held_out = sorted(per)
 
     def fit(beta: np.ndarray) -> Column:
@@ -255,7 +281,7 @@ def ridge_out_of_fold(df: DataFrame, fold: str, features: list[str], target: str
         for f, b in zip(features, beta[1:]):
             total_ = total_ + float(b) * F.col(f)
         return total_
-    smear = df.agg(*[F.avg(F.when(F.col(fold) != h, F.exp(F.col(target) - fit(betas[h])))).alias(f"_{i}")
+    smear = whole.agg(*[F.avg(F.when(F.col(fold) != h, F.exp(F.col(target) - fit(betas[h])))).alias(f"_{i}")
                      for i, h in enumerate(held_out)]).first()
     pred = F.lit(None).cast("double")
     for i, h in enumerate(held_out):

@@ -474,17 +474,18 @@ def _ridge_fit(source: str, out: str, keys: str) -> str:
 
 
 _SUMS = ", ".join(f"sum({e}) AS {n}" for n, e in _GRAM.items())
-_REST = ", ".join(f"t.{n} - h.{n} - g.{n} AS {n}" for n in _GRAM)
 _TRAIN = ", ".join(f"t.{n} - h.{n} AS {n}" for n in _GRAM)
 
 
 @query("e30_ridge_smearing", f"""WITH rw AS (SELECT l_orderkey, l_linenumber, l_suppkey % 5 AS fold, l_quantity AS f1, l_discount * 10 AS f2, ln(l_extendedprice / 1000 + 0.05::DOUBLE) AS le FROM lineitem),
 gr AS (SELECT fold, {_SUMS} FROM rw GROUP BY 1), tt AS (SELECT {_SUMS} FROM rw),
 al AS (SELECT power(10.0::DOUBLE, e / 2.0) AS alpha FROM (SELECT unnest(generate_series(-6, 6)) AS e)),
-inn AS (SELECT h.fold AS held, g.fold AS val, alpha, {_REST} FROM tt t, gr h, gr g, al WHERE h.fold <> g.fold), {_ridge_fit('inn', 'ib', 'held, val, alpha')},
-cost AS (SELECT held, alpha, sum(g.yy - 2 * (b0 * g.y + ba * g.fy + bb1 * g.gy) + b0 * b0 * g.n + ba * ba * g.aa + bb1 * bb1 * g.bb + 2 * (b0 * ba * g.a + b0 * bb1 * g.b + ba * bb1 * g.ab)) AS c FROM ib JOIN gr g ON g.fold = ib.val GROUP BY 1, 2),
+tr AS (SELECT h.fold AS held, alpha, {_TRAIN} FROM tt t, gr h, al), {_ridge_fit('tr', 'fit', 'held, alpha, n, ma, mb, sa, sb, r')},
+loo AS (SELECT held, alpha, le - (b0 + ba * f1 + bb1 * f2) AS e, 1 - 1.0 / n - ((n + alpha) * (za * za + zb * zb) - 2 * r * za * zb) / ((n + alpha) * (n + alpha) - r * r) AS rest
+  FROM (SELECT *, (f1 - ma) / sa AS za, (f2 - mb) / sb AS zb FROM rw JOIN fit ON rw.fold <> fit.held)),
+cost AS (SELECT held, alpha, avg((e / rest) * (e / rest)) AS c FROM loo GROUP BY 1, 2),
 pick AS (SELECT held, arg_min(alpha, struct_pack(c := c, a := alpha)) AS alpha FROM cost GROUP BY 1),
-tr AS (SELECT held, alpha, {_TRAIN} FROM pick JOIN gr h ON h.fold = pick.held, tt t), {_ridge_fit('tr', 'ob', 'held')},
+ob AS (SELECT fit.* FROM fit JOIN pick USING (held, alpha)),
 sm AS (SELECT held, avg(exp(le - (b0 + ba * f1 + bb1 * f2))) AS s FROM rw JOIN ob ON rw.fold <> ob.held GROUP BY 1)
 SELECT l_orderkey, l_linenumber, fold, round(exp(b0 + ba * f1 + bb1 * f2) * s, 4) + 0.0 AS stated FROM rw JOIN ob ON ob.held = rw.fold JOIN sm ON sm.held = rw.fold""")
 def _(t):

@@ -168,6 +168,41 @@ def test_multiple_ols_and_ridge(spark):
     assert np.corrcoef(out.oof, out.y)[0, 1] > 0.99
 
 
+def ridge(x, y, alpha, mean, sd):
+    z = (x - mean) / sd
+    centre, middle = z.mean(axis=0), y.mean()
+    w = np.linalg.solve((z - centre).T @ (z - centre) + alpha * np.eye(z.shape[1]), (z - centre).T @ (y - middle))
+    return lambda new: middle + ((new - mean) / sd - centre) @ w
+
+
+@pytest.mark.parametrize("noise", [0.05, 3.0, 40.0])
+def test_ridge_equals_leaving_each_row_out(spark, noise):
+    """Penalties are chosen as by fitting once without each training row."""
+    rng = np.random.default_rng(int(noise))
+    x = rng.normal(size=(40, 3)) * [1, 50, 0.01] + [3, -20, 0]
+    x[:, 2] += x[:, 0] / 200
+    y = x @ [1.0, 0.1, 20.0] / 10 + rng.normal(0, noise / 10, 40)
+    fold, alphas = np.arange(40) % 4, [10.0 ** (e / 2) for e in range(-6, 7)]
+    want, chosen = np.zeros(40), []
+    for held in range(4):
+        a, b = x[fold != held], y[fold != held]
+        mean, sd = a.mean(axis=0), a.std(axis=0)
+        costs = []
+        for alpha in alphas:
+            rest = [np.arange(len(b)) != i for i in range(len(b))]
+            costs.append(np.mean([(b[i] - ridge(a[r], b[r], alpha, mean, sd)(a[i])) ** 2 for i, r in enumerate(rest)]))
+        chosen.append(alphas[int(np.argmin(costs))])
+        fitted = ridge(a, b, chosen[-1], mean, sd)
+        want[fold == held] = fitted(x[fold == held]) + np.log(np.mean(np.exp(b - fitted(a))))
+    rows = [(i, *map(float, v), float(t), int(f)) for i, (v, t, f) in enumerate(zip(x, y, fold))]
+    rows += [(40, None, 1.0, 1.0, 1.0, 0), (41, 1.0, float("nan"), 1.0, 1.0, 1), (42, 1.0, 1.0, 1.0, 1.0, None), (43, 1.0, 1.0, 1.0, None, 2)]
+    df = spark.createDataFrame(rows, "i int, a double, b double, c double, y double, fold int")
+    got = [r.oof for r in st.ridge_out_of_fold(df, "fold", ["a", "b", "c"], "y", alphas).orderBy("i").collect()]
+    np.testing.assert_allclose(got[:40], want, rtol=1e-9)
+    assert got[40] is None and np.isnan(got[41]) and got[42] is None and got[43] is not None
+    assert noise < 1 or max(chosen) > 1e-3
+
+
 def test_selective_curve_keeps_half_even_counts(spark):
     df = spark.createDataFrame([(0, i, i % 2, (i + 0.5) / 25) for i in range(25)], "fold int, row int, y int, p double")
     kept = ev.most_confident(df, ["fold"], "p", "row", [0.1, 0.5, 0.01]).groupBy("coverage").count().collect()
