@@ -227,7 +227,7 @@ def ridge_out_of_fold(df: DataFrame, fold: str, features: list[str], target: str
     penalty is the one with the least squared error over the training rows when each is
     left out in turn (the smallest of equals): with the eigenvectors of the training side's
     standardised Gram matrix a row's leverage under every penalty is a short sum, so all
-    folds and penalties take one further pass. The smearing factor (mean of exp(residual))
+    penalties of a fold take one further pass. The smearing factor (mean of exp(residual))
     is taken over training rows only, in a last pass. Rows without a fold or with an
     undefined value are left out of every sum; a prediction needs a fold and the features.
     """
@@ -252,26 +252,27 @@ def ridge_out_of_fold(df: DataFrame, fold: str, features: list[str], target: str
     def summed(terms: list[Column]) -> Column:
         return sum(terms[1:], terms[0])
 
-    def left_out_errors(held) -> Column:
-        """The squared errors of a row under each penalty, when it is left out."""
-        n, mean, turn, values, along, middle = models[held]
-
-        def errors(u: Column) -> Column:
-            def one(alpha: float) -> Column:
-                fit = summed([float(c / (v + alpha)) * u[j] for j, (c, v) in enumerate(zip(along, values))])
-                leverage = summed([float(1 / (v + alpha)) * u[j] * u[j] for j, v in enumerate(values)])
-                gap = ratio(F.col(target) - float(middle) - fit, 1.0 - float(1 / n) - leverage)
-                return gap * gap
-            return F.array(*[one(a) for a in alphas])
-        turned = F.array(*[summed([float(w) * (c - float(m)) for w, c, m in zip(column, features_, mean)]) for column in turn.T])
-        return F.transform(F.array(turned), errors)[0]
-
-    scored = whole.select(fold, *[F.when(~F.col(fold).eqNullSafe(F.lit(h)), left_out_errors(h)).alias(f"_e{i}") for i, h in enumerate(per)])
-    costs = scored.agg(*[F.avg(F.col(f"_e{i}")[k]).alias(f"_{i}_{k}") for i in range(len(per)) for k in range(len(alphas))]).first()
+    # Plain columns, no arrays: the sums over all folds and penalties stay in generated code.
+    turned = {f"_u{i}_{j}": summed([float(w) * (c - float(m)) for w, c, m in zip(column, features_, models[h][1])])
+              for i, h in enumerate(per) for j, column in enumerate(models[h][2].T)}
+    training = whole.select(fold, F.col(target).cast("double").alias("_y"), *[c.alias(n) for n, c in turned.items()])
+
+    def left_out_error(i: int, held, alpha: float) -> Column:
+        """The mean squared error of the fold's training rows, each left out once."""
+        n, _, _, values, along, middle = models[held]
+        u = [F.col(f"_u{i}_{j}") for j in range(len(values))]
+        fit = summed([float(c / (v + alpha)) * u[j] for j, (c, v) in enumerate(zip(along, values))])
+        leverage = summed([float(1 / (v + alpha)) * u[j] * u[j] for j, v in enumerate(values)])
+        gap = ratio(F.col("_y") - float(middle) - fit, 1.0 - float(1 / n) - leverage)
+        return F.avg(gap * gap)
+    # A scan a fold: the sums of all folds in one would be code too long to be compiled to machine code.
+    each = [training.filter(F.col(fold) != F.lit(h)).agg(F.array(*[left_out_error(i, h, a) for a in alphas]).alias("c"))
+            .select(F.lit(i).alias("i"), "c") for i, h in enumerate(per)]
+    costs = {r["i"]: r["c"] for r in reduce(DataFrame.unionByName, each).collect()} if each else {}
     betas = {}
     for i, held in enumerate(per):
         n, mean, turn, values, along, middle = models[held]
-        alpha = min((costs[f"_{i}_{k}"], a) for k, a in enumerate(alphas))[1]
+        alpha = min((c, a) for c, a in zip(costs[i], alphas) if c is not None)[1]
         slopes = turn @ (along / (values + alpha))
         betas[held] = np.concatenate([[middle - slopes @ mean], slopes])
     held_out = sorted(per)
