@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempograin.llm.common import LOWER, UPPER, let, query
@@ -27,11 +27,23 @@ IBAN_LENGTHS = {
     29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
 PRINTED = "|".join(rf"(?:{names.replace(' ', '|')})\d{{2}}(?:[ -]?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, names in IBAN_LENGTHS.items())
 
+# Country calling codes of one and two digits; all others have three.
+CALLING_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+CALLING_CODE = rf"^(?:{CALLING_CODES.replace(' ', '|')}|\d{{3}})"
+# How keys of common services begin, and the signs and lengths of what follows.
+SERVICE_KEYS = {"AKIA": "[A-Z0-9]{16}", "ASIA": "[A-Z0-9]{16}", "sk_live_": "[0-9A-Za-z]{16,}", "sk_test_": "[0-9A-Za-z]{16,}",
+                "rk_live_": "[0-9A-Za-z]{16,}", "pk_live_": "[0-9A-Za-z]{16,}", "ghp_": "[0-9A-Za-z]{36}", "gho_": "[0-9A-Za-z]{36}",
+                "ghs_": "[0-9A-Za-z]{36}", "AIza": "[0-9A-Za-z_-]{35}", "xoxb-": "[0-9A-Za-z-]{20,}", "xoxp-": "[0-9A-Za-z-]{20,}"}
+KEY_SETTING = "tempograin.pseudonymKey"
+SAMPLE_KEY = "tempograin"  # for the given synthetic tables; it is public, so it hides nothing in real ones
+
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "service_key": "(?<![0-9A-Za-z])(?:" + "|".join(a + b for a, b in SERVICE_KEYS.items()) + ")(?![0-9A-Za-z])",
     "secret": r"(?:(?<![0-9A-Za-z])|(?<=(?<![0-9A-Za-z])0[xX]))(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{24,}(?![0-9A-Za-z])",
     "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}})(?:{PRINTED}|[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}(?![A-Za-z0-9]))",
+    "national_id": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?!\d|-\d)",
     # Last, what is in pairs or other groups: nine to fifteen digits after the plus.
     "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}[.-]\d{4}(?!\d)"
              r"|\+33[ .-]?(?:\(0\)[ .-]?)?\d(?:[ .-]?\d{2}){4}(?!\d)|\+\d(?:[ .-]?\(?\d\)?){8,14}(?!\d)",
@@ -42,7 +54,7 @@ PATTERNS = {
 KINDS = list(PATTERNS)
 ANY = "|".join(PATTERNS.values())
 # A quick look: every pattern needs one of these.
-SUSPECT = r"@|\d[\d ./()-]{1,3}\d|\d[A-Fa-f]|[A-Fa-f]\d|[A-Z]\d\d"
+SUSPECT = r"@|\d[\d ./()-]{1,3}\d|\d[A-Fa-f]|[A-Fa-f]\d|[A-Z]\d\d|" + "|".join(SERVICE_KEYS)
 FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 189, 773  # 400 years are 189 * 773 days
 
 
@@ -141,11 +153,35 @@ def _card(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    code = F.regexp_extract(value, r"^\+(\d{1,3})", 1)
-    return let(F.struct(code.alias("code"), _digits(value).alias("all")), lambda s: F.when(
-        F.length(s["all"]).between(9, 15), _refill(value, F.concat(s["code"], feistel(
-            F.substr(s["all"], F.length(s["code"]) + 1, F.length(s["all"])), key,
-            F.concat(F.lit("phone"), s["code"]), (DIGITS,))))))
+    """After a plus the country's code stays; a trunk zero in parentheses belongs to the form alone."""
+    hidden = F.when(value.startswith("+"), F.replace(value, F.lit("(0)"), F.lit("()"))).otherwise(value)
+
+    def swap(form):
+        digits = _digits(form)
+        code = F.when(form.startswith("+"), F.regexp_extract(digits, CALLING_CODE, 0)).otherwise("")
+        return let(F.struct(form.alias("form"), digits.alias("all"), code.alias("code")), lambda s: F.when(
+            F.length(s["all"]).between(9, 15), _refill(s["form"], F.concat(s["code"], feistel(
+                F.substr(s["all"], F.length(s["code"]) + 1, F.length(s["all"])), key,
+                F.concat(F.lit("phone"), s["code"]), (DIGITS,))))))
+    return F.replace(let(hidden, swap), F.lit("()"), F.lit("(0)"))
+
+
+def _national_id(value: Column, key: str) -> Column:
+    """A nine-digit number of three parts that are never all zero; 666 and above 899 are not given out."""
+    area, group, serial = (F.substr(value, F.lit(at), F.lit(n)).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
+    place = F.when(area > 666, area - 2).otherwise(area - 1) * 99 + group - 1
+
+    def show(s):
+        first = F.floor(s["a"] / 99)
+        parts = [(F.when(first >= 665, first + 2).otherwise(first + 1), 3), (s["a"] % 99 + 1, 2), (s["b"] + 1, 4)]
+        return F.concat_ws("-", *[F.lpad(p.cast("string"), n, "0") for p, n in parts])
+    return let(feistel_pair(place, serial - 1, 898 * 99, 9999, key, "national_id"), show)
+
+
+def _service_key(value: Column, key: str) -> Column:
+    start = F.regexp_extract(value, "^(?:" + "|".join(SERVICE_KEYS) + ")", 0)
+    rest = F.substr(value, F.length(start) + 1, F.length(value))
+    return F.concat(start, feistel(rest, key, F.concat(F.lit("service_key"), start)))
 
 
 def _ip(value: Column, key: str) -> Column:
@@ -198,7 +234,7 @@ def _email(value: Column, key: str) -> Column:
 
 
 SWAPS: dict[str, Callable[[Column, str], Column]] = {
-    "email": _email, "secret": _secret, "iban": _iban,
+    "email": _email, "service_key": _service_key, "secret": _secret, "iban": _iban, "national_id": _national_id,
     "phone": _phone, "ip": _ip, "date": _date, "card": _card}
 
 
@@ -214,7 +250,12 @@ def _swapped(value: Column, key: str) -> Column:
     return F.coalesce(*[by_kind(k) for k in order], F.struct(F.lit(None).cast("string").alias("kind"), value.alias("value")))
 
 
-def pseudonymise(docs: DataFrame, key: str = "tempograin", text: str = "text") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key that the session's ``tempograin.pseudonymKey`` names; set it for real data."""
+    return spark.conf.get(KEY_SETTING, SAMPLE_KEY)
+
+
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with the personal data in ``text`` replaced, plus ``pii_kinds``.
 
     ``pii_kinds`` has the kind of every replaced value, in order. Card numbers must pass the
@@ -223,26 +264,31 @@ def pseudonymise(docs: DataFrame, key: str = "tempograin", text: str = "text") -
     Account numbers, cards and phone numbers may be printed in groups with single spaces or
     hyphens: accounts in any groups where the country's length is known, cards as 4-4-4-4,
     4-4-4-4-3, 4-6-5 and 4-6-4. Secrets are hex runs of 24 characters or more, in either case.
+    Phone numbers with a plus keep the country's code and are equal in all printed forms, with
+    or without a trunk zero in parentheses. National numbers are those of three, two and four
+    digits joined by hyphens; keys of common services keep their beginning.
     A null text stays null with no kinds; texts without a match are returned as they are.
-    Other columns pass through; one that is named ``pii_kinds`` is replaced.
+    Other columns pass through, whatever their names; one that is named ``pii_kinds``, in
+    upper or lower case, is replaced. Without the secret ``key`` no pseudonym can be undone.
     """
-    column = F.col(text)
+    rest = [c for c in docs.columns if c.lower() != "pii_kinds"]
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("doc"), F.col(text).cast("string").alias("text"))
+    column = F.col("text")
     matches = F.regexp_extract_all(column, F.lit(ANY), 0)
     swaps = F.transform(matches, lambda m: _swapped(m, key))
     between = F.split(column, ANY, -1)
     found = F.when(column.rlike(SUSPECT), let(swaps, lambda s: let(between, lambda b: F.struct(
         F.array_join(F.transform(b, lambda x, i: F.concat(x, F.coalesce(F.get(s, i)["value"], F.lit("")))), "").alias("text"),
         F.filter(F.transform(s, lambda x: x["kind"]), lambda k: k.isNotNull()).alias("kinds")))))
-    rest = [c for c in docs.columns if c != "pii_kinds"]
-    done = docs.withColumn("_found", found)
+    done = docs.withColumn("found", found)
     return done.select(
-        *[F.coalesce(F.col("_found.text"), column).alias(c) if c == text else F.col(c) for c in rest],
-        F.coalesce(F.col("_found.kinds"), F.array().cast("array<string>")).alias("pii_kinds"))
+        *[(F.coalesce("found.text", "text") if c.lower() == text.lower() else F.col("doc")[c]).alias(c) for c in rest],
+        F.coalesce("found.kinds", F.array().cast("array<string>")).alias("pii_kinds"))
 
 
 @query("op9_pseudonyms")
 def op9(t):
-    done = pseudonymise(t.documents.select("doc_id", "text"))
+    done = pseudonymise(t.documents.select("doc_id", "text"), session_key(t.spark))
     kinds = F.col("pii_kinds")
     return done.select(
         "doc_id", "text", F.size(kinds).cast("long").alias("n_replaced"),

@@ -38,7 +38,7 @@ def test_stages_equal_brute_force(spark):
     safe = functions[3](spark, clean, FOLDER)
     assert safe.columns == docs.columns and safe.schema == docs.schema
     masked = {r.doc_id: r for r in safe.collect()}
-    want = {r.doc_id: r.text for r in pii.pseudonymise(clean).collect()}
+    want = {r.doc_id: r.text for r in pii.pseudonymise(clean, pii.session_key(spark)).collect()}
     assert {d: r.text for d, r in masked.items()} == want and all(r.n_chars == len(r.text) for r in masked.values())
 
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL_PATH)

@@ -12,7 +12,7 @@ def luhn(s):
 
 def run(spark, texts, **how):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [(r.text, list(r.pii_kinds)) for r in pii.pseudonymise(df, **how).orderBy("doc_id").collect()]
+    return [(r.text, list(r.pii_kinds)) for r in pii.pseudonymise(df, **{"key": "k", **how}).orderBy("doc_id").collect()]
 
 
 def test_formats_are_kept_and_values_linked(spark):
@@ -60,23 +60,30 @@ def test_permutation_is_undone_and_one_to_one(spark):
 
 def test_all_dates_and_addresses_are_one_to_one(spark):
     days = spark.range(0, 146097, 13).select(F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
-    out = pii.pseudonymise(days.withColumn("doc_id", F.lit(1)))
+    out = pii.pseudonymise(days.withColumn("doc_id", F.lit(1)), "k")
     assert out.select("text").distinct().count() == days.count() and out.filter("size(pii_kinds) = 1").count() == days.count()
     ips = spark.range(3000).select(F.concat_ws(".", F.lit("10"), F.lit("0"), F.floor(F.col("id") / 250), F.col("id") % 250).alias("text"), "id")
-    assert pii.pseudonymise(ips).select("text").distinct().count() == 3000
+    assert pii.pseudonymise(ips, "k").select("text").distinct().count() == 3000
 
 
 def test_odd_empty_and_clashing(spark, odd, nothing):
-    out = pii.pseudonymise(odd.withColumn("pii_kinds", F.lit(1)).withColumn("_found", F.lit(2)).drop("_found"))
-    assert sorted([repr((r.doc_id, r.text)) for r in out.collect()]) == sorted([repr((r.doc_id, r.text)) for r in odd.collect()])
-    assert out.columns == [*odd.columns, "pii_kinds"]
-    assert pii.pseudonymise(nothing).count() == 0
+    clashing = {"PII_Kinds": F.lit(1), "_found": F.lit(2), "found": F.lit("found"), "doc": F.col("text"), "a.b": F.lit(3.5)}
+    mail = spark.createDataFrame([(100, "ask ann@example.org")], "doc_id long, text string")
+    rows = odd.unionByName(mail, allowMissingColumns=True).withColumns(clashing)
+    out = pii.pseudonymise(rows, "k")
+    assert out.columns == [*odd.columns, *[c for c in clashing if c != "PII_Kinds"], "pii_kinds"]
+    want = rows.drop("PII_Kinds", "text").withColumn("kinds", F.when(F.col("doc_id") == 100, F.lit("email")))
+    got = out.withColumn("kinds", F.get("pii_kinds", F.lit(0))).drop("pii_kinds")
+    assert sorted(map(repr, got.drop("text").collect())) == sorted(map(repr, want.collect()))
+    assert sorted(repr((r.doc_id, r.text)) for r in got.filter("kinds is null").collect()) == sorted(repr((r.doc_id, r.text)) for r in odd.collect())
+    out.write.format("noop").mode("overwrite").save()
+    assert pii.pseudonymise(nothing, "k").count() == 0
 
 
 def test_every_planted_value_goes(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     planted = re.compile(r"[a-z]+\.\d\d@mail\d\.example\.com|\+1 \(\d{3}\) 555-\d{4}|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d)|(?<!\d)\d{16}(?!\d)")
-    out = {r.doc_id: r.text for r in pii.pseudonymise(docs).collect()}
+    out = {r.doc_id: r.text for r in pii.pseudonymise(docs, "k").collect()}
     seen = 0
     for r in docs.collect():
         values = {v for v in planted.findall(r.text) if not (v.isdigit() and not luhn(v))}
