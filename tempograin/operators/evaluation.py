@@ -264,6 +264,23 @@ def _range_sums(rows: DataFrame, label: str, reps: int) -> DataFrame:
         run, "_range double, rep int, pos double, neg double, _won double")
 
 
+def in_ranges(rows: DataFrame, value: str, ranges: int) -> tuple[DataFrame, Column, list[float]]:
+    """``rows`` with ``_range``, ascending in ``value``, whether a value is a range of its own, and those that are.
+
+    Values spread over two borders or more are ranges of their own: their rows need no order.
+    """
+    borders = rows.approxQuantile(value, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
+    shared = sorted({a for a, b in zip(borders, borders[1:]) if a == b})
+    splits = [float("-inf"), *sorted(set(borders)), float("inf")]
+    if len(splits) > 2:
+        placed = Bucketizer(splits=splits, inputCol=value, outputCol="_range", handleInvalid="keep").transform(rows)
+    else:
+        placed = rows.withColumn("_range", F.lit(0.0))
+    # A shared value is its range's lower border.
+    is_shared = F.col(value).isin(shared)
+    return placed.withColumn("_range", 2 * F.col("_range") + F.when(is_shared, 0).otherwise(1)), is_shared, shared
+
+
 def bootstrap_auc(df: DataFrame, subject: str, label: str, score: str, reps: int, seed: int,
                   min_kept: int = 100) -> DataFrame:
     """Interval of the AUC over resampled subjects; single-class replicates are skipped.
@@ -278,16 +295,7 @@ def bootstrap_auc(df: DataFrame, subject: str, label: str, score: str, reps: int
                    .withColumn("_x", replicate_start([subject], seed)))
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = 4 * tasks
-    borders = rows.approxQuantile("score", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
-    shared = sorted({a for a, b in zip(borders, borders[1:]) if a == b})
-    splits = [float("-inf"), *sorted(set(borders)), float("inf")]
-    if len(splits) > 2:
-        placed = Bucketizer(splits=splits, inputCol="score", outputCol="_range", handleInvalid="keep").transform(rows)
-    else:
-        placed = rows.withColumn("_range", F.lit(0.0))
-    # A shared score is its range's lower border.
-    is_shared = F.col("score").isin(shared)
-    placed = placed.withColumn("_range", 2 * F.col("_range") + F.when(is_shared, 0).otherwise(1))
+    placed, is_shared, shared = in_ranges(rows, "score", ranges)
     pos, neg = F.col("pos"), F.col("neg")
     sums = [F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("_won").alias("_won")]
     ranged = _range_sums(placed.filter(~is_shared).repartition(tasks, "_range")

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempograin.functions.numeric import correlation, normal_tail, portable_hash, ratio, resampled
-from tempograin.operators.evaluation import spread_out
+from tempograin.functions.numeric import correlation, normal_tail, portable_hash, ratio, replicate_counts, replicate_start, resampled
+from tempograin.operators.evaluation import in_ranges, spread_out
 from tempograin.operators.ordered import (
     Index, Neighbour, RunningMax, RunningMin, RunningSum, average_ranks, cut, join_same, quantiles)
 from tempograin.session import durable
@@ -119,21 +121,178 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, min_rows: int = 0)
     return out.filter(F.col("n") >= min_rows)
 
 
+# Subjects that one block of the resampled ranks holds; a block's ranks meet in one task.
+BLOCK_ROWS = 8192
+
+
+def _in_blocks(rows: DataFrame, value: str, n: int, block: str) -> DataFrame:
+    """``rows`` with the struct ``block``: blocks ascend by ``value`` and lie in one task each.
+
+    A value that many rows share is several blocks (``part``), whose rows have one rank (``flat``).
+    """
+    parts = max(1, -(-n // BLOCK_ROWS))
+    placed, is_shared, _ = in_ranges(rows, value, parts)
+    part = F.when(is_shared, F.pmod(F.xxhash64(*rows.columns), F.lit(parts))).otherwise(F.lit(0).cast("long"))
+    return placed.withColumn(block, F.struct(F.col("_range"), part.alias("_part"), is_shared.alias("_flat"))).drop("_range")
+
+
+def _block_heads(rows: DataFrame, n: int, reps: int) -> DataFrame:
+    """A row per block: ``_head`` is, per replicate, the weight of all lower blocks, or twice the rank of a flat block's rows."""
+    parts = max(1, -(-n // BLOCK_ROWS))
+    blocks = ["_range", "_part", "_flat"]
+
+    def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, total = None, np.zeros(reps, dtype=np.int64)
+
+        def closed():
+            return pd.DataFrame({"_range": at[0], "_part": at[1], "_flat": at[2],
+                                 "rep": np.arange(1, reps + 1), "_k": total})
+        for batch in batches:
+            for block, rows_ in batch.groupby(blocks, sort=False):
+                if at is not None and block != at:
+                    yield closed()
+                    total = np.zeros(reps, dtype=np.int64)
+                at = block
+                for first in range(0, len(rows_), 512):
+                    total = total + replicate_counts(rows_["_x"].to_numpy()[first:first + 512], reps).sum(axis=0)
+        if at is not None:
+            yield closed()
+    sums = (rows.select(*blocks, "_x").repartition(parts, "_range", "_part").sortWithinPartitions(*blocks)
+            .mapInPandas(weights, "_range double, _part long, _flat boolean, rep int, _k long"))
+    per_range = durable(sums.groupBy("_range", "_flat", "rep").agg(F.sum("_k").alias("_k")))
+    lower = Window.partitionBy("rep").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("_k").over(lower), F.lit(0))
+    start = per_range.withColumn("_below", below).withColumn(
+        "_start", F.when(F.col("_flat"), 2 * F.col("_below") + F.col("_k") + 1).otherwise(F.col("_below")))
+    heads = start.groupBy("_range", "_flat").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rep", "_start"))), lambda s: s["_start"]).alias("_head"))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))
+    return heads.withColumn("_part", F.explode(F.when(F.col("_flat"), every).otherwise(F.array(F.lit(0).cast("long")))))
+
+
+def _led(rows: DataFrame, heads: DataFrame, value: str, n: int) -> DataFrame:
+    """Every block's head before its rows, which ascend by ``value``."""
+    return (rows.unionByName(heads, allowMissingColumns=True).withColumn("_row", F.col("_head").isNull())
+            .repartition(max(1, -(-n // BLOCK_ROWS)), "_range", "_part")
+            .sortWithinPartitions("_range", "_part", "_row", value))
+
+
+def _replicate_ranks(batches: Iterator[pd.DataFrame], value: str, reps: int):
+    """Of the rows of :func:`_led`: (rows, their counts, twice their average ranks), a column per replicate."""
+    held, before, flat = None, None, False
+
+    def counts_of(rows):
+        return replicate_counts(rows["_x"].to_numpy().astype(np.int64), reps)
+
+    def slices(rows):
+        return (rows.iloc[first:first + 512] for first in range(0, len(rows), 512))
+
+    def close(rows):
+        nonlocal before
+        values = rows[value].to_numpy()
+        starts = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1])
+        ends = np.append(starts[1:], len(rows))
+        i = 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + 512, "right")))
+            block = rows.iloc[starts[i]:ends[j - 1]]
+            if len(block) <= 512:
+                counts = counts_of(block)
+                sums = np.add.reduceat(counts, starts[i:j] - starts[i], axis=0)
+                upto = before + np.cumsum(sums, axis=0)
+                yield block, counts, np.repeat(2 * upto - sums + 1, ends[i:j] - starts[i:j], axis=0)
+                before = upto[-1]
+            else:
+                tied = sum(counts_of(some).sum(axis=0) for some in slices(block))
+                for some in slices(block):
+                    yield some, counts_of(some), np.broadcast_to(2 * before + tied + 1, (len(some), reps))
+                before = before + tied
+            i = j
+    for batch in batches:
+        heads = np.flatnonzero(batch["_head"].notna())
+        for i, j in zip([0, *heads], [*heads, len(batch)]):
+            rows = batch.iloc[i:j]
+            if len(rows) and rows["_head"].iloc[0] is not None:
+                if held is not None:
+                    yield from close(held)
+                held, before, flat = None, np.array(rows["_head"].iloc[0], dtype=np.int64), bool(rows["_flat"].iloc[0])
+                rows = rows.iloc[1:]
+            if not len(rows):
+                continue
+            if flat:
+                for some in slices(rows):
+                    yield some, counts_of(some), np.broadcast_to(before, (len(some), reps))
+                continue
+            # The last value may go on in the next batch.
+            rows = rows if held is None else pd.concat([held, rows])
+            values = rows[value].to_numpy()
+            last = int(np.argmax(values == values[-1]))
+            if last:
+                yield from close(rows.iloc[:last])
+            held = rows.iloc[last:]
+    if held is not None:
+        yield from close(held)
+
+
+def _packed(ranks: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Each row's middle and its differences from it, of two bytes where they fit."""
+    middle = ranks.mean(axis=1).astype(np.int64)
+    away = ranks - middle[:, None]
+    short = np.abs(away).max(axis=1) < 2 ** 15
+    return middle, [row.astype("<i2" if s else "<i4").tobytes() for row, s in zip(away, short)]
+
+
+def _unpacked(middle: np.ndarray, away: list[bytes], reps: int) -> np.ndarray:
+    return np.stack([np.frombuffer(a, dtype="<i2" if len(a) == 2 * reps else "<i4") for a in away]) + middle[:, None]
+
+
 def bootstrap_spearman(per_subject: DataFrame, subject: str, x: str, y: str, reps: int, seed: int) -> DataFrame:
-    """Interval of the rank correlation over resampled subjects."""
-    draws = resampled(spread_out(per_subject.select(subject, x, y)), [subject], reps, seed)
+    """Interval of the rank correlation over resampled subjects.
 
-    def ranks(value: str, name: str) -> DataFrame:
-        counts = draws.groupBy("rep", value).agg(F.sum("w").alias("_k"))
-        run = cut(counts, ["rep"], [value]).add(_c=RunningSum(F.col("_k"))).rows()
-        return run.select("rep", value, (F.col("_c") - (F.col("_k") - 1) / F.lit(2.0)).alias(name))
-    ranked = draws.join(ranks(x, "_rx"), ["rep", x]).join(ranks(y, "_ry"), ["rep", y])
-    w, a, b = F.col("w"), F.col("_rx"), F.col("_ry")
-    n = F.sum(w)
-    ma, mb = F.sum(w * a) / n, F.sum(w * b) / n
-    cov = F.sum(w * a * b) / n - ma * mb
-    va, vb = F.sum(w * a * a) / n - ma * ma, F.sum(w * b * b) / n - mb * mb
-    rhos = durable(ranked.groupBy("rep").agg(ratio(cov, F.sqrt(F.greatest(va * vb, F.lit(0.0)))).alias("rho")))
+    Subjects are put in blocks by ``x``, whose tasks form the ranks of a subject in all replicates;
+    these travel as one packed value to the subject's block by ``y``, whose task adds up the products.
+    No row per subject and replicate is made; a task holds a block, whatever the number of subjects.
+    """
+    values = durable(per_subject.select(F.col(x).cast("double").alias("_vx"), F.col(y).cast("double").alias("_vy"),
+                                        replicate_start([subject], seed).alias("_x")))
+    n = values.count()
+    rows = durable(_in_blocks(_in_blocks(values, "_vx", n, "_bx"), "_vy", n, "_by"))
+    with_x, with_y = (rows.filter(F.col(v).isNotNull()).select("*", f"{b}.*") for v, b in (("_vx", "_bx"), ("_vy", "_by")))
+
+    def rank_by_x(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, _, ranks in _replicate_ranks(batches, "_vx", reps):
+            middle, away = _packed(ranks)
+            yield part[["_vy", "_x", "_r", "_p", "_f"]].assign(_mid=middle, _away=away)
+
+    def sum_by_y(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((6, reps))
+        for part, counts, ranks in _replicate_ranks(batches, "_vy", reps):
+            ranked = part["_away"].notna().to_numpy()
+            if not ranked.any():
+                continue
+            # Ranks from the middle of all, so that the products stay small.
+            a = _unpacked(part["_mid"].to_numpy()[ranked].astype(np.int64), part["_away"][ranked], reps) - (n + 1.0)
+            b, w = ranks[ranked] - (n + 1.0), counts[ranked].astype(float)
+            wa, wb = w * a, w * b
+            sums += [w.sum(0), wa.sum(0), wb.sum(0), (wa * b).sum(0), (wa * a).sum(0), (wb * b).sum(0)]
+        if sums.any():
+            yield pd.DataFrame({"rep": np.arange(1, reps + 1), **dict(zip(names, sums))})
+    names = ["n", "a", "b", "ab", "aa", "bb"]
+    place = [F.col("_by")[c].alias(a) for c, a in (("_range", "_r"), ("_part", "_p"), ("_flat", "_f"))]
+    by_x = _led(with_x.select("_vx", "_vy", "_x", "_range", "_part", "_flat", *place),
+                _block_heads(with_x, n, reps), "_vx", n).mapInPandas(
+        rank_by_x, "_vy double, _x long, _r double, _p long, _f boolean, _mid long, _away binary")
+    # A subject without x has no rank in x but counts in the ranks of y.
+    ranked = by_x.unionByName(rows.filter("_vx is null").select("_vy", "_x", *place), allowMissingColumns=True)
+    ranked = ranked.filter("_vy is not null").withColumnsRenamed({"_r": "_range", "_p": "_part", "_f": "_flat"})
+    sums = _led(ranked, _block_heads(with_y, n, reps), "_vy", n).mapInPandas(
+        sum_by_y, "rep int, " + ", ".join(f"{c} double" for c in names))
+    s = {c: F.sum(c) for c in names}
+    total = F.nullif(s["n"], F.lit(0.0))
+    ma, mb = s["a"] / total, s["b"] / total
+    cov, va, vb = s["ab"] / total - ma * mb, s["aa"] / total - ma * ma, s["bb"] / total - mb * mb
+    rhos = durable(sums.groupBy("rep").agg(
+        ratio(cov, F.sqrt(F.greatest(va * vb, F.lit(0.0)))).alias("rho"), s["n"].alias("n")).filter("n > 0").drop("n"))
     q = quantiles(rhos, [], "rho", {"lo": 0.025, "hi": 0.975})
     return spearman(per_subject, [], x, y).withColumns({c: q.select(c).scalar() for c in ("lo", "hi")})
 

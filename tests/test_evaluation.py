@@ -207,3 +207,33 @@ def test_selective_curve_keeps_half_even_counts(spark):
     df = spark.createDataFrame([(0, i, i % 2, (i + 0.5) / 25) for i in range(25)], "fold int, row int, y int, p double")
     kept = ev.most_confident(df, ["fold"], "p", "row", [0.1, 0.5, 0.01]).groupBy("coverage").count().collect()
     assert {r["coverage"]: r["count"] for r in kept} == {0.1: 2, 0.5: 12, 0.01: 2}
+
+
+def mid_ranks(values, weights):
+    return np.array([weights[values < v].sum() + (weights[values == v].sum() + 1) / 2 for v in values])
+
+
+def test_bootstrap_spearman_in_blocks_equals_ranks_of_every_replicate(spark, monkeypatch):
+    # No row per subject and replicate may be made; blocks of 16 make ties cross blocks and tasks.
+    monkeypatch.setattr(st, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(st, "resampled", lambda *a: pytest.fail("a row per subject and replicate"))
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random(300) < 0.4, 7.0, rng.integers(0, 60, 300)).astype(float)
+    y = np.where(rng.random(300) < 0.3, -1.0, np.round(x / 9 + rng.normal(0, 3, 300), 1))
+    rows = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "s bigint, x double, y double")
+    got = st.bootstrap_spearman(rows, "s", "x", "y", 40, 5).first()
+    draws = {(r["rep"], r["s"]): r["w"] for r in resampled(rows.select("s"), ["s"], 40, 5).collect()}
+    rhos = []
+    for rep in range(1, 41):
+        w = np.array([draws.get((rep, s), 0) for s in range(300)])
+        a, b = mid_ranks(x, w), mid_ranks(y, w)
+        a, b = a - np.average(a, weights=w), b - np.average(b, weights=w)
+        rhos.append((w * a * b).sum() / np.sqrt((w * a * a).sum() * (w * b * b).sum()))
+    np.testing.assert_allclose([got["lo"], got["hi"]], np.quantile(rhos, [0.025, 0.975]), atol=1e-12)
+
+
+def test_packed_ranks_of_both_widths_come_back():
+    ranks = np.array([[5, 9, 3], [10, 900_000, 40], [2 ** 33, 2 ** 33 + 7, 2 ** 33 - 5]])
+    middle, away = st._packed(ranks)
+    assert [len(a) for a in away] == [6, 12, 6]
+    np.testing.assert_array_equal(st._unpacked(middle, away, 3), ranks)
