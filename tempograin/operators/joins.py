@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,30 +99,85 @@ def require_no_leak(folds: DataFrame, keys: list[str], group: str) -> DataFrame:
             F.raise_error(F.lit("a group sits in both train and test"))))
 
 
+# Vectors of one cell that a task compares at a time, and the pairs of a cell that are not worth it.
+BLOCK_ROWS = 8192
+FEW_PAIRS = 4096
+
+
+def _nearest_in_block(left: pd.DataFrame, right: pd.DataFrame, tolerance: float) -> pd.DataFrame:
+    """(k, d, other): each left vector's nearest right one and its distance, if within ``tolerance``."""
+    if left.empty or right.empty:
+        return pd.DataFrame({"k": [], "d": [], "other": []})
+    a, b = (np.stack(df["v"].to_numpy()).astype(float) for df in (left, right))
+    order = np.argsort(right["k"].to_numpy(), kind="stable")
+    b, others = b[order], right["k"].to_numpy()[order]
+    squares = (b * b).sum(axis=1)
+    kept = []
+    for first in range(0, len(a), 512):
+        part = a[first:first + 512]
+        rough = (part * part).sum(axis=1)[:, None] + squares - 2 * part @ b.T
+        # The product is off by rounding: whatever may be the nearest is measured again.
+        slack = 1e-11 * ((part * part).sum(axis=1) + squares.max())
+        limit = np.minimum(rough.min(axis=1) + slack, tolerance * tolerance * (1 + 1e-11) + slack)
+        i, j = np.nonzero(rough <= limit[:, None])
+        d = np.zeros(len(i))
+        for x, y in zip(part.T, b.T):
+            d += (x[i] - y[j]) ** 2
+        d = np.sqrt(d)
+        # By left vector, distance and id; the first of each left vector.
+        best = np.lexsort((j, d, i))
+        best = best[np.flatnonzero(np.diff(i[best], prepend=-1))]
+        best = best[d[best] <= tolerance]
+        kept.append(pd.DataFrame({"k": left["k"].to_numpy()[first + i[best]], "d": d[best], "other": others[j[best]]}))
+    return pd.concat(kept)
+
+
 def match_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vector: str,
                  tolerance: float, axes: list[list[float]]) -> DataFrame:
     """Nearest right vector for each left vector, if within ``tolerance`` (exact).
 
     The projection of two vectors on a unit axis differs by no more than their distance,
-    so candidates are looked up in neighbouring cells along each axis: an equi-join.
-    Identical vectors are matched once, through their smallest id.
+    so candidates are looked up in neighbouring cells along each axis. Vectors of a large
+    cell are compared block by block as matrix products, which never become rows.
+    Identical vectors are matched once, through their smallest id; those with unknown numbers match nothing.
     """
+    names = [f"_c{i}" for i in range(len(axes))]
+
     def projected(df: DataFrame, key: str) -> DataFrame:
-        unique = df.groupBy(vector).agg(F.min(key).alias(key))
-        dots = [F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(a)) for a in axis]),
+        unique = df.groupBy(vector).agg(F.min(key).alias("k")).withColumnRenamed(vector, "v")
+        dots = [F.aggregate(F.zip_with("v", F.array(*[F.lit(float(a)) for a in axis]),
                                        lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
                 for axis in axes]
-        return unique.select(key, vector, F.array(*[F.floor(d / tolerance) for d in dots]).alias("_cell"))
-
-    cells = projected(left, left_id)
-    for i in range(len(axes)):
-        cells = cells.withColumn(f"_c{i}", F.explode(F.sequence(F.col("_cell")[i] - 1, F.col("_cell")[i] + 1)))
-    targets = projected(right, right_id).select(
-        right_id, F.col(vector).alias("_other"), *[F.col("_cell")[i].alias(f"_c{i}") for i in range(len(axes))])
-    gaps = F.zip_with(vector, "_other", lambda x, y: (x.cast("double") - y.cast("double")))
+        known = unique.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+        return known.select("k", F.col("v").cast("array<double>").alias("v"), F.array(*[F.floor(d / tolerance) for d in dots]).alias("_cell"))
+
+    sources = durable(projected(left, left_id))
+    cells = sources
+    for i, name in enumerate(names):
+        cells = cells.withColumn(name, F.explode(F.sequence(F.col("_cell")[i] - 1, F.col("_cell")[i] + 1)))
+    cells = cells.select("k", "v", *names)
+    targets = durable(projected(right, right_id).select("k", "v", *[F.col("_cell")[i].alias(c) for i, c in enumerate(names)]))
+    counts = (F.count(F.lit(1)).alias(n) for n in ("_l", "_r"))
+    sizes = durable(cells.groupBy(*names).agg(next(counts)).join(targets.groupBy(*names).agg(next(counts)), names))
+    few = sizes.filter(F.col("_l") * F.col("_r") <= FEW_PAIRS).select(*names)
+    many = sizes.filter(F.col("_l") * F.col("_r") > FEW_PAIRS)
+
+    gaps = F.zip_with("v", "_v", lambda x, y: x - y)
     distance = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, d: s + d * d))
-    near = (cells.join(targets, [f"_c{i}" for i in range(len(axes))])
-            .withColumn("_d", distance).filter(F.col("_d") <= tolerance))
-    best = near.groupBy(vector).agg(F.min(F.struct(F.col("_d").alias("d"), F.col(right_id).alias("k"))).alias("_b"))
-    return (left.select(left_id, vector).join(best, vector)
-            .select(left_id, F.col("_b")["k"].alias(right_id), F.col("_b")["d"].alias("distance")))
+    paired = (cells.join(few, names).join(targets.select(F.col("k").alias("other"), F.col("v").alias("_v"), *names), names)
+              .select("k", distance.alias("d"), "other").filter(F.col("d") <= tolerance))
+
+    # Every block of a cell's left vectors meets every block of its right ones.
+    blocks = [F.ceil(F.col(c) / F.lit(BLOCK_ROWS)) for c in ("_l", "_r")]
+    mine = [F.pmod(F.xxhash64("k"), n) for n in blocks]
+    every = [F.explode(F.sequence(F.lit(0).cast("long"), n - 1)) for n in blocks]
+    place = [*names, "_i", "_j"]
+    lefts = cells.join(many, names).withColumn("_i", mine[0]).withColumn("_j", every[1]).select("k", "v", *place)
+    rights = targets.join(many, names).withColumn("_j", mine[1]).withColumn("_i", every[0]).select("k", "v", *place)
+    kinds = [sources.schema["k"].dataType.simpleString(), targets.schema["k"].dataType.simpleString()]
+    compared = lefts.groupBy(*place).cogroup(rights.groupBy(*place)).applyInPandas(
+        lambda a, b: _nearest_in_block(a, b, tolerance), f"k {kinds[0]}, d double, other {kinds[1]}")
+    best = paired.unionByName(compared).groupBy("k").agg(F.min(F.struct("d", "other")).alias("_b"))
+    found = sources.join(best, "k").select(F.col("v").alias("_v"), "_b")
+    return (left.join(found, F.col(vector).cast("array<double>") == F.col("_v"))
+            .select(left_id, F.col("_b")["other"].alias(right_id), F.col("_b")["d"].alias("distance")))

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from tempograin.operators import joins
 
 
@@ -28,3 +31,23 @@ def test_very_long_names(spark):
     right = spark.createDataFrame([(long[500:90_000],), (long[70_000:70_040],), ("zzz",), ("x" + long + "y",)], "r string")
     rows = joins.contained_name(left, right, "l", "r").collect()
     assert [(len(r["l"]), r["r"]) for r in rows] == [(100_000, min(long[500:90_000], long[70_000:70_040], "x" + long + "y"))]
+
+
+@pytest.mark.parametrize("few", [0, 6, 10 ** 9])
+def test_nearest_within_in_blocks_is_the_brute_force(spark, monkeypatch, few):
+    # All vectors share a few wide cells: in blocks of 8, as rows, and both.
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(joins, "FEW_PAIRS", few)
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(-2, 3, (60, 3)) / 4.0, rng.integers(-2, 3, (50, 3)) / 4.0
+    a[7, 1] = np.nan
+    made = [spark.createDataFrame([(i + n, [float(x) for x in v]) for i, v in enumerate(vs)], f"{k} bigint, v array<double>")
+            for vs, k, n in ((a, "p", 0), (b, "q", 1000))]
+    got = {r["p"]: (r["q"], r["d"]) for r in joins.match_within(
+        *made, "p", "q", "v", 0.3, [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0]]).withColumnRenamed("distance", "d").collect()}
+    want = {}
+    for i, v in enumerate(a):
+        d, k = min((float(np.sqrt(((v - w) ** 2).sum())), j) for j, w in enumerate(b))
+        if i != 7 and d <= 0.3:
+            want[i] = (k + 1000, d)
+    assert got == want and len(want) > 20
