@@ -41,7 +41,7 @@ UNIT = float(2 ** 28)
 WIDTH = 256 * 3  # sums of a node and feature: gradient, Hessian, rows per bin
 KEEP = 5  # rounds after which the rows' scores are written again
 TASK_ROWS = 2048  # fewer rows are not worth a task
-NODE_ROWS = 16384  # rows of a node that one task may hold; above it a node is summed in passes
+NODE_ROWS = 262144  # rows of a node that one task may hold, at 8 bytes and one a feature; above it a node is summed in passes
 REDUCE_BYTES = 64 * 1024 * 1024  # sums that one task of the shuffle adds up
 
 
@@ -371,12 +371,13 @@ def _below(data: DataFrame, boost: Boost, growing: dict[tuple[int, int], tuple[T
                     place = tree.place(bins)
                     for node, request in asked.items():
                         at = place == node
-                        out.append((request, bins[at].tobytes(), g[at, k].tobytes(), h[at, k].tobytes()))
+                        # Both are whole and below 2^29.
+                        out.append((request, bins[at].tobytes(), g[at, k].astype(np.int32).tobytes(), h[at, k].astype(np.int32).tobytes()))
             request, *parts = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(request, pa.int64()), *[pa.array(v, pa.binary()) for v in parts]], names=["request", "bins", "g", "h"])
 
     def grow(table: pa.Table) -> pa.Table:
-        part = {c: np.frombuffer(b"".join(table[c].to_pylist()), np.uint8 if c == "bins" else np.float64) for c in ("bins", "g", "h")}
+        part = {c: np.frombuffer(b"".join(table[c].to_pylist()), np.uint8 if c == "bins" else np.int32) for c in ("bins", "g", "h")}
         tree = grow_here(part["bins"].reshape(-1, width), part["g"], part["h"])
         found = [(table["request"][0].as_py(), node, *(split or (0.0, 0, -1)), *tree.total[node]) for node, split in tree.split.items()]
         return pa.table([pa.array(v) for v in zip(*found)], names=["request", "node", "gain", "feature", "at", "g", "h", "n"])

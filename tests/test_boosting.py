@@ -99,3 +99,14 @@ def test_quantile_bins_and_one_class(spark, monkeypatch):
     assert ev.auc(scores, ["fold"], "y", "p").agg({"auc": "min"}).first()[0] > 0.99
     with pytest.raises(ValueError):
         boosting.score_folds(df.selectExpr("row", "subject", "1 AS label", "x"), folds, "subject", "row", ["x"], [])
+
+
+def test_nodes_that_fit_a_task_need_no_passes(spark, monkeypatch):
+    """Some 20,000 training rows grow a whole tree in one task, whatever its depth."""
+    monkeypatch.setattr(boosting, "ROUNDS", 1)
+    monkeypatch.setattr(boosting, "_sums", lambda *a: pytest.fail("a pass for each level"))
+    df = spark.range(40_000).selectExpr("id AS row", "id % 900 AS subject", "CAST(id * 7 % 11 > 4 AS int) AS label",
+                                        "CAST(id * 31 % 1009 AS double) AS a", "'p' AS k")
+    folds = ev.assign_folds(df, "subject", "label", [11], 2)
+    scores, _ = boosting.held_out_scores(df, folds, "subject", "row", ["a"], ["k"])
+    assert scores.count() == 40_000
