@@ -52,6 +52,11 @@ class Pieces:
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (NORMAL, USER_DEFINED)}
         self.scores = {p.piece: p.score for p in proto.pieces if p.type in (NORMAL, USER_DEFINED)}
         self.longest = max(map(len, self.ids))
+        # How long the pieces with the same last three characters are, longest first.
+        sizes: dict[str, set[int]] = {}
+        for piece in self.ids:
+            sizes.setdefault(piece[-3:], {1, 2}).add(len(piece))
+        self.sizes = {tail: sorted(found, reverse=True) for tail, found in sizes.items() if len(tail) == 3}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN)
         self.unknown_score = min(self.scores.values()) - UNKNOWN_PENALTY
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
@@ -101,10 +106,15 @@ class Pieces:
 
     def _last_piece(self, word: str, end: int, starts: list[int]) -> int:
         """Where the last piece of ``word[:end]`` starts, for a BPE model."""
-        for at in range(max(0, end - self.longest), end):
+        ids, stable, joint = self.ids, self.stable, self.joint
+        for size in self.sizes.get(word[max(0, end - 3):end], (2, 1)):
+            at = end - size
+            if at < 0:
+                continue
             piece = word[at:end]
-            if (piece in self.ids and self._stable(piece)) or at == end - 1:
-                if at == 0 or self._holds(word[starts[at]:at], piece):
+            if size == 1 or (piece in ids and (stable.get(piece) or self._stable(piece))):
+                before = word[starts[at]:at]
+                if at == 0 or joint.get((before, piece)) or self._holds(before, piece):
                     return at
         raise AssertionError(f"no last piece for {word[:end]!r}")
 
@@ -113,9 +123,11 @@ class Pieces:
         out: dict[str, tuple[int, ...]] = {}
         starts, best, previous = [0], [0.0], ""
         for word in sorted(words):
-            shared, most = 0, min(len(word), len(previous))
-            while shared < most and word[shared] == previous[shared]:
-                shared += 1
+            shared = len(previous)
+            if not word.startswith(previous):
+                shared, most = 0, min(len(word), len(previous))
+                while shared < most and word[shared] == previous[shared]:
+                    shared += 1
             del starts[shared + 1:], best[shared + 1:]
             for end in range(shared + 1, len(word) + 1):
                 if self.unigram:
@@ -126,9 +138,14 @@ class Pieces:
                     starts.append(self._last_piece(word, end, starts))
             ids, end = [], len(word)
             while end:
-                ids.append(word[starts[end]:end])
+                piece = word[starts[end]:end]
+                known = self.ids.get(piece)
+                if known is None:
+                    ids += reversed(self._ids(piece))
+                else:
+                    ids.append(known)
                 end = starts[end]
-            out[word] = tuple(itertools.chain.from_iterable(map(self._ids, reversed(ids))))
+            out[word] = tuple(reversed(ids))
             previous = word
         return out
 

@@ -57,3 +57,10 @@ def test_round_trip_odd_and_empty(spark, odd, nothing):
     back = sp.decode_documents(sp.encode_documents(odd)).collect()
     assert sorted([(r.doc_id, r.text) for r in back], key=repr) == sorted([(r.doc_id, r.text or "") for r in odd.collect()], key=repr)
     assert sp.encode_documents(nothing).count() == 0
+
+
+def test_every_piece_is_looked_up_by_its_last_characters():
+    pieces = sp.Pieces(sp._read(sp.MODEL_PATH))
+    for piece in pieces.ids:
+        sizes = pieces.sizes.get(piece[-3:], (2, 1))
+        assert len(piece) in sizes and list(sizes) == sorted(sizes, reverse=True) and sizes[-1] == 1
