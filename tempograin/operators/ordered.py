@@ -239,9 +239,14 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     Large inputs are counted per distinct value and the cumulative counts are searched
     for the two ranks around each quantile, so no group is ever held in one place.
     """
+    if session.surely_small(df) and not keys:
+        return df.agg(*[F.percentile(value, F.lit(p)).alias(name) for name, p in probs.items()])
     if session.surely_small(df):
-        picked = [F.percentile(value, F.lit(p)).alias(name) for name, p in probs.items()]
-        return df.groupBy(*keys).agg(*picked) if keys else df.agg(*picked)
+        found = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_sorted"))
+        pos = {name: F.lit(p) * (F.size("_sorted") - 1) for name, p in probs.items()}
+        return found.select(*keys, *[_between(
+            F.get("_sorted", F.floor(at).cast("int")), F.get("_sorted", F.ceil(at).cast("int")), at - F.floor(at)).alias(name)
+            for name, at in pos.items()])
     counts = session.durable(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
     ranked = cut(counts.filter(F.col(value).isNotNull()), keys, [value]).add(_cum=RunningSum(F.col("_n"))).rows()
     total = F.max("_cum").alias("_total")
@@ -254,14 +259,23 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
         exprs.append(F.min(F.when(F.col("_cum") > F.ceil(pos), F.col(value))).alias(f"_hi_{name}"))
         exprs.append(F.max(pos - F.floor(pos)).alias(f"_w_{name}"))
     found = placed.groupBy(*keys).agg(*exprs) if keys else placed.agg(*exprs)
-    picked = [(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}"))
-              .cast("double").alias(n) for n in probs]
+    picked = [_between(F.col(f"_lo_{n}").cast("double"), F.col(f"_hi_{n}").cast("double"), F.col(f"_w_{n}")).alias(n) for n in probs]
     result = found.select(*keys, *picked)
     if not keys:
         return result
     return join_same(counts.select(*keys).distinct(), result, keys, "left")
 
 
+def _between(lo: Column, hi: Column, share: Column) -> Column:
+    """The point ``share`` of the way from ``lo`` to ``hi``, NULL for NULLs.
+
+    ``lo * (1 - share)`` is added unrounded, as DuckDB's ``quantile_cont`` does; a value that lies
+    exactly on a border made of two quantiles is else on its other side.
+    """
+    known = [F.coalesce(c, F.lit(0.0)) for c in (lo, 1 - share, hi * share)]
+    return F.when(lo.isNotNull(), F.reflect(F.lit("java.lang.Math"), F.lit("fma"), *known).cast("double"))
+
+
 def _attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row aggregate to every row, as literals."""
     row = one_row.first()

@@ -1,5 +1,6 @@
 """The chunk-safe primitives against brute force, with one group holding most rows."""
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -189,3 +190,17 @@ def test_exact_signed_rank_p(spark):
         p = min(1.0, 2 * min(np.mean(np.array(sums) <= w), np.mean(np.array(sums) >= w)))
         assert (got[key].n, got[key].w_plus) == (n, w) and got[key].p == pytest.approx(p)
     assert got[7].n == 3 and 0 < got[7].p <= 1 and (got[8].n, got[8].p) == (0, 1.0)
+
+
+@pytest.mark.parametrize("rows", [None, 500])
+def test_quantiles_of_groups_equal_duckdb_to_the_last_bit(spark, chunked, rows):
+    """A band border made of two quantiles can be a value itself; one bit puts that value on the other side."""
+    if rows:
+        chunked(rows)
+    rng = np.random.default_rng(1)
+    values = [(g, float(v)) for g in range(200) for v in np.round(rng.exponential(50, 5 + g % 50), 2) * (-1) ** (g % 2)]
+    df = spark.createDataFrame([*values, (1, None), (900, None)], "g bigint, v double")
+    made = pd.DataFrame(values, columns=["g", "v"])  # noqa: F841 (DuckDB reads it by name)
+    want = {g: (a, b) for g, a, b in duckdb.sql("SELECT g, quantile_cont(v, 0.05), quantile_cont(v, 0.95) FROM made GROUP BY g").fetchall()}
+    got = {r["g"]: (r["a"], r["b"]) for r in od.quantiles(df, ["g"], "v", {"a": 0.05, "b": 0.95}).collect()}
+    assert got.pop(900) == (None, None) and got == want
