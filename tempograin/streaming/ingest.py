@@ -15,14 +15,22 @@ from tempograin.operators import audit
 from tempograin.session import scratch_path
 from tempograin.sources import documents as docs
 
+LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
 
 def run_available(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
     """Process what is there now through ``transform`` into ``out`` and return."""
     def write(batch: DataFrame, batch_id: int) -> None:
         transform(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-    query = (stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
-             .foreachBatch(write).start())
-    query.awaitTermination()
+    conf = stream.sparkSession.conf
+    before = conf.get(LISTING_TASKS)
+    conf.set(LISTING_TASKS, str(min(int(before), 32)))  # else a batch starts a task for each of its files to find it
+    try:
+        query = (stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
+                 .foreachBatch(write).start())
+        query.awaitTermination()
+    finally:
+        conf.set(LISTING_TASKS, before)
 
 
 def ingest_documents(spark: SparkSession, folder: str, out: str, checkpoint: str, per_batch: int = 1000) -> DataFrame:
