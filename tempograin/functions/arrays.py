@@ -34,17 +34,29 @@ def resample(curve: Column, n: int, fraction: float = 1.0) -> Column:
 def resample_known(points: Column, lo: Column, hi: Column, n: int) -> Column:
     """Resample (frame, value) pairs sorted by frame to ``n`` points over [lo, hi].
 
-    Gaps are bridged, the ends are held, and fewer than two points give NULL.
+    Frames and borders are whole numbers. Gaps are bridged, the ends are held, and fewer than two points give NULL.
+    Each stretch between two pairs makes its own part of the grid, so the work is grid plus pairs, not their product.
     """
-    def at(i: Column) -> Column:
-        x = lo + (hi - lo) * i / float(n - 1)
-        before = F.array_max(F.filter(points, lambda p: p["frame"] <= x))
-        after = F.array_min(F.filter(points, lambda p: p["frame"] >= x))
-        span = after["frame"] - before["frame"]
-        return (F.when(before.isNull(), after["value"]).when(after.isNull() | (span == 0), before["value"])
-                .otherwise(before["value"] + (after["value"] - before["value"]) * (x - before["frame"])
-                           / F.nullif(span.cast("double"), F.lit(0.0))))
-    return F.when(F.size(points) >= 2, F.transform(grid(n), at))
+    def first(p: Column) -> Column:
+        """The first grid point that is not before a pair."""
+        inside = F.ceil((p["frame"] - lo) * (n - 1) / F.nullif((hi - lo).cast("double"), F.lit(0.0)))
+        held = F.coalesce(inside, F.when(p["frame"] > lo, F.lit(n)).otherwise(F.lit(0)))
+        return F.least(F.greatest(held, F.lit(0)), F.lit(n)).cast("int")
+
+    def stretch(p: Column, j: Column) -> Column:
+        after = F.get(points, j + 1)
+        start, end = first(p), F.when(after.isNull(), F.lit(n)).otherwise(first(after))
+        span = (after["frame"] - p["frame"]).cast("double")
+
+        def at(i: Column) -> Column:
+            x = lo + (hi - lo) * i / float(n - 1)
+            return F.when(after.isNull(), p["value"]).otherwise(
+                p["value"] + (after["value"] - p["value"]) * (x - p["frame"]) / F.nullif(span, F.lit(0.0)))
+        none = F.array().cast("array<double>")
+        return F.when(start < end, F.transform(F.sequence(start, end - 1), at)).otherwise(none)
+    lead = F.get(points, F.lit(0))
+    return F.when(F.size(points) >= 2, F.concat(
+        F.array_repeat(lead["value"], first(lead)), F.flatten(F.transform(points, stretch))))
 
 
 def kernel(sigma: float) -> list[float]:
