@@ -232,6 +232,9 @@ def block_window(keys: list[str], index: str):
 
 
 # ------------------------------------------------------------------------- quantiles
+# Distinct values of one group that a task sorts without being cut into chunks.
+BOUNDED_GROUP = 100_000
+
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated quantiles per group, one column per probability.
@@ -248,10 +251,16 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
             F.get("_sorted", F.floor(at).cast("int")), F.get("_sorted", F.ceil(at).cast("int")), at - F.floor(at)).alias(name)
             for name, at in pos.items()])
     counts = session.durable(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
-    ranked = cut(counts.filter(F.col(value).isNotNull()), keys, [value]).add(_cum=RunningSum(F.col("_n"))).rows()
-    total = F.max("_cum").alias("_total")
-    totals = ranked.groupBy(*keys).agg(total) if keys else ranked.agg(total)
-    placed = join_same(ranked, totals, keys) if keys else _attach_row(ranked, totals)
+    bounded = bool(keys) and session.rows_per_chunk(df.sparkSession) is None and (counts.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows")).first()[0] or 0) <= BOUNDED_GROUP
+    if bounded:  # many groups, none of them large: a window a group, which keeps those without values
+        group, n = Window.partitionBy(*keys), F.when(F.col(value).isNotNull(), F.col("_n")).otherwise(0)
+        placed = counts.withColumns({"_cum": F.sum(n).over(group.orderBy(value)), "_total": F.sum(n).over(group)})
+    else:
+        ranked = cut(counts.filter(F.col(value).isNotNull()), keys, [value]).add(_cum=RunningSum(F.col("_n"))).rows()
+        total = F.max("_cum").alias("_total")
+        totals = ranked.groupBy(*keys).agg(total) if keys else ranked.agg(total)
+        placed = join_same(ranked, totals, keys) if keys else _attach_row(ranked, totals)
     exprs = []
     for name, p in probs.items():
         pos = F.lit(p) * (F.col("_total") - 1)
@@ -261,7 +270,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     found = placed.groupBy(*keys).agg(*exprs) if keys else placed.agg(*exprs)
     picked = [_between(F.col(f"_lo_{n}").cast("double"), F.col(f"_hi_{n}").cast("double"), F.col(f"_w_{n}")).alias(n) for n in probs]
     result = found.select(*keys, *picked)
-    if not keys:
+    if bounded or not keys:
         return result
     return join_same(counts.select(*keys).distinct(), result, keys, "left")
 

@@ -204,3 +204,20 @@ def test_quantiles_of_groups_equal_duckdb_to_the_last_bit(spark, chunked, rows):
     want = {g: (a, b) for g, a, b in duckdb.sql("SELECT g, quantile_cont(v, 0.05), quantile_cont(v, 0.95) FROM made GROUP BY g").fetchall()}
     got = {r["g"]: (r["a"], r["b"]) for r in od.quantiles(df, ["g"], "v", {"a": 0.05, "b": 0.95}).collect()}
     assert got.pop(900) == (None, None) and got == want
+
+
+@pytest.mark.parametrize("bound", [3, 100_000])
+def test_many_small_groups_are_not_cut(spark, monkeypatch, bound):
+    """Beyond the small inputs, groups of few values take one window; larger ones are cut as before."""
+    cuts = []
+    cut = od.cut
+    monkeypatch.setattr(od.session, "surely_small", lambda df: False)
+    monkeypatch.setattr(od, "BOUNDED_GROUP", bound)
+    monkeypatch.setattr(od, "cut", lambda *a: cuts.append(a) or cut(*a))
+    values = [(g % 7 or None, None if g % 5 == 0 else float(g % 11)) for g in range(300)] + [(900, None)]
+    df = spark.createDataFrame(values, "g bigint, v double")
+    got = {r["g"]: (r["a"], r["b"]) for r in od.quantiles(df, ["g"], "v", {"a": 0.05, "b": 0.95}).collect()}
+    for g, pair in got.items():
+        known = [v for k, v in values if k == g and v is not None]
+        assert pair == (None, None) if not known else np.allclose(pair, np.quantile(known, [0.05, 0.95]))
+    assert len(got) == 8 and len(cuts) == (bound == 3)
