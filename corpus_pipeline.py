@@ -21,7 +21,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word similarity of 0.8 or more; op10's four bits are too narrow for that."""
+    """One document of each group linked by five-word similarity of 0.8 or more, among op10's components and, as four bits are too narrow alone, bands of minima."""
     return near_copies.keep_one(docs)
 
 

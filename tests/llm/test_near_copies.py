@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -97,3 +98,46 @@ def test_band_keys_do_not_depend_on_batches():
 @pytest.mark.parametrize("text", [None, "", " \n"])
 def test_no_words_no_shingles(text):
     assert len(near_copies.shingle_set(text)) == 0
+
+
+def test_simhash_components_are_candidates(spark):
+    """Two near copies without any band in common are found through op10's components."""
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words), " ".join(words[:-2] + ["x"]), " ".join(words[::-1])]
+    sets = [near_copies.shingle_set(t) for t in texts]
+    prints = [near_copies.simhash.fingerprint(t) for t in texts]
+    assert bin(prints[0] ^ prints[1]).count("1") <= 4
+    rows = [(i, len(s), p - (p >> 63 << 64), []) for i, (s, p) in enumerate(zip(sets, prints))]
+    nodes = spark.createDataFrame(rows, "node long, n long, print long, keys array<long>")
+    kept = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    got = {r[0]: r[1] for r in near_copies.classes(nodes, lambda asked: kept.join(asked, "node")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_blocks_join_what_pairs_join(same):
+    """A block against itself or another: the components of its pairs, without a row a pair."""
+    rng = random.Random(5)
+    texts = [[f"w{i}" for i in range(60)]]
+    for _ in range(120):
+        copy = list(rng.choice(texts))
+        for at in rng.sample(range(60), rng.choice([1, 2, 4])):
+            copy[at] = f"x{rng.randrange(9)}"
+        texts.append(copy)
+    texts = [" ".join(t) for t in texts]
+    sets = [near_copies.shingle_set(t) for t in texts]
+    n = len(sets)
+    left, right = (np.arange(n), np.arange(n)) if same else (np.arange(60), np.arange(60, n))
+    both = near_copies._shared([sets[i] for i in left], [sets[i] for i in right])
+    assert all(both[x, y] == len(np.intersect1d(sets[i], sets[j])) for x, i in enumerate(left) for y, j in enumerate(right))
+    sketch = np.array([near_copies.sketch(s) for s in sets])
+    a, b = near_copies._joined(np.arange(n), sketch, sets, left, right)
+
+    def groups(pairs):
+        root = list(range(n))
+        for _ in range(n):
+            for x, y in pairs:
+                root[x] = root[y] = min(root[x], root[y])
+        return root
+    linked = [(i, j) for i in left for j in right if i != j and 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    assert groups(list(zip(a.tolist(), b.tolist()))) == groups(linked) and 1 < len(set(groups(linked))) < n and len(a) < n
