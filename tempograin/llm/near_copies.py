@@ -3,7 +3,7 @@
 Candidates share a SimHash component (:mod:`tempograin.llm.simhash`, four bits, with its grid
 join) or all minima of one of 32 bands of six hash functions. The bands are there because 64 bits
 are too coarse at 0.8, where fingerprints differ in up to 14 bits; a pair at 0.8 exactly is
-missed by them with a chance of 5 in 100,000, a closer one less often. Every link is checked exactly
+missed by bands and sketches with a chance of 8 in 100,000, a closer one less often. Every link is checked exactly
 on the shingles of the two texts.
 
 Cells are the components and the keys of the bands. Most of a large cell is joined through one
