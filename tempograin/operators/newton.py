@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tempograin import session
 from tempograin.functions.numeric import portable_hash
 from tempograin.operators import evaluation as ev
-from tempograin.operators.ordered import join_same, quantiles
+from tempograin.operators.ordered import RunningSum, cut, join_same
 
 SLICE = 8192  # rows a task works on together
 STEPS = 60
@@ -125,33 +125,34 @@ def prepare(data: DataFrame, study: Study) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _slices(batches, study):
-            out: list[tuple[int, int, float, int]] = []
-            for cell in range(n_cells):
-                trains = rows.role[:, cell] == 1
-                for column, values in ((LABEL, rows.y), *enumerate(rows.x.T)):
-                    found, counts = np.unique(values[trains], return_counts=True)
-                    out += [(cell, column, float(v), int(k)) for v, k in zip(found, counts)]
-            cell, column, value, k = (list(v) for v in zip(*out)) if out else ([], [], [], [])
+            out: list[tuple[np.ndarray, ...]] = []
+            for column, values in ((LABEL, rows.y), *enumerate(rows.x.T)):
+                found, place = np.unique(values, return_inverse=True)  # sorted once for all cells
+                for cell in range(n_cells):
+                    counts = np.bincount(place[rows.role[:, cell] == 1], minlength=len(found))
+                    seen = np.flatnonzero(counts)
+                    out.append((np.full(len(seen), cell, np.int32), np.full(len(seen), column, np.int32), found[seen], counts[seen]))
+            cell, column, value, k = (np.concatenate(v) for v in zip(*out))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell, pa.int32()), pa.array(column, pa.int32()), pa.array([None if v != v else v for v in value], pa.float64()),
-                 pa.array(k, pa.int64())], names=["cell", "column", "value", "n"])
+                [pa.array(cell), pa.array(column), pa.array(value, mask=np.isnan(value)), pa.array(k, pa.int64())],
+                names=["cell", "column", "value", "n"])
     counted = session.durable(data.mapInArrow(run, "cell int, column int, value double, n long").groupBy(
         "cell", "column", "value").agg(F.sum("n").alias("n")))
     v, k = F.col("value"), F.col("n")
     sums = counted.groupBy("cell", "column").agg(
         F.sum("n").alias("rows"), F.sum(F.when(v.isNull(), k).otherwise(0)).alias("none"), F.sum(v * k).alias("sum"),
         F.sum(v * v * k).alias("squares"), F.count_if(v.isNotNull()).alias("kinds"))
-    if session.surely_small(counted):
-        middle = counted.filter(v.isNotNull()).groupBy("cell", "column").agg(F.percentile(v, F.lit(0.5), k).alias("median"))
-    else:
-        middle = quantiles(counted.filter(v.isNotNull()).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), k))), ["cell", "column"], "value", {"median": 0.5})
+    ranked = cut(counted.filter(v.isNotNull()), ["cell", "column"], ["value"]).add(_cum=RunningSum(k)).rows()
+    at = (F.col("rows") - F.col("none") - 1) / 2
+    middle = ranked.join(sums.select("cell", "column", "rows", "none"), ["cell", "column"]).groupBy("cell", "column").agg(
+        F.min(F.when(F.col("_cum") > F.floor(at), v)).alias("lo"), F.min(F.when(F.col("_cum") > F.ceil(at), v)).alias("hi"))
     study.median, study.mean, study.scale = np.zeros((n_cells, n)), np.zeros((n_cells, n)), np.ones((n_cells, n))
     study.two_classes = np.zeros(n_cells, bool)
     for r in sums.join(middle, ["cell", "column"], "left").collect():  # one row per cell and feature
         if r["column"] == LABEL:
             study.two_classes[r["cell"]] = r["kinds"] > 1
             continue
-        at, median = (r["cell"], r["column"]), r["median"] or 0.0
+        at, median = (r["cell"], r["column"]), 0.0 if r["lo"] is None else (r["lo"] + r["hi"]) / 2
         mean = ((r["sum"] or 0.0) + r["none"] * median) / r["rows"]
         spread = ((r["squares"] or 0.0) + r["none"] * median * median) / r["rows"] - mean * mean
         study.median[at], study.mean[at] = median, mean
@@ -162,31 +163,35 @@ def _logistic(eta: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(eta, -500, 500)))
 
 
-def sums_of(data: DataFrame, study: Study, models: list[tuple[int, int, float]], beta: np.ndarray, active: list[int]) -> np.ndarray:
-    """(active model, sums): loss, gradient and upper Hessian of each, without the penalty."""
+def sums_of(data: DataFrame, study: Study, models: list[tuple[int, int, float]], beta: np.ndarray, active: list[int],
+            curved: bool = True) -> np.ndarray:
+    """(active model, sums): gradient and, if ``curved``, upper Hessian and loss of each, without the penalty."""
     k = study.width
     up, across = np.triu_indices(k)
-    size = 1 + k + len(up)
-    by_cell: dict[int, list[int]] = {}
+    size = k + len(up) + 1 if curved else k
+    by_part: dict[tuple[int, int], list[int]] = {}  # models by cell and by each inner fold they train on
     for place, m in enumerate(active):
-        by_cell.setdefault(models[m][0], []).append(place)
-    left_out = np.array([models[m][1] for m in active])
+        for j in range(study.inner):
+            if models[m][1] != j:
+                by_part.setdefault((models[m][0], j), []).append(place)
     columns = beta[active].T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(active), size))
         for rows in _slices(batches, study):
-            for cell, places in by_cell.items():
-                chosen = rows.role[:, cell] == 1
-                if not chosen.any():
+            for (cell, j), places in by_part.items():
+                chosen = np.flatnonzero((rows.role[:, cell] == 1) & (rows.inner == j))
+                if not len(chosen):
                     continue
                 z, y = study.features(cell, rows.x[chosen], rows.hot[chosen]), rows.y[chosen][:, None]
-                used = rows.inner[chosen][:, None] != left_out[places][None, :]
                 eta = z @ columns[:, places]
-                p = _logistic(eta)
-                total[places, 0] += np.where(used, np.logaddexp(0, eta) - y * eta, 0.0).sum(axis=0)
-                total[places, 1:1 + k] += ((p - y) * used).T @ z
-                total[places, 1 + k:] += (p * (1 - p) * used).T @ (z[:, up] * z[:, across])
+                e = np.exp(-np.abs(eta))
+                larger = 1.0 / (1.0 + e)
+                p = np.where(eta >= 0, larger, e * larger)
+                total[places, :k] += (p - y).T @ z
+                if curved:
+                    total[places, k:-1] += (e * larger * larger).T @ (z[:, up] * z[:, across])
+                    total[places, -1] += (np.maximum(eta, 0) - np.log(larger) - y * eta).sum(axis=0)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(np.arange(len(active)), size)), pa.array(np.tile(np.arange(size), len(active))), pa.array(total.ravel())],
             names=["model", "place", "value"])
@@ -196,21 +201,25 @@ def sums_of(data: DataFrame, study: Study, models: list[tuple[int, int, float]],
     return out
 
 
-def fit(data: DataFrame, study: Study) -> np.ndarray:
-    """The coefficients of all models: least loss + ||w||² / (2C), intercept free, by damped Newton steps."""
+def _penalty(study: Study, c: float) -> np.ndarray:
+    weight = np.full(study.width, 1.0 / c)
+    weight[0] = 0.0
+    return weight
+
+
+def _newton(data: DataFrame, study: Study, beta: np.ndarray, active: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Damped Newton steps of the ``active`` models, into ``beta``; the last point, gradient and Hessian of each, unpenalised."""
     models, k = study.models(), study.width
     up, across = np.triu_indices(k)
-    beta, step = np.zeros((len(models), k)), np.zeros((len(models), k))
-    best = np.full(len(models), np.inf)
-    active = [m for m, (cell, _, _) in enumerate(models) if study.two_classes[cell]]
+    step, best = np.zeros((len(models), k)), np.full(len(models), np.inf)
+    last = {}
     for _ in range(STEPS):
         if not active:
             break
         left = []
         for m, s in zip(active, sums_of(data, study, models, beta, active)):
-            weight = np.full(k, 1.0 / models[m][2])
-            weight[0] = 0.0
-            value = s[0] + 0.5 * (weight * beta[m] ** 2).sum()
+            weight = _penalty(study, models[m][2])
+            value = s[-1] + 0.5 * (weight * beta[m] ** 2).sum()
             if value > best[m] + 1e-9 * abs(best[m]):  # too far: half of the way back
                 step[m] /= 2
                 beta[m] -= step[m]
@@ -218,13 +227,52 @@ def fit(data: DataFrame, study: Study) -> np.ndarray:
                 continue
             best[m] = value
             hessian = np.zeros((k, k))
-            hessian[up, across] = s[1 + k:]
-            hessian = np.triu(hessian) + np.triu(hessian, 1).T + np.diag(weight + 1e-10)
-            step[m] = -np.linalg.solve(hessian, s[1:1 + k] + weight * beta[m])
+            hessian[up, across] = s[k:-1]
+            hessian = np.triu(hessian) + np.triu(hessian, 1).T
+            last[m] = beta[m].copy(), s[:k], hessian
+            step[m] = _solved(hessian, weight, s[:k], beta[m])
             beta[m] += step[m]
             if np.abs(step[m]).max() > SETTLED:
                 left.append(m)
         active = left
+    return last
+
+
+def _solved(hessian: np.ndarray, weight: np.ndarray, gradient: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return -np.linalg.solve(hessian + np.diag(weight + 1e-10), gradient + weight * at)
+
+
+def fit(data: DataFrame, study: Study) -> np.ndarray:
+    """The coefficients of all models: least loss + ||w||² / (2C), intercept free, by damped Newton steps.
+
+    Models that differ in C alone share their rows, and with many rows lie close together. The middle C goes
+    first; from its last Hessian the others take steps that need a gradient only. One whose steps do not
+    shrink fast goes on with Newton steps of its own.
+    """
+    models, n = study.models(), len(study.grid)
+    beta = np.zeros((len(models), study.width))
+    lead = {m: m - m % n + n // 2 for m, (cell, _, _) in enumerate(models) if study.two_classes[cell]}
+    last = _newton(data, study, beta, sorted(set(lead.values())))
+    active, size, alone = [], {}, []
+    for m, first in lead.items():
+        if m != first:
+            at, gradient, hessian = last[first]
+            beta[m] = at + _solved(hessian, _penalty(study, models[m][2]), gradient, at)
+            active.append(m)
+    while active:
+        left = []
+        for m, gradient in zip(active, sums_of(data, study, models, beta, active, curved=False)):
+            step = _solved(last[lead[m]][2], _penalty(study, models[m][2]), gradient, beta[m])
+            size[m], before = np.abs(step).max(), size.get(m, np.inf)
+            beta[m] += step
+            if not size[m] <= before / 4:
+                alone.append(m)
+            elif size[m] > SETTLED:
+                left.append(m)
+        active = left
+    for m in alone:
+        beta[m] = beta[lead[m]]
+    _newton(data, study, beta, alone)
     return beta
 
 

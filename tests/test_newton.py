@@ -126,3 +126,36 @@ def test_variants_equal_studies_of_their_own(frame):
         own, _ = newton.score_folds(rows, assigned, "subject", "row", ["a", "b"], [], [1.0], 3, train_share=share)
         own = {r["row"]: r["p"] for r in own.collect()}
         assert own.keys() == by[v].keys() and all(abs(own[i] - by[v][i]) < 1e-9 for i in own)
+
+
+def test_models_that_share_rows_share_passes(frame, monkeypatch):
+    """All C's of one training set cost Newton passes for one of them; the others need gradients only, on many rows one."""
+    assigned = ev.assign_folds(frame, "subject", "label", [11], 3)
+    grid = [1000.0, 2000.0, 3000.0]
+    data, study = newton.laid_out(frame, assigned, "subject", "row", ["a", "b"], ["k"], grid, 3, [newton.Variant()])
+    newton.prepare(data, study)
+    full, sums = [], newton.sums_of
+
+    def counted(data, study, models, beta, active, curved=True):
+        full.append(len(active) if curved else 0)
+        return sums(data, study, models, beta, active, curved)
+    monkeypatch.setattr(newton, "sums_of", counted)
+    beta = newton.fit(data, study)
+    assert max(full) <= len(study.models()) // len(grid)
+    each = newton.sums_of(data, study, study.models(), beta, list(range(len(beta))))[:, :study.width]
+    weight = np.array([newton._penalty(study, c) for *_, c in study.models()])
+    assert np.abs(each + weight * beta).max() < 1e-5
+
+
+def test_medians_are_taken_from_counts(frame, monkeypatch):
+    """No row is made again for a value's count, however large the counts are held to be."""
+    assigned = ev.assign_folds(frame, "subject", "label", [11], 3)
+    data, study = newton.laid_out(frame, assigned, "subject", "row", ["a", "b"], ["k"], GRID, 3, [newton.Variant()])
+    monkeypatch.setattr(newton.F, "explode", None)
+    monkeypatch.setattr(newton.session, "surely_small", lambda df: False)
+    newton.prepare(data, study)
+    fold = {r["subject"]: r["fold"] for r in assigned.collect()}
+    for i, (_, _, f) in enumerate(study.cells):
+        for j, c in enumerate(("a", "b")):
+            train = [r[c] for r in frame.collect() if r["label"] is not None and fold[r["subject"]] != f]
+            assert study.median[i, j] == np.nanmedian(np.array(train, float))
