@@ -11,11 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import PCA
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempograin import session
@@ -119,8 +122,11 @@ def laid_out(frame: DataFrame, assigned: DataFrame, group: str, row: str, numeri
     return session.durable(data), Study([(v, *c) for v in range(len(variants)) for c in cells], numeric, levels, grid, inner)
 
 
-def prepare(data: DataFrame, study: Study) -> None:
-    """Each cell's medians, means and scales over its training rows, and whether these have two classes."""
+def prepare(data: DataFrame, study: Study, low: bool = False) -> None:
+    """Each cell's medians, means and scales over its training rows, and whether these have two classes.
+
+    The median of an even number of values is the mean of the middle two, or with ``low`` the smaller one.
+    """
     n_cells, n = len(study.cells), len(study.numeric)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +158,7 @@ def prepare(data: DataFrame, study: Study) -> None:
         if r["column"] == LABEL:
             study.two_classes[r["cell"]] = r["kinds"] > 1
             continue
-        at, median = (r["cell"], r["column"]), 0.0 if r["lo"] is None else (r["lo"] + r["hi"]) / 2
+        at, median = (r["cell"], r["column"]), 0.0 if r["lo"] is None else r["lo"] if low else (r["lo"] + r["hi"]) / 2
         mean = ((r["sum"] or 0.0) + r["none"] * median) / r["rows"]
         spread = ((r["squares"] or 0.0) + r["none"] * median * median) / r["rows"] - mean * mean
         study.median[at], study.mean[at] = median, mean
@@ -349,3 +355,68 @@ def score_folds(frame: DataFrame, assigned: DataFrame, group: str, row: str, num
     """(seed, fold, row, y, p) of every held-out row, and the C chosen for each fold: one variant."""
     scores, told = score_variants(frame, assigned, group, row, numeric, categorical, grid, inner, [Variant(train_share)])
     return scores.drop("variant"), [{k: v for k, v in t.items() if k != "variant"} for t in told]
+
+
+def _axes(spark: SparkSession, covariance: np.ndarray, components: int) -> np.ndarray:
+    """MLlib's principal axes, with its signs, of a few rows that have this covariance."""
+    k = len(covariance)
+    values, vectors = np.linalg.eigh(covariance)
+    half = (vectors * np.sqrt(np.maximum(values, 0) * (2 * k - 1) / 2)).T
+    rows = spark.createDataFrame([(Vectors.dense(v),) for v in np.concatenate([half, -half])], ["x"]).coalesce(1)
+    return PCA(k=components, inputCol="x", outputCol="y").fit(rows).pc.toArray()
+
+
+def prepared_folds(frame: DataFrame, assigned: DataFrame, group: str, row: str, numeric: list[str], categorical: list[str],
+                   components: int) -> DataFrame:
+    """(seed, fold, row, features) of every held-out row as its fold's training rows prepare it, all folds in the same passes.
+
+    The features are ``components`` principal components of the imputed and scaled numbers, then for each category
+    the levels seen in training, one for any other and one that stays empty, as MLlib's stages give them.
+    """
+    data, study = laid_out(frame, assigned, group, row, numeric, categorical, [1.0], 1, [Variant()])
+    prepare(data, study, low=True)
+    n, k = len(study.cells), len(numeric)
+    size = 1 + k * k + len(study.levels)
+
+    def centred(cell: int, x: np.ndarray) -> np.ndarray:
+        return np.where(np.isnan(x), study.median[cell], x) - study.mean[cell]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, size))
+        for rows in _slices(batches, study):
+            for cell in range(n):
+                chosen = rows.role[:, cell] == 1
+                z = centred(cell, rows.x[chosen])
+                total[cell] += np.concatenate([[len(z)], (z.T @ z).ravel(), rows.hot[chosen].sum(axis=0)])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.arange(n), size)), pa.array(np.tile(np.arange(size), n)), pa.array(total.ravel())], names=["cell", "place", "value"])
+    found = data.mapInArrow(sums, "cell long, place long, value double").groupBy("cell", "place").agg(F.sum("value").alias("value")).toArrow()
+    total = np.zeros((n, size))
+    total[found["cell"].to_numpy(), found["place"].to_numpy()] = found["value"].to_numpy()
+    known = total[:, 1 + k * k:] > 0
+
+    def turn(t: np.ndarray) -> np.ndarray:
+        spread = t[1:1 + k * k].reshape(k, k) / max(t[0] - 1, 1)
+        deviation = np.sqrt(np.diag(spread))
+        inverse = np.where(deviation > 0, 1 / np.where(deviation > 0, deviation, 1), 0)
+        return inverse[:, None] * _axes(frame.sparkSession, spread * inverse * inverse[:, None], min(components, k))
+    with ThreadPool(8) as pool:
+        turns = pool.map(turn, total, chunksize=1)
+    names = np.array([c for c, _ in study.levels])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _slices(batches, study):
+            for cell in range(n):
+                at = np.flatnonzero(rows.role[:, cell] == 2)
+                parts = [centred(cell, rows.x[at]) @ turns[cell]]
+                for c in categorical:
+                    hot = rows.hot[at][:, np.flatnonzero((names == c) & known[cell])]
+                    parts += [hot, 1 - hot.sum(axis=1, keepdims=True), np.zeros((len(at), 1))]
+                made = np.concatenate(parts, axis=1)
+                features = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * made.shape[1], pa.int32()), pa.array(made.ravel()))
+                where = [pa.array(np.full(len(at), v), pa.int32()) for v in study.cells[cell][1:]]
+                yield pa.RecordBatch.from_arrays(
+                    [*where, rows.batch.column(rows.batch.schema.get_field_index("_row")).take(pa.array(at)), features],
+                    names=["seed", "fold", row, "features"])
+    kind = frame.schema[row].dataType.simpleString()
+    return data.mapInArrow(run, f"seed int, fold int, {row} {kind}, features array<double>")

@@ -6,9 +6,6 @@ grouped inner folds.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,14 +13,16 @@ from tempograin.functions.numeric import r6
 from tempograin.operators import curves
 from tempograin.operators import evaluation as ev
 from tempograin.operators import models as ops
+from tempograin.operators import newton
 from tempograin.plans import audit as audit_plans
 from tempograin.plans import sources as source_plans
 from tempograin.plans.cohort import cohort
 from tempograin.plans.curves import doubles
 from tempograin.plans.evaluation import SCORED, scored
 from tempograin.plans.registry import query
-from tempograin.session import durable, scratch_path
+from tempograin.session import scratch_path
 from tempograin.sources import documents as docs
+from tempograin.sources import sinks
 from tempograin.sources.tables import Tables
 from tempograin.streaming import ingest
 
@@ -36,41 +35,35 @@ def frame(t: Tables) -> DataFrame:
     return cohort(t).filter(F.col("label").isNotNull()).select("filename", "sub_id", "wave", "injury", "label", *NUMERIC, "years_missing", *CATEGORICAL, "level")
 
 
-def assigned(t: Tables) -> DataFrame:
-    return ev.assign_folds(frame(t), "sub_id", "label")
+def study(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The sessions, cleaned once and read back, and their folds."""
+    rows = sinks.rewritten_parquet(frame(t), "cohort")
+    return rows, ev.assign_folds(rows, "sub_id", "label")
 
 
 @query("e03_preprocessing")
 def _(t):
     """Imputed, scaled and one-hot features with three components of each outer fold, fitted on its training side."""
-    data = durable(frame(t).join(assigned(t), "sub_id"))
-
-    def one(cell):
-        seed, fold = cell
-        rows = data.filter(F.col("seed") == seed)
-        prep = ops.preprocessor(NUMERIC, CATEGORICAL, components=3).fit(rows.filter(F.col("fold") != fold))
-        return prep.transform(rows.filter(F.col("fold") == fold)).select(
-            "seed", "fold", "filename", F.transform(vector_to_array("features"), lambda v: F.round(v, 6) + 0.0).alias("features"))
-    cells = sorted((r["seed"], r["fold"]) for r in data.select("seed", "fold").distinct().collect())
-    return reduce(DataFrame.unionByName, ops.in_pool(one, cells))
+    rows = newton.prepared_folds(*study(t), "sub_id", "filename", NUMERIC, CATEGORICAL, 3)
+    return rows.withColumn("features", F.transform("features", lambda v: F.round(v, 6) + 0.0))
 
 
 @query("e04_inner_choice")
 def _(t):
     """The C that grouped inner folds choose for each outer fold."""
-    _, chosen = ops.score_folds(frame(t), assigned(t), "sub_id", "filename", NUMERIC, CATEGORICAL)
+    _, chosen = ops.score_folds(*study(t), "sub_id", "filename", NUMERIC, CATEGORICAL)
     return t.spark.createDataFrame(chosen, "seed int, fold int, c double")
 
 
 @query("e05_fold_scores")
 def _(t):
-    scores, _ = ops.score_folds(frame(t), assigned(t), "sub_id", "filename", NUMERIC, CATEGORICAL)
+    scores, _ = ops.score_folds(*study(t), "sub_id", "filename", NUMERIC, CATEGORICAL)
     return scores.withColumn("p", r6(F.col("p")))
 
 
 @query("e05_boosted_scores")
 def _(t):
-    scores, _ = ops.score_folds(frame(t), assigned(t), "sub_id", "filename", NUMERIC, CATEGORICAL, kind="boosted")
+    scores, _ = ops.score_folds(*study(t), "sub_id", "filename", NUMERIC, CATEGORICAL, kind="boosted")
     return scores.withColumn("p", r6(F.col("p")))
 
 
@@ -93,20 +86,21 @@ def _(t):
 
 @query("e19_learning_curve")
 def _(t):
-    out = ops.learning_curve(frame(t), assigned(t), "sub_id", "filename", NUMERIC, CATEGORICAL)
+    out = ops.learning_curve(*study(t), "sub_id", "filename", NUMERIC, CATEGORICAL)
     return out.withColumn("auc", r6(F.col("auc")))
 
 
 @query("e20_wave_recoverability")
 def _(t):
     """Five folds of the first seed."""
-    out = ops.wave_accuracy(frame(t), assigned(t).filter(F.col("seed") == ev.SEEDS[0]), "sub_id", "wave", [*NUMERIC, "years_missing"])
+    rows, folds = study(t)
+    out = ops.wave_accuracy(rows, folds.filter(F.col("seed") == ev.SEEDS[0]), "sub_id", "wave", [*NUMERIC, "years_missing"])
     return out.select("seed", "fold", *[r6(F.col(c)).alias(c) for c in ("accuracy", "baseline", "lift")])
 
 
 @query("e33_condition_suites")
 def _(t):
-    out = ops.condition_suites(frame(t), assigned(t), "sub_id", "filename", "injury", NUMERIC, CATEGORICAL, 35)
+    out = ops.condition_suites(*study(t), "sub_id", "filename", "injury", NUMERIC, CATEGORICAL, 35)
     return out.withColumn("auc", r6(F.col("auc")))
 
 

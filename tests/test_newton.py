@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from tempograin.operators import evaluation as ev
 from tempograin.operators import models, newton
@@ -159,3 +161,23 @@ def test_medians_are_taken_from_counts(frame, monkeypatch):
         for j, c in enumerate(("a", "b")):
             train = [r[c] for r in frame.collect() if r["label"] is not None and fold[r["subject"]] != f]
             assert study.median[i, j] == np.nanmedian(np.array(train, float))
+
+
+def test_prepared_folds_equal_mllib_fold_by_fold(frame):
+    """Imputed, scaled, turned and one-hot features of all folds against a pipeline fitted on each."""
+    assigned = ev.assign_folds(frame, "subject", "label", [11], 3)
+    known = frame.filter("label IS NOT NULL AND subject IS NOT NULL").withColumn("c", F.col("a") * 2 + F.col("b") + F.col("row") % 5)
+    data = known.join(assigned, "subject").cache()
+    got = {(r["fold"], r["row"]): r["features"] for r in newton.prepared_folds(
+        known, assigned, "subject", "row", ["a", "b", "c"], ["k"], 2).collect()}
+    assert len(got) == known.count()
+    for fold in range(3):
+        fitted = models.preprocessor(["a", "b", "c"], ["k"], components=2).fit(data.filter(F.col("fold") != fold))
+        rows = fitted.transform(data.filter(F.col("fold") == fold)).select("row", vector_to_array("features").alias("f")).collect()
+        assert rows and all(np.allclose(got[fold, r["row"]], r["f"], atol=1e-9) for r in rows)
+
+
+def test_preparing_all_folds_fits_no_pipeline(spark, monkeypatch):
+    from tempograin import plans
+    monkeypatch.setattr(models, "preprocessor", None)
+    assert plans.all_queries()["e03_preprocessing"](spark, "/root/testdata/sf0.001").count() > 0
