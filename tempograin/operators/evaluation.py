@@ -390,13 +390,29 @@ def repeat_summary(per_subject: DataFrame, df: DataFrame, subject: str) -> DataF
 
 
 def most_confident(df: DataFrame, fold: list[str], score: str, row: str, coverages: list[float]) -> DataFrame:
-    """Rows kept at each coverage: the most confident share of every fold, at least two."""
-    ranked = df.withColumn("_unsure", -F.round(F.abs(F.col(score) - 0.5), 9))
-    placed = cut(ranked, fold, ["_unsure", row]).add(_i=Index()).rows()
-    sizes = df.groupBy(*fold).agg(F.count(F.lit(1)).alias("_n"))
-    levels = join_same(placed, sizes, fold).withColumn("coverage", F.explode(F.array(*[F.lit(c) for c in coverages])))
-    keep = F.greatest(F.lit(2), F.rint(F.round(F.col("coverage") * F.col("_n"), 6)).cast("long"))
-    return levels.filter(F.col("_i") < keep).drop("_i", "_n", "_unsure")
+    """Rows kept at each coverage: the most confident share of every fold, at least two.
+
+    Counts per distinct confidence give the value at which each coverage ends; only rows with that value are ranked.
+    """
+    ranked = df.withColumn("_unsure", F.coalesce(-F.round(F.abs(F.col(score) - 0.5), 9).cast("double"), F.lit(float("-inf"))))
+    counts = durable(ranked.groupBy(*fold, "_unsure").agg(F.count(F.lit(1)).alias("_n")))
+    cum = cut(counts, fold, ["_unsure"]).add(_cum=RunningSum(F.col("_n"))).rows()
+    sizes = counts.groupBy(*fold).agg(F.sum("_n").alias("_size"))
+    each = join_same(cum, sizes, fold).withColumn("coverage", F.explode(F.array(*[F.lit(c) for c in coverages])))
+    keep = F.greatest(F.lit(2), F.rint(F.round(F.col("coverage") * F.col("_size"), 6)).cast("long"))
+    # The value with which a coverage ends (the last one where there are fewer rows), and how many rows with it are kept.
+    before = F.col("_cum") - F.col("_n")
+    ends = each.withColumn("_keep", keep).filter((before < F.col("_keep")) & (F.least("_keep", "_size") <= F.col("_cum"))).select(
+        *fold, F.struct("coverage", F.col("_unsure").alias("end"), (F.col("_keep") - before).alias("room")).alias("_end"))
+    per_fold = durable(ends.groupBy(*fold).agg(F.collect_list("_end").alias("_ends")))
+    levels = join_same(ranked, per_fold, fold)
+    above = levels.withColumn("coverage", F.explode(F.transform(
+        F.filter("_ends", lambda e: F.col("_unsure") < e["end"]), lambda e: e["coverage"])))
+    tied = levels.withColumn("_ends", F.filter("_ends", lambda e: F.col("_unsure") == e["end"])).filter(F.size("_ends") > 0)
+    placed = cut(tied, [*fold, "_unsure"], [row]).add(_i=Index()).rows()
+    last = placed.withColumn("coverage", F.explode(F.transform(
+        F.filter("_ends", lambda e: F.col("_i") < e["room"]), lambda e: e["coverage"])))
+    return above.drop("_ends", "_unsure").unionByName(last.drop("_ends", "_unsure", "_i"))
 
 
 def selective_curve(df: DataFrame, fold: list[str], label: str, score: str, row: str, coverages: list[float]) -> DataFrame:

@@ -237,3 +237,26 @@ def test_packed_ranks_of_both_widths_come_back():
     middle, away = st._packed(ranks)
     assert [len(a) for a in away] == [6, 12, 6]
     np.testing.assert_array_equal(st._unpacked(middle, away, 3), ranks)
+
+
+def test_only_rows_at_the_end_of_a_coverage_are_ranked(spark, monkeypatch):
+    """Ties at the end go by row; nulls and NaN, null folds and folds smaller than two rows keep their place."""
+    from tempograin.operators import evaluation as ev
+    rows = [(f, i, None if i % 31 == 0 else float("nan") if i % 29 == 0 else 0.5 + (i * 37 % 9 - 4) / 10) for f in (1, 2, None) for i in range(200)]
+    rows += [(3, 0, 0.5)]
+    df = spark.createDataFrame(rows, "fold int, row long, p double")
+    levels = [1.0, 0.55, 0.3, 0.004]
+    seen, cut = [], ev.cut
+
+    def counted(part, keys, order):
+        seen.append(part.count())
+        return cut(part, keys, order)
+    monkeypatch.setattr(ev, "cut", counted)
+    got = sorted((-1 if r["fold"] is None else r["fold"], r["coverage"], r["row"]) for r in ev.most_confident(df, ["fold"], "p", "row", levels).collect())
+    want = []
+    for f in (1, 2, None, 3):
+        own = [(0 if p is None else 1 if p == p else 3, -round(abs(p - 0.5), 9) if p is not None and p == p else 0, i) for g, i, p in rows if g == f]
+        own.sort()
+        want += [(-1 if f is None else f, c, i) for c in levels for _, _, i in own[:max(2, round(round(c * len(own), 6)))]]
+    assert got == sorted(want)
+    assert max(seen) < len(rows) / 2
