@@ -30,7 +30,7 @@ def key(path) -> object:
 
 @query("s01_string_csv", """SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 6 = 1 THEN 'NaN' ELSE lang END AS level, md5(replace(text, chr(13), '')) AS text_digest FROM documents""")
 def _(t):
-    level = F.when(F.col("doc_id") % 6 == 0, "").when(F.col("doc_id") % 6 == 1, "NaN").otherwise(F.col("lang"))
+    level = F.when(F.col("doc_id") % 6 == 0, F.lit(None)).when(F.col("doc_id") % 6 == 1, "NaN").otherwise(F.col("lang"))
     rows = t.documents.select(F.col("doc_id").cast("string").alias("doc_id"), level.alias("level"), F.regexp_replace("text", "\r", "").alias("text"))
     back = docs.string_csv(t.spark, docs.write_string_csv(rows, "meta"), ["doc_id", "level", "text"])
     return back.select("doc_id", "level", F.md5("text").alias("text_digest"))
