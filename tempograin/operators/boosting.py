@@ -8,6 +8,10 @@ not wait for each other: one may grow its fortieth tree while another grows its
 sibling nodes only the smaller is summed, the other is the difference to their parent. The rows of
 a node that has no more than NODE_ROWS of them meet in one task, which grows all that is below.
 
+Rows with equal bins get equal scores, so they are one kind of row, with its count per cell and class.
+Where there are no more than NODE_ROWS kinds, however many rows, a cell's kinds meet in one task, which
+grows all its trees: no passes, and the kinds' scores are joined to the rows at the end.
+
 Gradients and Hessians are whole multiples of 2^-28, so sums are exact in any order: a task that
 runs again, or another number of partitions, gives the same trees.
 """
@@ -82,7 +86,8 @@ def best_split(sums: np.ndarray) -> tuple[float, int, int] | None:
 class Growing:
     """One tree in growth. Node 1 is the root, the children of node i are 2i and 2i + 1."""
 
-    def __init__(self):
+    def __init__(self, leaves: int | None = None):
+        self.leaves = leaves or LEAVES
         self.sums: dict[int, np.ndarray] = {}
         self.split: dict[int, tuple[float, int, int] | None] = {}
         self.total: dict[int, tuple[int, int, int]] = {}  # gradient, Hessian, rows
@@ -114,10 +119,10 @@ class Growing:
             return None, [0]
         heap = [(-self.split[1][0], 1)] if self.split[1] else []
         done: list[int] = []
-        while heap and len(done) < LEAVES - 1:
+        while heap and len(done) < self.leaves - 1:
             node = heap[0][1]
             if 2 * node not in self.split:
-                return None, [n for _, n in heapq.nsmallest(LEAVES - 1 - len(done), heap) if 2 * n not in self.split]
+                return None, [n for _, n in heapq.nsmallest(self.leaves - 1 - len(done), heap) if 2 * n not in self.split]
             heapq.heappop(heap)
             done.append(node)
             for child in (2 * node, 2 * node + 1):
@@ -153,24 +158,41 @@ class Growing:
         return Tree(feature, cut, left, right, value, max(order).bit_length() - 1), at
 
 
-def grow_here(bins: np.ndarray, g: np.ndarray, h: np.ndarray) -> Growing:
-    """The tree of some rows in memory, from the same sums and in the same order as in passes."""
-    width = bins.shape[1]
-    at = np.arange(width) * 256 + bins
+def _halves(weights: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Whole numbers as (part, factor) such that any sum of a part is exact in doubles."""
+    if float(np.abs(weights).sum(dtype=np.float64)) < 2.0 ** 52:
+        return [(weights.astype(np.float64), 1)]
+    high = weights >> 26
+    return [(high.astype(np.float64), 1 << 26), ((weights - (high << 26)).astype(np.float64), 1)]
+
+
+def grow_here(columns: list[np.ndarray], g: np.ndarray, h: np.ndarray, n: np.ndarray,
+              leaves: int | None = None) -> tuple[Growing, list[int], dict[int, np.ndarray]]:
+    """The tree of some rows in memory, from the same sums and in the same order as in passes: (tree, its splits, rows of every node).
+
+    ``columns`` has the bins of each feature as whole numbers, ``g``, ``h`` and ``n`` are each row's sums.
+    """
+    parts = [_halves(w) for w in (g, h, n)]
+    size = max(int(column.max()) for column in columns) + 1  # the bins above are empty and end no left side
 
     def sums(rows: np.ndarray) -> np.ndarray:
-        places, size = at[rows].ravel(), width * 256
-        parts = [np.bincount(places, None if w is None else np.repeat(w[rows], width), size) for w in (g, h, None)]
-        return np.stack(parts, axis=1).astype(np.int64).reshape(width, 256, 3)
-    out, rows = Growing(), {1: np.arange(len(bins))}
+        own = [[(w[rows], factor) for w, factor in part] for part in parts]
+        out = np.zeros((len(columns), size, 3), np.int64)
+        for f, column in enumerate(columns):
+            bins = column[rows]
+            for i, part in enumerate(own):
+                for w, factor in part:
+                    out[f, :, i] += np.bincount(bins, w, size).astype(np.int64) * factor
+        return out
+    out, rows = Growing(leaves), {1: np.arange(len(g))}
     out.learn(1, sums(rows[1]))
     while True:
         done, needed = out.advance()
         if done is not None:
-            return out
+            return out, done, rows
         node = needed[0]
         _, feature, cut = out.split[node]
-        low = bins[rows[node], feature] <= cut
+        low = columns[feature][rows[node]] <= cut
         rows[2 * node], rows[2 * node + 1] = rows[node][low], rows[node][~low]
         child = out.asked(node)
         out.learn(child, sums(rows[child]))
@@ -223,7 +245,10 @@ class Rows:
         self.batch, self.middle = batch, middle
         self.bins = _fixed(batch, "_bins", np.uint8, boost.width)
         self.role = _fixed(batch, "_role", np.int8, cells)
-        self.raw = _fixed(batch, "_raw", np.float64, cells * boost.classes).reshape(-1, cells, boost.classes)
+        if "_raw" in batch.schema.names:
+            self.raw = _fixed(batch, "_raw", np.float64, cells * boost.classes).reshape(-1, cells, boost.classes)
+        else:
+            self.raw = np.broadcast_to(boost.base, (batch.num_rows, *boost.base.shape))
         self.y = batch.column(batch.schema.get_field_index("_y")).to_numpy().astype(np.int64)
         self.gaps = [f for f in range(middle.shape[1]) if (self.bins[:, f] == MISSING).any()]
 
@@ -258,7 +283,7 @@ def _bin_edges(data: DataFrame, numeric: list[str]) -> list[np.ndarray]:
 
 
 def _store(data: DataFrame, boost: Boost, kind: str) -> DataFrame:
-    """The rows with their bins, roles and first scores as bytes, written once."""
+    """The rows with their bins and roles as bytes, written once."""
     study, edges = boost.study, boost.edges
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,11 +292,10 @@ def _store(data: DataFrame, boost: Boost, kind: str) -> DataFrame:
             for f, edge in enumerate(edges):
                 bins[:, f] = np.where(np.isnan(rows.x[:, f]), MISSING, np.searchsorted(edge, rows.x[:, f]))
             bins[:, len(edges):] = rows.hot
-            raw = np.broadcast_to(boost.base.ravel(), (len(rows.y), boost.base.size))
             yield pa.RecordBatch.from_arrays(
-                [rows.batch.column(rows.batch.schema.get_field_index("_row")), pa.array(rows.y), _binary(bins), _binary(rows.role.astype(np.int8)), _binary(raw)],
-                names=["_row", "_y", "_bins", "_role", "_raw"])
-    return session.durable(data.mapInArrow(run, f"_row {kind}, _y double, _bins binary, _role binary, _raw binary"))
+                [rows.batch.column(rows.batch.schema.get_field_index("_row")), pa.array(rows.y), _binary(bins), _binary(rows.role.astype(np.int8))],
+                names=["_row", "_y", "_bins", "_role"])
+    return session.durable(data.mapInArrow(run, f"_row {kind}, _y double, _bins binary, _role binary"))
 
 
 def _counts(data: DataFrame, study: newton.Study, classes: int) -> np.ndarray:
@@ -377,8 +401,8 @@ def _below(data: DataFrame, boost: Boost, growing: dict[tuple[int, int], tuple[T
             yield pa.RecordBatch.from_arrays([pa.array(request, pa.int64()), *[pa.array(v, pa.binary()) for v in parts]], names=["request", "bins", "g", "h"])
 
     def grow(table: pa.Table) -> pa.Table:
-        part = {c: np.frombuffer(b"".join(table[c].to_pylist()), np.uint8 if c == "bins" else np.int32) for c in ("bins", "g", "h")}
-        tree = grow_here(part["bins"].reshape(-1, width), part["g"], part["h"])
+        part = {c: np.frombuffer(b"".join(table[c].to_pylist()), np.uint8 if c == "bins" else np.int32).astype(np.int64) for c in ("bins", "g", "h")}
+        tree, _, _ = grow_here(list(part["bins"].reshape(-1, width).T.copy()), part["g"], part["h"], np.ones(len(part["g"]), np.int64))
         found = [(table["request"][0].as_py(), node, *(split or (0.0, 0, -1)), *tree.total[node]) for node, split in tree.split.items()]
         return pa.table([pa.array(v) for v in zip(*found)], names=["request", "node", "gain", "feature", "at", "g", "h", "n"])
     sent = data.mapInArrow(send, "request long, bins binary, g binary, h binary").repartition(min(n, 2 * partitions), "request")
@@ -400,10 +424,79 @@ def _absorb(data: DataFrame, boost: Boost, kind: str) -> DataFrame:
             for cell in range(raw.shape[1]):
                 chosen = np.flatnonzero(rows.role[:, cell] > 0)
                 raw[chosen, cell] = boost.scores(cell, rows.of(cell, chosen), raw[chosen, cell])
-            yield batch.set_column(batch.schema.get_field_index("_raw"), "_raw", _binary(raw.reshape(len(raw), -1)))
+            names = ["_row", "_y", "_bins", "_role"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], _binary(raw.reshape(len(raw), -1))], names=[*names, "_raw"])
     return session.durable(data.mapInArrow(run, f"_row {kind}, _y double, _bins binary, _role binary, _raw binary"))
 
 
+def _kinds(stored: DataFrame, study: newton.Study) -> DataFrame:
+    """(bins, label, training rows in each cell): rows with equal bins and label counted together, written once."""
+    trains = [F.count_if(F.substring("_role", cell + 1, 1) == F.lit(b"\x01")).alias(f"_n{cell}") for cell in range(len(study.cells))]
+    counted = stored.groupBy("_bins", F.col("_y").cast("int").alias("_y")).agg(*trains)
+    return session.durable(counted.select("_bins", "_y", F.array(*[f"_n{cell}" for cell in range(len(study.cells))]).alias("_n")))
+
+
+def grow_all(bins: np.ndarray, n: np.ndarray, base: np.ndarray, rounds: int, leaves: int) -> np.ndarray:
+    """(kind, score) after all rounds of one cell, from the bins of each kind of row and its training rows (kind, class)."""
+    columns = list(bins.T.astype(np.int64))
+    raw = np.tile(base, (len(bins), 1))
+    every = n.sum(axis=1)
+    for _ in range(rounds):
+        g, h = np.zeros(raw.shape, np.int64), np.zeros(raw.shape, np.int64)
+        for label in np.flatnonzero(n.any(axis=0)):
+            own = gradients(raw, np.full(len(raw), label))
+            g += own[0].astype(np.int64) * n[:, label, None]
+            h += own[1].astype(np.int64) * n[:, label, None]
+        for k in range(raw.shape[1]):
+            tree, splits, rows = grow_here(columns, g[:, k], h[:, k], every, leaves)
+            flat, at = tree.tree(set(splits))
+            for node, place in at.items():
+                if flat.left[place] == place:
+                    raw[rows[node], k] += flat.value[place]
+    return raw
+
+
+def _grown(stored: DataFrame, kinds: DataFrame, boost: Boost) -> DataFrame:
+    """The rows with their final scores: the kinds of every cell meet in one task, which grows all the cell's trees."""
+    study, middle, width, base, rounds = boost.study, boost.middle(), boost.width, boost.base, ROUNDS
+    leaves = LEAVES
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = b"".join(batch.column(batch.schema.get_field_index("_bins")).to_pylist())
+            y = batch.column(batch.schema.get_field_index("_y")).to_numpy().astype(np.int32).tobytes()
+            n = batch.column(batch.schema.get_field_index("_n")).flatten().to_numpy().reshape(-1, len(study.cells))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.arange(len(study.cells), dtype=np.int32)), *[pa.array([v] * len(study.cells), pa.binary()) for v in (bins, y)],
+                pa.array([n[:, cell].tobytes() for cell in range(len(study.cells))], pa.binary())], names=["cell", "bins", "y", "n"])
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, list[list[bytes]]] = {}
+        for batch in batches:
+            for cell, *parts in zip(*[c.to_pylist() for c in batch.columns]):
+                for known, part in zip(got.setdefault(cell, [[], [], []]), parts):
+                    known.append(part)
+        for cell, (bins, y, n) in got.items():
+            # The order does not matter: sums are whole numbers.
+            kind, place = np.unique(np.frombuffer(b"".join(bins), f"V{width}"), return_inverse=True)
+            counts = np.zeros((len(kind), max(2, boost.classes)), np.int64)
+            np.add.at(counts, (place, np.frombuffer(b"".join(y), np.int32)), np.frombuffer(b"".join(n), np.int64))
+            filled = np.frombuffer(kind.tobytes(), np.uint8).reshape(len(kind), width).copy()
+            for f in range(middle.shape[1]):
+                filled[filled[:, f] == MISSING, f] = middle[cell, f]
+            raw = grow_all(filled, counts, base[cell], rounds if study.two_classes[cell] else 0, leaves)
+            for at in range(0, len(kind), newton.SLICE):
+                own = kind[at:at + newton.SLICE]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(own), cell), pa.int32()), pa.array([v.tobytes() for v in own], pa.binary()), _binary(raw[at:at + newton.SLICE])],
+                    names=["cell", "_bins", "raw"])
+    sent = kinds.mapInArrow(send, "cell int, bins binary, y binary, n binary").repartitionById(len(study.cells), "cell")
+    grown = session.durable(sent.mapInArrow(grow, "cell int, _bins binary, raw binary"))
+    each = F.array_sort(F.collect_list(F.struct("cell", "raw")))
+    raw = grown.groupBy("_bins").agg(F.aggregate(each, F.lit(b""), lambda s, v: F.concat(s, v["raw"])).alias("_raw"))
+    return stored.join(raw, "_bins")
+
+
 def held_out_scores(frame: DataFrame, assigned: DataFrame, group: str, row: str, numeric: list[str], categorical: list[str],
                     classes: int = 2) -> tuple[DataFrame, newton.Study]:
     """(cell, row, y, scores) of every held-out row: one score for two classes (the logit of 1), else one a class.
@@ -424,7 +517,15 @@ def held_out_scores(frame: DataFrame, assigned: DataFrame, group: str, row: str,
     boost = Boost(study, base.shape[1], _bin_edges(data, numeric), base)
     partitions = max(1, min(spark.sparkContext.defaultParallelism, math.ceil(data.count() / TASK_ROWS)))
     stored = _store(data.repartition(partitions), boost, kind)
+    kinds = _kinds(stored, study)
+    if kinds.select("_bins").distinct().count() <= NODE_ROWS:
+        return _told(_grown(stored, kinds, boost), boost, row, kind), study
+    return _told(_passes(stored, boost, counts, partitions, kind), boost, row, kind), study
+
 
+def _passes(stored: DataFrame, boost: Boost, counts: np.ndarray, partitions: int, kind: str) -> DataFrame:
+    """The rows with their scores, the last trees left in ``boost``: nodes are summed in passes until a task may hold their rows."""
+    study = boost.study
     models = [(int(c), k) for c in np.flatnonzero(study.two_classes) for k in range(boost.classes)]
     trees: dict[tuple[int, int], Growing] = {m: Growing() for m in models}
     rounds = {c: 0 for c, _ in models}
@@ -467,7 +568,12 @@ def held_out_scores(frame: DataFrame, assigned: DataFrame, group: str, row: str,
             for request, found in _below(stored, boost, gathered, len(gather_asked), partitions).items():
                 model, node = gather_asked[request]
                 trees[model].attach(node, found)
-    middle, cells = boost.middle(), np.flatnonzero(study.two_classes)
+    return stored
+
+
+def _told(stored: DataFrame, boost: Boost, row: str, kind: str) -> DataFrame:
+    """(cell, row, y, scores) of every held-out row."""
+    middle, cells = boost.middle(), np.flatnonzero(boost.study.two_classes)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -478,7 +584,7 @@ def held_out_scores(frame: DataFrame, assigned: DataFrame, group: str, row: str,
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(at), cell), pa.int32()), batch.column(batch.schema.get_field_index("_row")).take(pa.array(at)),
                      pa.array(rows.y[at].astype(np.int32)), pa.array(list(raw), pa.list_(pa.float64()))], names=["cell", row, "y", "scores"])
-    return stored.mapInArrow(told, f"cell int, {row} {kind}, y int, scores array<double>"), study
+    return stored.mapInArrow(told, f"cell int, {row} {kind}, y int, scores array<double>")
 
 
 def score_folds(frame: DataFrame, assigned: DataFrame, group: str, row: str, numeric: list[str], categorical: list[str]) -> tuple[DataFrame, list[dict]]:

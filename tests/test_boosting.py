@@ -110,3 +110,37 @@ def test_nodes_that_fit_a_task_need_no_passes(spark, monkeypatch):
     folds = ev.assign_folds(df, "subject", "label", [11], 2)
     scores, _ = boosting.held_out_scores(df, folds, "subject", "row", ["a"], ["k"])
     assert scores.count() == 40_000
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_rows_with_equal_bins_are_counted_and_need_no_passes(spark, monkeypatch, classes):
+    """More rows than a task may hold, but few kinds of them, with gaps: the same scores as row by row."""
+    monkeypatch.setattr(boosting, "NODE_ROWS", 200)
+    monkeypatch.setattr(boosting, "ROUNDS", ROUNDS)
+    monkeypatch.setattr(boosting, "LEAVES", 6)
+    for name in ("_sums", "_below", "_absorb"):
+        monkeypatch.setattr(boosting, name, lambda *a: pytest.fail("a pass for each round"))
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(900):
+        a, b = int(rng.integers(0, 9)), int(rng.integers(0, 5))
+        y = int(np.clip(a / 3 + b / 4 + rng.normal() - 1, 0, classes - 1))
+        rows.append((i, i % 50, y, None if i % 9 == 0 else float(a), float(b)))
+    df = spark.createDataFrame(rows, "row long, subject long, label int, a double, b double")
+    folds = ev.assign_folds(df.selectExpr("subject", "label % 2 AS label"), "subject", "label", [11], 2)
+    scores, study = boosting.held_out_scores(df, folds, "subject", "row", ["a", "b"], [], classes)
+    got = {(r["cell"], r["row"]): r["scores"] for r in scores.collect()}
+    own, y = {r["subject"]: r["fold"] for r in folds.collect()}, np.array([r[2] for r in rows])
+    assert len(got) == 900
+    for cell, (_, _, fold) in enumerate(study.cells):
+        train = np.array([own[r[1]] != fold for r in rows])
+        middle = np.median([r[3] for r, t in zip(rows, train) if t and r[3] is not None])
+        x = np.array([[middle if r[3] is None else r[3], r[4]] for r in rows], float)
+        want = alone(x, y, train, classes)
+        assert max(abs(got[cell, i][k] - want[i][k]) for i in np.flatnonzero(~train) for k in range(want.shape[1])) < 1e-6
+
+
+def test_sums_beyond_the_doubles_are_exact():
+    weights = np.array([(1 << 52) + 1, (1 << 52) + 1, -(1 << 51) - 1, 3], np.int64)
+    total = sum(int(np.bincount(np.zeros(4, np.int64), part, 1)[0]) * factor for part, factor in boosting._halves(weights))
+    assert total == sum(weights.tolist())
