@@ -14,6 +14,14 @@ def r6(value: Column) -> Column:
     return F.round(value.cast("double"), 6) + F.lit(0.0)
 
 
+def r6_scaled(value: Column) -> Column:
+    """As :func:`r6`, but what is rounded is the double of a million times the value, as in DuckDB.
+
+    Spark rounds the value's decimal digits. Where a value lies a last bit off a tie, its multiple may be the tie.
+    """
+    return F.round(value.cast("double") * 1e6, 0) / 1e6 + F.lit(0.0)
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     """Division that is NULL on a zero denominator."""
     return top / F.nullif(bottom.cast("double"), F.lit(0.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograin.functions.numeric import r6
+from tempograin.functions.numeric import r6, r6_scaled
 from tempograin.operators import audit as ops
 from tempograin.operators.cohort import unpivot
 from tempograin.operators.ordered import Ordered
@@ -59,7 +59,7 @@ CONTRACT = """pa AS (SELECT user_id AS clip, CASE WHEN event_id % 101 = 0 THEN N
 
 def prepared(t: Tables) -> DataFrame:
     e = t.events
-    return e.select(F.col("user_id").alias("clip"), F.when(F.col("event_id") % 101 != 0, F.col("value") / 490).alias("x"),
+    return e.select(F.col("user_id").alias("clip"), "event_id", F.when(F.col("event_id") % 101 != 0, F.col("value") / 490).alias("x"),
                     F.when(F.col("event_id") % 89 == 0, 0.0).otherwise(F.col("value") / 480).alias("y"),
                     F.when(F.col("event_id") % 61 == 0, -0.1).otherwise(0.7 + (F.col("event_id") % 30) / 100.0).alias("conf"))
 
@@ -70,8 +70,8 @@ s AS (SELECT clip, count(*) AS n_frames, count(*) FILTER (WHERE x IS NULL OR y I
 SELECT clip, n_frames, {sq('mean')} AS conf_mean, concat_ws('; ', CASE WHEN bad > 0 THEN 'non-finite values' END, CASE WHEN mx > 1 + 1e-6 THEN 'range exceeds 1' END,
   CASE WHEN lo < 0 OR hi > 1 THEN 'confidence outside [0, 1]' END, CASE WHEN abs(mean - 0.84) > 0.05 THEN 'confidence mean off target' END, CASE WHEN zero > 0 THEN 'all-zero frames' END) AS flags FROM s""")
 def _(t):
-    out = ops.contract_flags(prepared(t), ["clip"], "x", "y", "conf", 0.84)
-    return out.select("clip", "n_frames", r6(F.col("conf_mean")).alias("conf_mean"), F.concat_ws("; ", "flags").alias("flags"))
+    out = ops.contract_flags(prepared(t), ["clip"], "x", "y", "conf", 0.84, order=["event_id"])
+    return out.select("clip", "n_frames", r6_scaled(F.col("conf_mean")).alias("conf_mean"), F.concat_ws("; ", "flags").alias("flags"))
 
 
 @query("t09_image_flags", f"""WITH {CONTRACT},
@@ -84,7 +84,7 @@ def _(t):
     """The image-size form, with clips of unknown size."""
     clip = F.col("clip")
     sized = prepared(t).withColumns({"width": F.when(clip % 7 != 0, F.when(clip % 2 == 0, 1920).otherwise(1100)), "height": F.when(clip % 7 != 0, 1080)})
-    out = ops.contract_flags(sized, ["clip"], "x", "y", "conf", 0.84, ("width", "height"))
+    out = ops.contract_flags(sized, ["clip"], "x", "y", "conf", 0.84, ("width", "height"), ["event_id"])
     return out.select("clip", "n_frames", F.concat_ws("; ", "flags").alias("flags"))
 
 

@@ -1,9 +1,14 @@
 """Boundaries of the checks, refusal before aggregation, budget and vocabulary rules."""
 
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
+from tempograin import plans
 from tempograin.operators import audit
 from tempograin.operators import cohort
 from tempograin.operators import curves
@@ -77,3 +82,53 @@ def test_diagnosis_outranks_blank_severity(spark):
     rows = [("", "", "OA", "injured"), ("No injury", "none", "", "uninjured"), ("", "", "", "unknown"), ("minor", "", "", "injured"), ("No injury", "Knee", "", "unknown")]
     df = spark.createDataFrame(rows, "d string, j string, s string, want string")
     assert df.filter(tx.injury_status(F.col("d"), F.col("j"), F.col("s")) != F.col("want")).count() == 0
+
+
+def in_order(values):
+    total = 0.0
+    for v in values:
+        total += v
+    return total / len(values)
+
+
+@pytest.mark.parametrize("limit", [1000, 100])
+def test_confidence_is_added_in_frame_order(spark, monkeypatch, limit):
+    """Frames spread over partitions in any order, a null key and a null confidence; a clip above the limit keeps its flags."""
+    monkeypatch.setattr(audit, "ORDERED_ROWS", limit)
+    monkeypatch.setattr(audit.session, "surely_small", lambda df: False)
+    rng = np.random.default_rng(3)
+    rows = [(None if c == 9 else c, i, None if c == 1 and i == 4 else 0.7 + int(rng.integers(0, 30)) / 100.0) for c in range(10) for i in range(150 if c == 2 else 64)]
+    mixed = [rows[i] for i in rng.permutation(len(rows))]
+    df = spark.createDataFrame(mixed, "clip long, frame long, conf double").repartition(7).withColumns({"x": F.lit(0.5), "y": F.lit(0.5)})
+    got = {r["clip"]: r for r in audit.contract_flags(df, ["clip"], "x", "y", "conf", 0.84, order=["frame"]).collect()}
+    assert len(got) == 10
+    for clip, r in got.items():
+        own = [v for c, _, v in rows if c == clip and v is not None]
+        assert r["n_frames"] == sum(c == clip for c, _, _ in rows)
+        if len(own) <= limit:
+            assert r["conf_mean"] == in_order(own)
+        assert r["conf_mean"] == pytest.approx(in_order(own)) and ("non-finite values" in r["flags"]) == (clip == 1)
+
+
+@pytest.mark.parametrize("name", ["t09_contract_flags", "t09_image_flags"])
+def test_means_of_many_partitions_equal_the_sql(spark, tmp_path, name):
+    """Clips of 64 frames in several files; means often lie on a tie of the sixth digit, those of the first 1900 clips near the bar."""
+    rng = np.random.default_rng(5)
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    for part in range(4):
+        ids = np.arange(part * 48_000, (part + 1) * 48_000)
+        clips, low = np.empty(len(ids), np.int64), ids % 30 <= 18
+        clips[low] = np.concatenate([rng.permutation(1900) for _ in range(16)])
+        clips[~low] = 1900 + np.concatenate([rng.permutation(1100) for _ in range(16)])
+        pq.write_table(pa.table({"event_id": ids, "user_id": clips, "value": rng.integers(0, 50000, len(ids)) / 100}), folder / f"part-{part}.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/*.parquet'")
+    want = con.execute(plans.all_oracles()[name]).fetchall()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        got = [tuple(r) for r in plans.all_queries()[name](spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(got) == sorted(want)
